@@ -8,6 +8,8 @@ from types import ModuleType
 MODULES = (
     "cleaning",
     "scalars",
+    "grouping",
+    "velocity",
 )
 
 

@@ -107,11 +107,11 @@ def outsider_flag(spark, d):
 
 @query("normalize_deltas", with_txn(
     "SELECT TransactionID, " + ", ".join(
-        f"round({c} - TransactionDT / 86400, 6) AS {c}_normalized"
+        f"{c} - TransactionDT / 86400 AS {c}_normalized"
         for c in ("D4", "D10", "D11", "D15")) + " FROM txn"))
 def normalize_deltas(spark, d):
     return transactions(spark, d).select("TransactionID", *[
-        F.round(fx.normalized_delta(c), 6).alias(f"{c}_normalized")
+        fx.normalized_delta(c).alias(f"{c}_normalized")
         for c in ("D4", "D10", "D11", "D15")])
 
 

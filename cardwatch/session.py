@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings the operators rely on: adaptive execution coalesces small
 # shuffles, splits skewed join partitions and turns small sides into broadcasts
@@ -54,3 +54,17 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Point reliable checkpoints at the shared folder."""
     spark.sparkContext.setCheckpointDir(shared_dir(spark))
+
+
+def materialize(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it back.
+
+    Cuts lineage (a lost executor re-reads files instead of recomputing), and the
+    planner then knows the true size, so it broadcasts the table only if small.
+    """
+    path = scratch_path(df.sparkSession, label)
+    writer = df.write.mode("errorifexists")
+    if partition_by:
+        writer = writer.partitionBy(partition_by)
+    writer.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
