@@ -10,6 +10,7 @@ MODULES = (
     "scalars",
     "grouping",
     "velocity",
+    "risk",
 )
 
 

@@ -34,7 +34,7 @@ ORDERS_CTE = """otxn AS (
   SELECT o_orderkey AS TransactionID,
     CAST(floor((epoch_us(o_orderdate) - epoch_us(TIMESTAMP '1992-01-01')) / 1000000) AS BIGINT)
       AS TransactionDT,
-    o_custkey AS card1, o_totalprice AS TransactionAmt, o_orderstatus AS ProductCD
+    o_custkey AS card1, CAST(floor(o_totalprice) AS DOUBLE) AS TransactionAmt, o_orderstatus AS ProductCD
   FROM orders
 )"""
 

@@ -32,11 +32,16 @@ def _card_velocity_cte(src="txn", time="t_us", unit=1_000_000):
             f"WINDOW {', '.join(windows)})")
 
 
-def _card_cols(digits=3):
+# Amounts here are exact in binary, so sums and means agree to the last bit in any
+# order of addition; only deviations are rounded.
+def _card_cols():
     return ", ".join(
-        f"card1_txn_count_{w}, " + ", ".join(
-            f"round(card1_amt_{s}_{w}, {digits}) AS card1_amt_{s}_{w}"
-            for s in ("sum", "mean", "std")) for w in velocity.CARD_WINDOWS)
+        f"card1_txn_count_{w}, card1_amt_sum_{w}, card1_amt_mean_{w}, "
+        f"round(card1_amt_std_{w}, 4) AS card1_amt_std_{w}" for w in velocity.CARD_WINDOWS)
+
+
+def _round_std(df, digits=4):
+    return df.withColumns({c: F.round(c, digits) for c in df.columns if "_std_" in c})
 
 
 @query("card_window_velocity",
@@ -44,17 +49,17 @@ def _card_cols(digits=3):
 def card_window_velocity(spark, d):
     df = transactions(spark, d).select(_ID, "card1", "t_us", "TransactionAmt")
     out = velocity.card_window_velocity(df, time="t_us", unit=velocity.MICROS)
-    return _rounded(out.drop("card1", "t_us", "TransactionAmt"), 3)
+    return _round_std(out.drop("card1", "t_us", "TransactionAmt"))
 
 
 @query("card_window_velocity_ties",
        f"WITH {ORDERS_CTE}, {_card_velocity_cte('otxn', 'TransactionDT', 720)} "
-       f"SELECT TransactionID, {_card_cols(2)} FROM vel")
+       f"SELECT TransactionID, {_card_cols()} FROM vel")
 def card_window_velocity_ties(spark, d):
     """Orders fall on whole days, so most cards have rows of equal time."""
     df = order_transactions(spark, d).select(_ID, "card1", "TransactionDT", "TransactionAmt")
     out = velocity.card_window_velocity(df, unit=720)
-    return _rounded(out.drop("card1", "TransactionDT", "TransactionAmt"), 2)
+    return _round_std(out.drop("card1", "TransactionDT", "TransactionAmt"))
 
 
 @query("velocity_ratios", f"""WITH {TXN_CTE}, {_card_velocity_cte()}
@@ -101,11 +106,10 @@ def _user_velocity(spark, d):
 
 
 @query("user_window_velocity", f"WITH {TXN_CTE}, {_user_cte()} SELECT TransactionID, " + ", ".join(
-    f"txn_count_{w}, amt_max_{w}, " + ", ".join(
-        f"round(amt_{s}_{w}, 4) AS amt_{s}_{w}" for s in ("sum", "mean", "std"))
+    f"txn_count_{w}, amt_max_{w}, amt_sum_{w}, amt_mean_{w}, round(amt_std_{w}, 4) AS amt_std_{w}"
     for w in velocity.USER_WINDOWS) + " FROM uv")
 def user_window_velocity(spark, d):
-    return _rounded(_user_velocity(spark, d).drop("t_us", "TransactionAmt", "uid"), 4)
+    return _round_std(_user_velocity(spark, d).drop("t_us", "TransactionAmt", "uid"))
 
 
 # Same-day orders of one customer, told apart by order key only.
@@ -114,9 +118,9 @@ _TIES = {"1h": 3600 * 24, "6h": 6 * 3600 * 24, "24h": 86400 * 24, "7d": 7 * 8640
 
 @query("user_window_velocity_ties", f"WITH {ORDERS_CTE} SELECT o.TransactionID, " + ", ".join(
     f"count(CASE WHEN e.TransactionDT >= o.TransactionDT - {s} THEN 1 END) AS txn_count_{w}, "
-    f"round(COALESCE(sum(CASE WHEN e.TransactionDT >= o.TransactionDT - {s} THEN e.TransactionAmt "
-    f"END), 0), 2) AS amt_sum_{w}, round(COALESCE(stddev_pop(CASE WHEN e.TransactionDT >= "
-    f"o.TransactionDT - {s} THEN e.TransactionAmt END), 0), 2) AS amt_std_{w}"
+    f"COALESCE(sum(CASE WHEN e.TransactionDT >= o.TransactionDT - {s} THEN e.TransactionAmt "
+    f"END), 0) AS amt_sum_{w}, round(COALESCE(stddev_pop(CASE WHEN e.TransactionDT >= "
+    f"o.TransactionDT - {s} THEN e.TransactionAmt END), 0), 4) AS amt_std_{w}"
     for w, s in _TIES.items()) + """ FROM otxn o LEFT JOIN otxn e ON e.card1 = o.card1
   AND (e.TransactionDT < o.TransactionDT
     OR (e.TransactionDT = o.TransactionDT AND e.TransactionID < o.TransactionID))
@@ -125,7 +129,7 @@ def user_window_velocity_ties(spark, d):
     df = order_transactions(spark, d).select(_ID, "card1", "TransactionDT", "TransactionAmt")
     out = velocity.user_window_velocity(df, uid="card1", time="TransactionDT", unit=24)
     keep = [f"{p}_{w}" for w in _TIES for p in ("txn_count", "amt_sum", "amt_std")]
-    return _rounded(out.select(_ID, *keep), 2)
+    return _round_std(out.select(_ID, *keep))
 
 
 def _clip(e, top="1e0"):
@@ -140,17 +144,12 @@ _SPIKE = {w: f"CASE WHEN amt_mean_{w} > 0 THEN {_clip(f'TransactionAmt / amt_mea
   SELECT TransactionID, {_clip('txn_count_1h / 10')} AS freq_risk_1h,
     {_clip('txn_count_24h / 50')} AS freq_risk_24h, {_clip('amt_sum_24h / 10000')} AS amt_risk_24h,
     {', '.join(f'{e} AS amt_spike_{w}' for w, e in _SPIKE.items())} FROM uv)
-SELECT TransactionID, round(freq_risk_1h, 5) AS freq_risk_1h,
-  round(freq_risk_24h, 5) AS freq_risk_24h, round(amt_risk_24h, 5) AS amt_risk_24h,
-  round(amt_spike_1h, 5) AS amt_spike_1h, round(amt_spike_6h, 5) AS amt_spike_6h,
-  round(amt_spike_24h, 5) AS amt_spike_24h,
-  round({_clip('0.3e0 * freq_risk_1h + 0.2e0 * freq_risk_24h + 0.2e0 * amt_risk_24h + '
-               '0.15e0 * amt_spike_1h + 0.15e0 * amt_spike_24h')}, 5) AS velocity_risk_score
+SELECT *, {_clip('0.3e0 * freq_risk_1h + 0.2e0 * freq_risk_24h + 0.2e0 * amt_risk_24h + '
+                '0.15e0 * amt_spike_1h + 0.15e0 * amt_spike_24h')} AS velocity_risk_score
 FROM parts""")
 def velocity_risk_score(spark, d):
     made = velocity.velocity_risk_score()
-    return _rounded(_user_velocity(spark, d).select(
-        _ID, *[c.alias(n) for n, c in made.items()]), 5)
+    return _user_velocity(spark, d).select(_ID, *[c.alias(n) for n, c in made.items()])
 
 
 # API identity: the card plus a card/address/e-mail uid.
@@ -171,16 +170,15 @@ def online_cte(key="card1"):
 
 
 _ONLINE_COLS = (", ".join(f"txn_count_{w}" for w in velocity.USER_WINDOWS)
-                + ", round(amt_sum_1h, 4) AS amt_sum_1h, round(amt_sum_24h, 4) AS amt_sum_24h, "
-                  "round(amt_mean_24h, 4) AS amt_mean_24h")
+                + ", amt_sum_1h, amt_sum_24h, amt_mean_24h")
 
 
 @query("online_velocity_counts",
        f"WITH {TXN_CTE}, {online_cte()} SELECT TransactionID, {_ONLINE_COLS} FROM ov")
 def online_velocity_counts(spark, d):
     df = transactions(spark, d).select(_ID, "card1", "t_us", "TransactionAmt")
-    return _rounded(velocity.online_velocity_counts(df, ["card1"]).drop(
-        "card1", "t_us", "TransactionAmt"), 4)
+    return velocity.online_velocity_counts(df, ["card1"]).drop(
+        "card1", "t_us", "TransactionAmt")
 
 
 @query("online_velocity_counts_by_user",
@@ -188,8 +186,8 @@ def online_velocity_counts(spark, d):
 def online_velocity_counts_by_user(spark, d):
     uid = fx.composite_key(["card1", "addr1", "P_emaildomain"], "_", "na")
     df = transactions(spark, d).select(_ID, "card1", uid.alias("uid"), "t_us", "TransactionAmt")
-    return _rounded(velocity.online_velocity_counts(df, ["card1", "uid"]).drop(
-        "card1", "uid", "t_us", "TransactionAmt"), 4)
+    return velocity.online_velocity_counts(df, ["card1", "uid"]).drop(
+        "card1", "uid", "t_us", "TransactionAmt")
 
 
 @query("online_velocity_counts_distinct", f"""WITH {ORDERS_CTE}, o AS (
@@ -223,9 +221,9 @@ _NOW = "(SELECT max(t_us) FROM txn)"
     for w, h in velocity.USER_WINDOWS.items()) + f""",
   COALESCE(sum(CASE WHEN t_us >= {_NOW} - {_H} THEN TransactionAmt END), 0) AS amt_sum_1h,
   COALESCE(sum(CASE WHEN t_us >= {_NOW} - {24 * _H} THEN TransactionAmt END), 0) AS amt_sum_24h,
-  round(COALESCE(avg(CASE WHEN t_us >= {_NOW} - {24 * _H} THEN TransactionAmt END), 0), 4)
+  COALESCE(avg(CASE WHEN t_us >= {_NOW} - {24 * _H} THEN TransactionAmt END), 0)
     AS amt_mean_24h FROM txn GROUP BY card1"""))
 def velocity_stats(spark, d):
     df = transactions(spark, d).select("card1", "t_us", "TransactionAmt")
     now = df.agg(F.max("t_us")).first()[0]
-    return _rounded(velocity.velocity_stats(df, ["card1"], now), 4, keep=("card1",))
+    return velocity.velocity_stats(df, ["card1"], now)

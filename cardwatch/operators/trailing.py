@@ -23,7 +23,7 @@ from cardwatch.session import materialize
 
 HOT_ROWS = 50_000  # rows of one key beyond which its frames are split by time
 BUCKETS_PER_WIDTH = 4
-STATS = ("n", "sum", "mean", "std_pop", "std_samp", "max")
+STATS = ("rows", "n", "sum", "mean", "std_pop", "std_samp", "max")
 
 
 def trailing_stats(
@@ -39,9 +39,13 @@ def trailing_stats(
 ) -> DataFrame:
     """Add ``{stat}_{width}`` over non-NULL values in [t - w, t) of the same key.
 
-    ``inclusive`` closes the frame at t, so the row and its peers count too.
-    A row whose key has a NULL part gets n = 0 and no other statistic.
+    ``rows`` counts rows, ``n`` non-NULL values. ``inclusive`` closes the frame at
+    t, so the row and its peers count too. A row whose key has a NULL part gets
+    zero counts and no other statistic.
     """
+    unknown = set(stats) - set(STATS)
+    if unknown:
+        raise ValueError(f"unknown statistics {sorted(unknown)}")
     hot = hot_keys(df, key, value, hot_rows)
     if hot is None:
         return _framed(df, key, time, value, widths, stats, inclusive)
@@ -87,7 +91,7 @@ def keyed_window(df: DataFrame, key: list[str], time: str) -> tuple[Column, Wind
 def _framed(df, key, time, value, widths, stats, inclusive) -> DataFrame:
     complete, window = keyed_window(df, key, time)
     build = {
-        "n": F.count, "sum": F.sum, "mean": F.avg, "std_pop": F.stddev_pop,
+        "rows": lambda _: F.count(F.lit(1)), "n": F.count, "sum": F.sum, "mean": F.avg, "std_pop": F.stddev_pop,
         "std_samp": F.stddev_samp, "max": F.max,
     }
     out: dict[str, Column] = {}
@@ -95,7 +99,7 @@ def _framed(df, key, time, value, widths, stats, inclusive) -> DataFrame:
         frame = window.rangeBetween(-width, 0 if inclusive else -1)
         for s in stats:
             column = F.when(complete, build[s](value).over(frame))
-            out[f"{s}_{name}"] = F.coalesce(column, F.lit(0)) if s == "n" else column
+            out[f"{s}_{name}"] = F.coalesce(column, F.lit(0)) if s in ("rows", "n") else column
     return df.select("*", *[c.alias(n) for n, c in out.items()])
 
 
@@ -103,14 +107,14 @@ def _bucketed(df, hot, key, time, value, widths, stats, inclusive) -> DataFrame:
     bucket = max(1, reduce(gcd, widths.values()) // BUCKETS_PER_WIDTH)
     while any(w % bucket for w in widths.values()):
         bucket -= 1
-    sums = ["n", "s", "x", "xx"]  # rows, sum, and centred first and second moments
+    sums = ["r", "n", "s", "x", "xx"]  # rows, values, sum, centred first and second moments
     centred = F.col(value) - F.col("_centre")
     points = (
         df.select(*key, time, value)
         .join(hot.select(*key, "_centre"), key)
         .groupBy(*key, F.col(time).alias("_t"))
         .agg(
-            F.count(value).alias("n"), F.sum(value).alias("s"), F.sum(centred).alias("x"),
+            F.count(F.lit(1)).alias("r"), F.count(value).alias("n"), F.sum(value).alias("s"), F.sum(centred).alias("x"),
             F.sum(centred * centred).alias("xx"), F.max(value).alias("m"),
         )
     )
@@ -165,9 +169,10 @@ def _bucketed(df, hot, key, time, value, widths, stats, inclusive) -> DataFrame:
 
     out: dict[str, Column] = {}
     for i, name in enumerate(names):
-        n, s, x, xx = (total(c, i) for c in sums)
+        r, n, s, x, xx = (total(c, i) for c in sums)
         spread = F.greatest(xx - x * x / n, zero)
         made = {
+            "rows": r.cast("bigint"),
             "n": n.cast("bigint"),
             "sum": F.when(n > 0, s),
             "mean": F.when(n > 0, s / n),

@@ -26,19 +26,14 @@ def card_window_velocity(
 
     Missing cards and undefined statistics become 0. ``unit`` is ticks per second.
     """
-    work = df.withColumn("_one", F.lit(1.0))
-    counted = trailing_stats(
-        work, key=[card], time=time, value="_one", widths=_widths(CARD_WINDOWS, unit),
-        stats=("n",), inclusive=True, hot_rows=hot_rows)
-    counted = counted.withColumnsRenamed(
-        {f"n_{w}": f"card1_txn_count_{w}" for w in CARD_WINDOWS}).drop("_one")
     out = trailing_stats(
-        counted, key=[card], time=time, value=amount, widths=_widths(CARD_WINDOWS, unit),
-        stats=("sum", "mean", "std_samp"), inclusive=True, hot_rows=hot_rows)
+        df, key=[card], time=time, value=amount, widths=_widths(CARD_WINDOWS, unit),
+        stats=("rows", "sum", "mean", "std_samp"), inclusive=True, hot_rows=hot_rows)
     names = {"sum": "sum", "mean": "mean", "std_samp": "std"}
-    for w in CARD_WINDOWS:
-        for stat, label in names.items():
-            out = out.withColumnRenamed(f"{stat}_{w}", f"card1_amt_{label}_{w}")
+    renames = {f"rows_{w}": f"card1_txn_count_{w}" for w in CARD_WINDOWS}
+    for stat, label in names.items():
+        renames.update({f"{stat}_{w}": f"card1_amt_{label}_{w}" for w in CARD_WINDOWS})
+    out = out.withColumnsRenamed(renames)
     return out.fillna(0, [f"card1_amt_{label}_{w}" for w in CARD_WINDOWS
                           for label in names.values()])
 
