@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from cardwatch.config import Settings
 from cardwatch.functions import risk
-from cardwatch.operators.trailing import _complete, hot_keys
+from cardwatch.operators.trailing import SPREAD, complete_key, hot_keys, spread_missing
 from cardwatch.session import materialize
 
 # Rows of one key a single sorted task may hold; longer histories are cut in chunks.
@@ -24,7 +24,7 @@ def with_history(
     order: list[str],
     reach: int,
     build: Callable[[WindowSpec], dict[str, Column]],
-    hot_rows: int = HOT_HISTORY,
+    hot_rows: int | None = HOT_HISTORY,
 ) -> DataFrame:
     """Add window columns whose frames look at most ``reach`` rows back.
 
@@ -35,13 +35,16 @@ def with_history(
     def apply(frame: DataFrame, window: WindowSpec) -> DataFrame:
         return frame.select("*", *[c.alias(n) for n, c in build(window).items()])
 
-    spread = F.when(~_complete(key), F.xxhash64(*order))
-    plain = Window.partitionBy(*key, spread).orderBy(*order)
-    hot = hot_keys(df, key, None, hot_rows)
+    def plain(frame: DataFrame) -> DataFrame:
+        work = spread_missing(frame, key, order[0])
+        made = apply(work, Window.partitionBy(*key, SPREAD).orderBy(*order))
+        return made if SPREAD in frame.columns else made.drop(SPREAD)
+
+    hot = None if hot_rows is None else hot_keys(df, key, None, hot_rows)
     if hot is None:
-        return apply(df, plain)
+        return plain(df)
     names = hot.select(*key)
-    cold = apply(df.join(names, key, "left_anti"), plain)
+    cold = plain(df.join(names, key, "left_anti"))
 
     chunks = materialize(
         df.join(names, key, "left_semi").repartitionByRange(*key, *order)
@@ -74,7 +77,7 @@ def profile_history(
     df: DataFrame, card: str = "card1", order: tuple[str, ...] = ("t_us", "TransactionID"),
     addr1: str = "addr1", addr2: str = "addr2", device: str = "DeviceInfo",
     email: str = "P_emaildomain", card_type: str = "card6", amount: str = "TransactionAmt",
-    with_amounts: bool = False, missing_text: str | None = None, hot_rows: int = HOT_HISTORY,
+    with_amounts: bool = False, missing_text: str | None = None, hot_rows: int | None = HOT_HISTORY,
 ) -> DataFrame:
     """Add the profile before each row: ``seen_*`` arrays and amount statistics.
 
@@ -89,7 +92,7 @@ def profile_history(
             return F.collect_list(value).over(_back(window, n))
 
         amounts = _back(window, REMEMBER["amounts"])
-        known = _complete([card])
+        known = complete_key([card])
         made = {
             "seen_addr1": values(addr1, REMEMBER["addresses"]),
             "seen_addr2": values(addr2, REMEMBER["addresses"]),

@@ -35,18 +35,19 @@ def trailing_stats(
     widths: dict[str, int],
     stats: tuple[str, ...] = ("n", "sum"),
     inclusive: bool = False,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Add ``{stat}_{width}`` over non-NULL values in [t - w, t) of the same key.
 
     ``rows`` counts rows, ``n`` non-NULL values. ``inclusive`` closes the frame at
     t, so the row and its peers count too. A row whose key has a NULL part gets
-    zero counts and no other statistic.
+    zero counts and no other statistic. ``hot_rows=None`` tells that the caller has
+    already found no oversized key.
     """
     unknown = set(stats) - set(STATS)
     if unknown:
         raise ValueError(f"unknown statistics {sorted(unknown)}")
-    hot = hot_keys(df, key, value, hot_rows)
+    hot = None if hot_rows is None else hot_keys(df, key, value, hot_rows)
     if hot is None:
         return _framed(df, key, time, value, widths, stats, inclusive)
     names = hot.select(*key)
@@ -68,7 +69,7 @@ def hot_keys(
     """
     centre = F.coalesce(F.avg(value), F.lit(0.0)) if value else F.lit(0.0)
     counts = (
-        df.where(_complete(key))
+        df.where(complete_key(key))
         .groupBy(*key)
         .agg(F.count(F.lit(1)).alias("_rows"), centre.alias("_centre"))
         .where(F.col("_rows") > hot_rows)
@@ -77,19 +78,27 @@ def hot_keys(
     return None if hot.isEmpty() else hot
 
 
-def _complete(key: list[str]) -> Column:
+def complete_key(key: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key])
 
 
-def keyed_window(df: DataFrame, key: list[str], time: str) -> tuple[Column, Window]:
-    """Window over complete keys; rows with a NULL key part are spread out by time."""
-    complete = _complete(key)
-    spread = F.when(~complete, F.xxhash64(time))
-    return complete, Window.partitionBy(*key, spread).orderBy(time)
+SPREAD = "_spread"
+
+
+def spread_missing(df: DataFrame, key: list[str], time: str) -> DataFrame:
+    """Give rows with a NULL key part different window partitions, by a hash of time.
+
+    Kept as a column, so several windows over one key share a single shuffle.
+    """
+    if SPREAD in df.columns:
+        return df
+    return df.withColumn(SPREAD, F.when(~complete_key(key), F.xxhash64(time)))
 
 
 def _framed(df, key, time, value, widths, stats, inclusive) -> DataFrame:
-    complete, window = keyed_window(df, key, time)
+    complete = complete_key(key)
+    work = spread_missing(df, key, time)
+    window = Window.partitionBy(*key, SPREAD).orderBy(time)
     build = {
         "rows": lambda _: F.count(F.lit(1)), "n": F.count, "sum": F.sum, "mean": F.avg, "std_pop": F.stddev_pop,
         "std_samp": F.stddev_samp, "max": F.max,
@@ -100,7 +109,7 @@ def _framed(df, key, time, value, widths, stats, inclusive) -> DataFrame:
         for s in stats:
             column = F.when(complete, build[s](value).over(frame))
             out[f"{s}_{name}"] = F.coalesce(column, F.lit(0)) if s in ("rows", "n") else column
-    return df.select("*", *[c.alias(n) for n, c in out.items()])
+    return work.select(*df.columns, *[c.alias(n) for n, c in out.items()])
 
 
 def _bucketed(df, hot, key, time, value, widths, stats, inclusive) -> DataFrame:
@@ -204,7 +213,7 @@ def distinct_trailing(
     """
     bucket = min(widths.values())
     key_time = [*key, "_at"]
-    rows = df.where(_complete(key))
+    rows = df.where(complete_key(key))
     stretches = (
         rows.where(F.col(value).isNotNull())
         .groupBy(*key, F.col(value).alias("_v"), F.floor(F.col(time) / bucket).alias("_b"))

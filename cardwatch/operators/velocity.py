@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cardwatch.operators.trailing import (
-    HOT_ROWS, distinct_trailing, keyed_window, trailing_stats,
+    HOT_ROWS, complete_key, distinct_trailing, trailing_stats,
 )
 
 HOUR = 3600
@@ -20,7 +20,7 @@ def _widths(hours: dict[str, int], unit: int) -> dict[str, int]:
 
 def card_window_velocity(
     df: DataFrame, card: str = "card1", time: str = "TransactionDT",
-    amount: str = "TransactionAmt", unit: int = 1, hot_rows: int = HOT_ROWS,
+    amount: str = "TransactionAmt", unit: int = 1, hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Count, sum, mean and sample deviation in [t - w, t], the row included.
 
@@ -57,7 +57,7 @@ def amount_spike(amount: str = "TransactionAmt") -> dict[str, Column]:
 
 def user_window_velocity(
     df: DataFrame, uid: str = "uid", time: str = "t_us", row_id: str = "TransactionID",
-    amount: str = "TransactionAmt", unit: int = MICROS, hot_rows: int = HOT_ROWS,
+    amount: str = "TransactionAmt", unit: int = MICROS, hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Statistics of strictly earlier rows (by time, then id) with t >= now - w.
 
@@ -115,7 +115,7 @@ def velocity_risk_score(amount: str = "TransactionAmt") -> dict[str, Column]:
 
 def online_velocity_counts(
     df: DataFrame, key: list[str], time: str = "t_us", amount: str = "TransactionAmt",
-    unit: int = MICROS, distinct: bool = False, hot_rows: int = HOT_ROWS,
+    unit: int = MICROS, distinct: bool = False, hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """What the state store would answer before recording the row.
 
@@ -171,5 +171,4 @@ def velocity_stats(
                     .alias(f"amt_sum_{w}"))
     aggs.append(F.coalesce(F.avg(F.when(within("24h"), F.col(amount))), zero)
                 .alias("amt_mean_24h"))
-    complete, _ = keyed_window(df, key, time)
-    return df.where(complete).groupBy(*key).agg(*aggs)
+    return df.where(complete_key(key)).groupBy(*key).agg(*aggs)
