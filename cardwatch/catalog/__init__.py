@@ -11,6 +11,9 @@ MODULES = (
     "grouping",
     "velocity",
     "risk",
+    "evaluation",
+    "monitoring",
+    "tables",
 )
 
 

@@ -8,12 +8,12 @@ planned from the real size of its map.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType
 
 from cardwatch.functions import fixed
 from cardwatch.operators.groups import attach_stats
-from cardwatch.operators.ordering import at_or_before, order_cuts
+from cardwatch.operators.ordering import at_or_before, order_cuts, with_row_index
 from cardwatch.session import materialize
 
 
@@ -201,28 +201,9 @@ def contiguous_folds(
 
 # ---- dense codes ----------------------------------------------------------------
 def fit_label_codes(df: DataFrame, column: str) -> DataFrame:
-    """(value, code): 0-based alphabetical position among the distinct values.
-
-    Distinct values are range-partitioned and written once; a code is the number
-    of values in earlier partitions plus the position inside the own one.
-    """
+    """(value, code): 0-based alphabetical position among the distinct values."""
     value = F.coalesce(F.col(column).cast("string"), F.lit("missing"))
-    values = df.select(value.alias("value")).distinct()
-    ranged = materialize(
-        values.repartitionByRange("value").withColumn("part", F.spark_partition_id()), "codes"
-    )
-    # one row per partition, so the ordered sum below is over a handful of rows
-    sizes = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
-    before = sizes.select(
-        F.col("part"),
-        F.coalesce(F.sum("size").over(
-            Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("before"),
-    )
-    inner = F.row_number().over(Window.partitionBy("part").orderBy("value")) - 1
-    return ranged.withColumn("inner", inner).join(F.broadcast(before), "part").select(
-        "value", (F.col("before") + F.col("inner")).alias("code")
-    )
+    return with_row_index(df.select(value.alias("value")).distinct(), ["value"], "code")
 
 
 def label_encode(df: DataFrame, codes: dict[str, DataFrame]) -> DataFrame:

@@ -11,7 +11,9 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from cardwatch.session import materialize
 
 BINS = 1024
 SMALL = 10_000  # rows of an interval that may be listed on the driver
@@ -116,3 +118,25 @@ def order_cuts(df: DataFrame, order: tuple[str, str], ranks: Iterable[int]) -> d
 def at_or_before(order: tuple[str, str], cut: tuple) -> Column:
     t, i = F.col(order[0]), F.col(order[1])
     return (t < cut[0]) | ((t == cut[0]) & (i <= cut[1]))
+
+
+def with_row_index(df: DataFrame, order: list[str], out: str = "row_index") -> DataFrame:
+    """Add the 0-based position in ``order`` without a single-task sort.
+
+    Rows are range-partitioned and written once, so part numbers are stable; a
+    position is the size of all earlier parts plus the place inside the own part.
+    """
+    parts = materialize(
+        df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranged")
+    # one row per part: the ordered running sum is over the number of parts only
+    sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(
+        "_part", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return (
+        parts.withColumn("_place", place)
+        .join(F.broadcast(starts), "_part")
+        .withColumn(out, F.col("_start") + F.col("_place"))
+        .drop("_part", "_place", "_start")
+    )
