@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cardwatch.functions import columns as fx
 from cardwatch.operators.ordering import exact_quantiles
+from cardwatch.session import materialize
 
 SCORE_BINS_PER_UNIT = 100
 LOGIT_LIMIT = 40.0  # bins are bounded: 2 * 40 * 100 + 1
@@ -30,9 +31,14 @@ def score_counts(df: DataFrame, label: str, score: str) -> DataFrame:
         F.count(F.when(hit, 1)).alias("pos"), F.count(F.when(~hit, 1)).alias("neg"))
 
 
-def running_counts(df: DataFrame, label: str, score: str) -> DataFrame:
-    """Adds tp and fp: rows at or above each distinct score."""
-    counts = score_counts(df, label, score).withColumn("bin", score_bin(F.col("score")))
+def running_counts(df: DataFrame, label: str, score: str) -> tuple[DataFrame, int, int]:
+    """(score, pos, neg, tp, fp) and the class totals.
+
+    tp and fp count rows at or above the score. The per-score counts are written
+    once, because the bins, the totals and the curve all read them.
+    """
+    counts = materialize(
+        score_counts(df, label, score).withColumn("bin", score_bin(F.col("score"))), "scores")
     bins = counts.groupBy("bin").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     above = Window.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0)
@@ -41,44 +47,36 @@ def running_counts(df: DataFrame, label: str, score: str) -> DataFrame:
         F.coalesce(F.sum("n").over(above), zero).alias("n_above"))
     inside = Window.partitionBy("bin").orderBy(F.desc("score")).rowsBetween(
         Window.unboundedPreceding, 0)
-    return (
+    table = (
         counts.withColumns({"p_in": F.sum("pos").over(inside), "n_in": F.sum("neg").over(inside)})
         .join(F.broadcast(carried), "bin")  # at most 8001 rows
         .select("score", "pos", "neg", (F.col("p_above") + F.col("p_in")).alias("tp"),
                 (F.col("n_above") + F.col("n_in")).alias("fp"))
     )
-
-
-def class_totals(df: DataFrame, label: str, score: str) -> tuple[int, int]:
-    hit = F.col(label) == 1
-    row = df.where(F.col(score).isNotNull()).agg(
-        F.count(F.when(hit, 1)), F.count(F.when(~hit, 1))).first()
-    return row[0], row[1]
+    row = bins.agg(F.sum("p"), F.sum("n")).first()
+    return table, row[0] or 0, row[1] or 0
 
 
 def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """Share of (positive, negative) pairs ranked right, ties counting half."""
-    wide = "decimal(38,0)"
-    pairs = F.col("neg").cast("decimal(19,0)") * (2 * F.col("tp") - F.col("pos")).cast(
-        "decimal(19,0)")
-    sums = running_counts(df, label, score).agg(
-        F.sum(pairs.cast(wide)).alias("twice"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    return sums.select(
-        F.try_divide(F.col("twice").cast("double"),
-                     2.0 * F.col("p").cast("double") * F.col("n").cast("double")).alias("roc_auc"))
+    table, p, n = running_counts(df, label, score)
+    whole = "decimal(19,0)"
+    pairs = F.col("neg").cast(whole) * (2 * F.col("tp") - F.col("pos")).cast(whole)
+    twice = F.sum(pairs.cast("decimal(38,0)")).cast("double")
+    return table.agg(F.try_divide(twice, F.lit(2.0 * p * n)).alias("roc_auc"))
 
 
 def average_precision(df: DataFrame, label: str, score: str) -> DataFrame:
     """Sum over descending scores of recall gain times precision."""
+    table, p, _ = running_counts(df, label, score)
     gain = F.col("pos") * (F.col("tp") / (F.col("tp") + F.col("fp")))
-    sums = running_counts(df, label, score).agg(F.sum(gain).alias("g"), F.sum("pos").alias("p"))
-    return sums.select(F.try_divide("g", "p").alias("average_precision"))
+    return table.agg(F.try_divide(F.sum(gain), F.lit(float(p))).alias("average_precision"))
 
 
 def roc_curve(df: DataFrame, label: str, score: str) -> DataFrame:
     """(threshold, fpr, tpr) per distinct score, plus the origin at infinity."""
-    p, n = class_totals(df, label, score)
-    points = running_counts(df, label, score).select(
+    table, p, n = running_counts(df, label, score)
+    points = table.select(
         F.col("score").alias("threshold"), (F.col("fp") / max(n, 1)).alias("fpr"),
         (F.col("tp") / max(p, 1)).alias("tpr"))
     origin = df.sparkSession.range(1).select(
@@ -88,8 +86,8 @@ def roc_curve(df: DataFrame, label: str, score: str) -> DataFrame:
 
 def pr_curve(df: DataFrame, label: str, score: str) -> DataFrame:
     """(threshold, precision, recall) per distinct score."""
-    p, _ = class_totals(df, label, score)
-    return running_counts(df, label, score).select(
+    table, p, _ = running_counts(df, label, score)
+    return table.select(
         F.col("score").alias("threshold"),
         (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
         (F.col("tp") / max(p, 1)).alias("recall"))

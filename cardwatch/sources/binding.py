@@ -101,10 +101,10 @@ TRANSACTION_RULES: dict[str, str] = {
 # A fixed logistic scorecard: the probability input of oracle-checked queries. The
 # last two digits keep printed probabilities off rounding boundaries.
 SCORE_RULE = (
-    "round(1e0 / (1e0 + exp(3.6e0 - 0.0004e0 * TransactionAmt"
+    "floor(1e6 / (1e0 + exp(3.6e0 - 0.0004e0 * TransactionAmt"
     " - CASE WHEN P_emaildomain IN ('anonymous.com', 'tempmail.com') THEN 0.8e0 ELSE 0e0 END"
     " - CASE WHEN dist1 > 1000 THEN 0.5e0 ELSE 0e0 END"
-    " - CASE WHEN isFraud = 1 AND D5 < 5 THEN 1.5e0 ELSE 0e0 END)), 6) + 25e-8"
+    " - CASE WHEN isFraud = 1 AND D5 < 5 THEN 1.5e0 ELSE 0e0 END))) / 1e6 + 25e-8"
 )
 
 EVENT_SCHEMA = (
