@@ -14,6 +14,7 @@ MODULES = (
     "evaluation",
     "monitoring",
     "tables",
+    "streams",
 )
 
 
