@@ -15,6 +15,7 @@ MODULES = (
     "monitoring",
     "tables",
     "streams",
+    "learning",
 )
 
 

@@ -133,13 +133,15 @@ _CLOSED = "(SELECT max(TransactionDT) FROM txn) - 86400"
 @query("windowed_counts", f"""WITH {SCORED_CTE}
 SELECT (TransactionDT // 3600) * 3600 AS start_dt, CASE WHEN fraud_probability >= 0.0564e0
   THEN 'FRAUD' ELSE 'LEGITIMATE' END AS decision, count(*) AS rows,
-  round(avg(fraud_probability), 7) AS mean_probability
+  round(sum(fraud_probability), 8) AS probability_sum
 FROM scored WHERE (TransactionDT // 3600 + 1) * 3600 <= {_CLOSED} GROUP BY 1, 2""")
 def windowed_counts(spark, d):
     done = jobs.run_available(jobs.windowed_counts(_watermarked(spark, d)), "windows")
     base = F.unix_timestamp(F.lit("2017-11-30 00:00:00+00:00").cast("timestamp"))
     return done.select((F.unix_timestamp("span.start") - base).alias("start_dt"), "decision",
-                       "rows", F.round("mean_probability", 7).alias("mean_probability"))
+                       "rows",
+                       F.round(F.col("mean_probability") * F.col("rows"), 8)
+                       .alias("probability_sum"))
 
 
 @query("card_sessions", f"""WITH {TXN_CTE}, g AS (SELECT card1, TransactionDT AS t, TransactionAmt,

@@ -2,10 +2,10 @@
 
 All statistics of one key come from one ``groupBy``: partial aggregation runs
 before the shuffle, so a key holding a third of the table costs no more than any
-other. The result is joined back as an ordinary equi join; adaptive execution
-broadcasts it only when its measured size is small and otherwise splits the
-oversized partitions of hot keys. NULL keys never match, which is exactly the
-"no statistic for a missing key" rule, so they are kept off the shuffle key.
+other there. The result is joined back as an ordinary equi join without hints:
+adaptive execution broadcasts it when its measured size is small and otherwise
+splits the oversized partitions that hot keys (or many NULL keys, which match
+nothing) leave on the row side.
 """
 
 from __future__ import annotations
