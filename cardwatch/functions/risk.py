@@ -33,8 +33,24 @@ def whole(amount: Column) -> Column:
     return F.format_string("%.0f", F.bround(amount, 0))
 
 
-def _digits(value: Column, n: int) -> Column:
-    return F.format_string(f"%.{n}f", F.bround(value, n))
+def fixed_text(value: Column, digits: int) -> Column:
+    """A non-negative number with ``digits`` decimals, rounded on its exact binary value.
+
+    The fraction is taken as a whole number of 2^-60 steps, so the remainder is compared
+    without error (bits below that step are cut); only true ties go to the even digit.
+    """
+    unit, scale = 2**60, 10**digits
+    below = F.floor(value)
+    steps = ((value - below) * float(unit)).cast("bigint").cast("decimal(19,0)")
+    scaled = steps * F.lit(scale).cast("decimal(6,0)")
+    rest = scaled % F.lit(unit).cast("decimal(19,0)")
+    digit = ((scaled - rest) / F.lit(unit).cast("decimal(19,0)")).cast("bigint")
+    half = F.lit(unit // 2).cast("decimal(19,0)")
+    up = (rest > half) | ((rest == half) & (digit % 2 == 1))
+    total = below * scale + digit + up.cast("int")
+    return F.concat(
+        F.floor(total / scale).cast("string"), F.lit("."),
+        F.lpad((total % scale).cast("string"), digits, "0"))
 
 
 def present(*items: Column) -> Column:
@@ -78,9 +94,9 @@ def velocity_factors(cfg: Settings, amount="TransactionAmt", mean="amt_mean_24h"
         busy("6h", v.high_6h_count),
         busy("24h", v.high_24h_count),
         F.when(spike >= v.amount_spike_5x,
-               F.concat(F.lit("amount_spike_5x_"), _digits(spike, 1), F.lit("x")))
+               F.concat(F.lit("amount_spike_5x_"), fixed_text(spike, 1), F.lit("x")))
         .when(spike >= v.amount_spike_3x,
-              F.concat(F.lit("amount_spike_3x_"), _digits(spike, 1), F.lit("x"))),
+              F.concat(F.lit("amount_spike_3x_"), fixed_text(spike, 1), F.lit("x"))),
         F.when(amt >= 5000, F.concat(F.lit("high_amount_"), whole(amt))),
     )
 
@@ -245,13 +261,13 @@ def collect_factors(probability="fraud_probability", velocity="velocity_factors"
     """All factors in fixed order, first occurrence kept."""
     p, h, amt = F.col(probability), F.col(hour), F.col(amount)
     model = present(
-        F.when(p >= 0.20, F.concat(F.lit("high_ml_score_"), _digits(p, 3)))
-        .when(p >= 0.10, F.concat(F.lit("medium_ml_score_"), _digits(p, 3))))
+        F.when(p >= 0.20, F.concat(F.lit("high_ml_score_"), fixed_text(p, 3)))
+        .when(p >= 0.10, F.concat(F.lit("medium_ml_score_"), fixed_text(p, 3))))
     context = present(
         F.when(fx.is_night(h), "night_transaction").when(h.between(9, 17), "business_hours"),
         F.when(amt >= 5000, F.concat(F.lit("very_high_amount_"), whole(amt)))
         .when(amt >= 2000, F.concat(F.lit("high_amount_"), whole(amt)))
-        .when((amt <= 1) & (amt != 0), F.concat(F.lit("micro_transaction_"), _digits(amt, 2))),
+        .when((amt <= 1) & (amt != 0), F.concat(F.lit("micro_transaction_"), fixed_text(amt, 2))),
     )
     return dedupe_factors(
         F.concat(model, F.col(velocity), F.col(ato), F.col(rules), context))

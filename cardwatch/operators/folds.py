@@ -20,10 +20,11 @@ BLOCK = 50_000
 
 
 def _indexed(df: DataFrame, key: str, order: list[str], block: int) -> DataFrame:
-    """Adds the position inside the key and its block number."""
+    """Adds the position inside the key, the key's row count and the block number."""
     rows = with_row_index(df.where(F.col(key).isNotNull()), [key, *order])
-    firsts = rows.groupBy(key).agg(F.min("row_index").alias("_first"))
-    placed = rows.join(firsts, key).withColumn("place", F.col("row_index") - F.col("_first"))
+    spans = rows.groupBy(key).agg(
+        F.min("row_index").alias("_first"), F.count(F.lit(1)).alias("key_rows"))
+    placed = rows.join(spans, key).withColumn("place", F.col("row_index") - F.col("_first"))
     return placed.drop("row_index", "_first").withColumn("block", F.floor(
         F.col("place") / block).cast("bigint"))
 
@@ -91,7 +92,8 @@ def adaptive_threshold_replay(
     block = max(block, window)
     names = [key, *order, label, score, velocity]
     placed = _indexed(df.select(*names), key, order, block)
-    ahead = F.col("place") % block >= block - (window - 1)
+    ahead = (F.col("place") % block >= block - (window - 1)) & (
+        (F.col("block") + 1) * block < F.col("key_rows"))
     homes = F.when(ahead, F.array("block", F.col("block") + 1)).otherwise(F.array("block"))
     blocks = materialize(
         placed.withColumn("home", F.explode(homes)).withColumn(
@@ -118,8 +120,6 @@ def adaptive_threshold_replay(
             shift += m
             floor = min(max(floor + m, low), high)
             roof = min(max(roof + m, low), high)
-        if not pdf["own"].any():
-            return pd.DataFrame({key: [], "home": [], "shift": [], "floor": [], "roof": []})
         return pd.DataFrame({
             key: [pdf[key].iloc[0]], "home": [pdf["home"].iloc[0]], "shift": [shift],
             "floor": [floor], "roof": [roof]})
@@ -154,8 +154,7 @@ def adaptive_threshold_replay(
         out["threshold"], out["active"] = after, active
         out["fraud_rate"] = np.where(active, rate, np.nan)
         out["accuracy"] = accuracy
-        out = out[own]
-        return out.astype(object).where(out.notna(), None)
+        return out[own].reset_index(drop=True)
 
     schema = ", ".join(f"{c} {kinds[c]}" for c in [key, *order])
     return blocks.join(begins, [key, "home"]).groupBy(key, "home").applyInPandas(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from cardwatch.functions import risk
 from cardwatch.operators.split import recent_n
 
 ARRIVAL = ("t_us", "TransactionID")
@@ -132,10 +133,9 @@ def format_transaction_row(df: DataFrame) -> DataFrame:
         .alias("tx_id"),
         F.coalesce("decision", F.lit("N/A")).alias("decision"),
         F.coalesce("risk_level", F.lit("N/A")).alias("risk"),
-        F.format_string("%.3f", F.bround(F.coalesce("fraud_probability", F.lit(0.0)), 3))
-        .alias("prob"),
-        F.concat(F.lit("$"), F.format_string(
-            "%.2f", F.bround(F.coalesce("TransactionAmt", F.lit(0.0)), 2))).alias("amount"),
+        risk.fixed_text(F.coalesce("fraud_probability", F.lit(0.0)), 3).alias("prob"),
+        F.concat(F.lit("$"), risk.fixed_text(F.coalesce("TransactionAmt", F.lit(0.0)), 2))
+        .alias("amount"),
         F.concat(F.coalesce(F.col("card1").cast("string"), F.lit("N/A")), F.lit(" ("),
                  F.coalesce("card4", F.lit("N/A")), F.lit(")")).alias("card"),
         F.coalesce(F.substring("P_emaildomain", 1, 20), F.lit("N/A")).alias("email"),
@@ -156,12 +156,11 @@ def alert_payload(df: DataFrame, key: str = "TransactionID", user: str | None =
         "\n",
         F.concat(F.lit("- Transaction ID: "), ident),
         F.concat(F.lit("- User ID: "), user_text),
-        F.concat(F.lit("- Amount: $"), F.format_string("%.2f", F.bround("TransactionAmt", 2)),
+        F.concat(F.lit("- Amount: $"), risk.fixed_text(F.col("TransactionAmt"), 2),
                  F.lit(" USD")),
         F.concat(F.lit("- Risk Level: "), F.coalesce("risk_level", F.lit("UNKNOWN"))),
         F.concat(F.lit("- Fraud Probability: "),
-                 F.format_string("%.1f", F.bround(F.col("fraud_probability") * 100, 1)),
-                 F.lit("%")),
+                 risk.fixed_text(F.col("fraud_probability") * 100, 1), F.lit("%")),
         F.concat(F.lit("- Decision: "), F.coalesce("decision", F.lit("REVIEW"))))
     return df.where(F.col(key).isNotNull()).select(
         F.col(key), subject.alias("subject"), body.alias("body"))

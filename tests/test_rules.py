@@ -86,6 +86,13 @@ def test_amounts_print_half_to_even(spark):
     assert value(spark, risk.whole(F.lit(2500.5)), unused=1) == "2500"
 
 
+@pytest.mark.parametrize("number,digits", [
+    (42.85, 1), (42.25, 1), (42.75, 1), (3.45, 1), (9.999, 1), (0.1235, 3), (0.1005, 3),
+    (0.9999, 3), (0.125, 2), (0.875, 2), (120.005, 2), (0.0, 3), (7.0, 1)])
+def test_printed_digits_match_exact_rounding(spark, number, digits):
+    assert value(spark, risk.fixed_text(F.lit(number), digits), unused=1) == f"{number:.{digits}f}"
+
+
 @pytest.mark.parametrize("hour,engine,feature", [(0, 1, 1), (6, 0, 1), (22, 1, 1), (12, 0, 0)])
 def test_two_nights(spark, hour, engine, feature):
     dt = hour * 3600
