@@ -35,7 +35,7 @@ def kafka_stream(spark: SparkSession, settings: Settings, extra: dict[str, str]
 
 def file_stream(
     spark: SparkSession, path: str, schema: StructType | str, fmt: str = "parquet",
-    files_per_trigger: int | None = None, bytes_per_trigger: int = 4 * 2**30,
+    files_per_trigger: int | None = None, bytes_per_trigger: int = 256 * 2**20,
 ) -> DataFrame:
     """Files as a stream; a micro-batch is bounded by bytes or by files."""
     reader = spark.readStream.schema(schema).format(fmt)
