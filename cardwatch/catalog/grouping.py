@@ -438,7 +438,7 @@ def quantile_time_split(spark, d):
 @query("stratified_split", with_txn("""
 SELECT TransactionID, isFraud, CASE WHEN rk <= floor(n * 0.8) THEN 'train' ELSE 'valid' END
   AS part FROM (SELECT TransactionID, isFraud, count(*) OVER (PARTITION BY isFraud) AS n,
-  row_number() OVER (PARTITION BY isFraud ORDER BY ((TransactionID + 42) * 2654435761)
+  row_number() OVER (PARTITION BY isFraud ORDER BY ((TransactionID % 2147483648 + 42) * 2654435761)
     % 4294967296, TransactionID) AS rk FROM txn)"""))
 def stratified_split(spark, d):
     df = transactions(spark, d).select(_ID, "isFraud")

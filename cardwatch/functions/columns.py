@@ -207,7 +207,7 @@ def screen_features(c: str = "id_33") -> dict[str, Column]:
         return F.coalesce(number, F.lit(0))
 
     width, height = side(0), side(1)
-    area = width * height
+    area = F.try_multiply(width, height)  # NULL beyond 64 bits
     return {
         "screen_width": width,
         "screen_height": height,

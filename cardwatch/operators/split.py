@@ -48,8 +48,10 @@ def stratified_split(
 
     The limit is an exact rank of the hash per class, so the split is a filter.
     """
-    # multiplicative hash, spelled out so that any engine can repeat it
-    mixed = F.pmod((F.col(id_col) + seed) * F.lit(2654435761), F.lit(4294967296))
+    # multiplicative hash, spelled out so that any engine can repeat it; the id is folded
+    # to 31 bits first, so the product never leaves 64 bits
+    folded = F.pmod(F.col(id_col), F.lit(2**31)) + seed
+    mixed = F.pmod(folded * F.lit(2654435761), F.lit(4294967296))
     work = df.withColumn("_mix", mixed)
     classes = work.groupBy(label).count().limit(1000).collect()
     train = F.lit(False)

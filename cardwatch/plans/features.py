@@ -72,6 +72,17 @@ def _statistics(df: DataFrame) -> dict[str, tuple[str, dict[str, Column]]]:
     return tables
 
 
+def _fit_columns(df: DataFrame) -> DataFrame:
+    """Columns some fitted table reads."""
+    named = {
+        ID, "TransactionDT", LABEL, "TransactionAmt", "magic_uid", "card1", "card2", "addr1",
+        "C14", "D4", "D9", "D10", "D11", "D15", *fixed.SHARE_COLUMNS, *fixed.TARGET_COLUMNS,
+        *fixed.MATCH_COLUMNS, *groups.BEHAVIOUR_DISTINCT.values(),
+        *[f"C{i}" for i in range(1, 15)], *[p for ps in encode.COUNT_KEYS.values() for p in ps],
+    }
+    return df.select(*[c for c in df.columns if c in named or c.startswith("_key_")])
+
+
 class FeatureEstimator(Estimator):
     """Fits every lookup table the features need."""
 
@@ -80,8 +91,10 @@ class FeatureEstimator(Estimator):
         self.statistics, self.folds = statistics, folds
 
     def _fit(self, dataset: DataFrame) -> FeatureModel:
-        train = prepare(dataset)
-        source = train if self.statistics is None else prepare(self.statistics)
+        # a dozen aggregations read these rows, so the columns they use are written once
+        train = materialize(_fit_columns(prepare(dataset)), "prepared")
+        source = train if self.statistics is None else materialize(
+            _fit_columns(prepare(self.statistics)), "prepared")
         tables = {}
         for name, (key, aggs) in _statistics(source).items():
             tables[name] = materialize(
@@ -89,7 +102,7 @@ class FeatureEstimator(Estimator):
                     *[c.alias(n) for n, c in aggs.items()]), name)
         shares = [c for c in fixed.SHARE_COLUMNS if c not in ("card4", "card1_addr1")]
         targets = [c for c in fixed.TARGET_COLUMNS if c in train.columns and c != "card4"]
-        fold = encode.contiguous_folds(dataset, k=self.folds)
+        fold = encode.contiguous_folds(train, k=self.folds)
         tables["shares"] = encode.fit_shares(train, shares)
         tables["target_sums"] = encode.fit_target_sums(train, targets, LABEL, fold)
         row = train.agg(F.avg(LABEL), F.count(F.lit(1))).first()

@@ -123,9 +123,17 @@ def run_available(df: DataFrame, label: str, output_mode: str = "append") -> Dat
     """Process everything available, then read the result back from the shared folder."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    query = (
+    writer = (
         df.writeStream.format("parquet").outputMode(output_mode).option("path", path)
-        .option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start())
+        .option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True))
+    # streams are not coalesced at runtime: no more state partitions than cores
+    setting = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, min(int(before), spark.sparkContext.defaultParallelism))
+    try:
+        query = writer.start()
+    finally:
+        spark.conf.set(setting, before)
     query.awaitTermination()
     return spark.read.schema(df.schema).parquet(path)
 
