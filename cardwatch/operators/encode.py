@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType
 
 from cardwatch.functions import fixed
-from cardwatch.operators.groups import attach_stats
+from cardwatch.operators.groups import attach_stats, join_stats
 from cardwatch.operators.ordering import at_or_before, order_cuts, with_row_index
 from cardwatch.session import materialize
 
@@ -109,7 +109,7 @@ def lookup_fitted_map(
     df: DataFrame, dim: DataFrame, key: str, value: str, default: object
 ) -> DataFrame:
     """Left lookup in a fitted (key, value) table; unseen keys get ``default``."""
-    return df.join(dim.select(key, value), key, "left").fillna({value: default})
+    return join_stats(df, dim.select(key, value), key, {value: default})
 
 
 # ---- smoothed target means ------------------------------------------------------

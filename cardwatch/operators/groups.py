@@ -2,10 +2,7 @@
 
 All statistics of one key come from one ``groupBy``: partial aggregation runs
 before the shuffle, so a key holding a third of the table costs no more than any
-other there. The result is joined back as an ordinary equi join without hints:
-adaptive execution broadcasts it when its measured size is small and otherwise
-splits the oversized partitions that hot keys (or many NULL keys, which match
-nothing) leave on the row side.
+other there. The result is joined back without hints (see :func:`join_stats`).
 """
 
 from __future__ import annotations
@@ -30,7 +27,17 @@ def attach_stats(
 def join_stats(
     df: DataFrame, per_key: DataFrame, key: str, fill: dict[str, object] | None = None
 ) -> DataFrame:
-    out = df.join(per_key, key, "left")
+    """Left equi join that adaptive execution can broadcast or split.
+
+    A small ``per_key`` is broadcast after its size was measured. Otherwise the row
+    side may be skewed, by a hot key or by NULL keys. Skewed partitions are split only
+    if both sides are plain shuffles, and an aggregate would keep the shuffle of its
+    ``groupBy``; the second, redundant join key gives it a shuffle of its own.
+    """
+    stats = per_key.withColumnRenamed(key, "_stat_key")
+    same = (F.col(key) == F.col("_stat_key")) & (
+        F.xxhash64(key) == F.xxhash64("_stat_key"))
+    out = df.join(stats, same, "left").drop("_stat_key")
     return out.fillna(fill) if fill else out
 
 

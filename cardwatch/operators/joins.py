@@ -12,9 +12,12 @@ def join_identity(txn: DataFrame, identity: DataFrame, key: str = "TransactionID
 def dedup_against_seen(
     new: DataFrame, seen: DataFrame, key: str = "TransactionID"
 ) -> DataFrame:
-    """New messages whose id was not kept before, one per id."""
-    fresh = new.join(seen.select(key).distinct(), key, "left_anti")
-    return fresh.dropDuplicates([key])
+    """New messages whose id was not kept before, one per id.
+
+    Copies collapse first (combined before the shuffle), so an id repeated in much of
+    the table is one row by the time it is joined.
+    """
+    return new.dropDuplicates([key]).join(seen.select(key), key, "left_anti")
 
 
 def union_predictions(fraud: DataFrame, legit: DataFrame) -> DataFrame:
