@@ -10,7 +10,7 @@ from cardwatch.functions import risk
 from cardwatch.operators import encode, groups, joins, split
 from cardwatch.session import scratch_path
 from cardwatch.sources import payload, schemas, tables
-from cardwatch.sources.binding import EVENT_SCHEMA, TRANSACTION_RULES, scored, transactions
+from cardwatch.sources.binding import TRANSACTION_RULES, scored, transactions
 
 _ID = "TransactionID"
 _IDENTITY = ["DeviceType", "DeviceInfo", "id_02", "id_12", "id_31", "id_33"]

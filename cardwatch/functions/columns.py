@@ -6,8 +6,6 @@ number of features in one projection and the whole set stays in one codegen stag
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, functions as F
 
 from cardwatch.functions import fixed
@@ -241,12 +239,3 @@ def hash_interaction(number: str, text: str) -> Column:
     """number x stable text hash, folded into 2^31 so the product stays exact."""
     digest = F.pmod(F.xxhash64(F.coalesce(F.col(text), F.lit("unknown"))), F.lit(2**31))
     return F.col(number).cast("double") * digest
-
-
-def add_columns(df, columns: dict[str, Column]):
-    """All columns in one projection."""
-    return df.withColumns(columns)
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
