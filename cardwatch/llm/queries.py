@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from cardwatch.llm import exact_dedup, secrets
+import public_tokenizers
+
+from cardwatch.llm import bpe, exact_dedup, secrets, wavelet
 from cardwatch.llm.common import documents
 
+#: Vocabulary files of the registered queries.
+BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
@@ -22,3 +27,9 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM n WINDOW w AS (PARTITION BY t)""")
 
 _add("op4_secret_scan", lambda spark, d: secrets.secret_report(documents(spark, d)))
+
+_add("op2_wavelet_shards", lambda spark, d: wavelet.token_files(
+    documents(spark, d), public_tokenizers.path(WORD_BPE), end_id=2))
+
+_add("op7_forced_boundary_bpe", lambda spark, d: bpe.round_trip(
+    documents(spark, d), public_tokenizers.path(BYTE_BPE)))
