@@ -50,11 +50,31 @@ def joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[ends[0]:ends[-1]], ends - ends[0]
 
 
+class RangeHash:
+    """64-bit hashes of ranges of a buffer: equal bytes give equal hashes, wherever they stand."""
+
+    def __init__(self, size: int = BLOCK):
+        self.grow(size)
+
+    def grow(self, size: int) -> None:
+        self.power = powers(int(_STEP), size)
+        self.inverse = powers(pow(int(_STEP), -1, 2**64), size)
+
+    def __call__(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        if len(raw) > len(self.power):
+            self.grow(len(raw))
+        total = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(_BYTE[raw] * self.power[:len(raw)], out=total[1:])
+        # A range that begins at the end of the buffer is empty, whatever its power.
+        h = (total[end] - total[start]) * self.inverse[np.minimum(start, len(self.inverse) - 1)]
+        h = (h ^ (h >> np.uint64(29))) * _MIX + (end - start).astype(np.uint64) * _STEP
+        return h ^ (h >> np.uint64(32))
+
+
 class FragmentIds:
     def __init__(self, encode: Callable[[list[bytes]], list[list[int]]]):
         self.encode = encode
-        self.power = powers(int(_STEP), BLOCK)
-        self.inverse = powers(pow(int(_STEP), -1, 2**64), BLOCK)
+        self.hashes = RangeHash()
         self.clear()
 
     def clear(self) -> None:
@@ -63,16 +83,6 @@ class FragmentIds:
         self.count = np.zeros(n, np.int32)
         self.pool, self.held = np.zeros(1 << 16, np.uint32), 0
 
-    def hashes(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        if len(raw) > len(self.power):
-            self.power = powers(int(_STEP), len(raw))
-            self.inverse = powers(pow(int(_STEP), -1, 2**64), len(raw))
-        total = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_BYTE[raw] * self.power[:len(raw)], out=total[1:])
-        h = (total[end] - total[start]) * self.inverse[start]
-        h = (h ^ (h >> np.uint64(29))) * _MIX + (end - start).astype(np.uint64) * _STEP
-        return h ^ (h >> np.uint64(32))
-
     def ids(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all fragments (each not empty) one after the other, and how many each has."""
         flat, counts, first = [], [], 0

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from cardwatch.llm import bpe, exact_dedup, packing, secrets, wavelet
+from cardwatch.llm import bpe, exact_dedup, packing, rules, secrets, wavelet
 from cardwatch.llm.common import documents
 
 #: Vocabulary files of the registered queries.
@@ -36,3 +36,5 @@ _add("op7_forced_boundary_bpe", lambda spark, d: bpe.round_trip(
 
 _add("op10_retrieval_packing", lambda spark, d: packing.pack_report(
     documents(spark, d), public_tokenizers.path(BYTE_BPE), end_id=1))
+
+_add("op9_robust_outliers", lambda spark, d: rules.judge(documents(spark, d)))

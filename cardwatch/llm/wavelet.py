@@ -34,6 +34,7 @@ from pyspark.sql.window import Window
 
 from cardwatch.llm.common import quoted, text_of, written
 from cardwatch.llm.fragments import FragmentIds, chunks, joined
+from cardwatch.llm.words import word_ranges
 from cardwatch.session import scratch_path
 
 MAGIC = b"WMTOKEN1"
@@ -194,21 +195,11 @@ class WordCodec:
         self.library.no_padding()
         self.words = FragmentIds(lambda words: [e.ids for e in self.library.encode_batch_fast(
             [w.decode() for w in words], add_special_tokens=False)])
-        self.blank = np.zeros(256, bool)
-        self.blank[[*range(9, 14), 32]] = True
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and where each text's begin and the last end."""
         raw, ends = joined(texts)
-        ink = ~self.blank[raw]
-        begins, stops = np.zeros(len(raw) + 1, bool), np.zeros(len(raw) + 1, bool)
-        begins[:-1], stops[1:] = ink, ink
-        begins[1:-1] &= ~ink[:-1]
-        stops[1:-1] &= ~ink[1:]
-        at = ends[(ends > 0) & (ends < len(raw))]  # a word ends with its text
-        cut = at[ink[at - 1] & ink[at]]
-        begins[cut] = stops[cut] = True
-        start, stop = np.flatnonzero(begins), np.flatnonzero(stops)
+        start, stop = word_ranges(raw, ends)
         ids, n = self.words.ids(raw, start, stop)
         total = np.concatenate([[0], np.cumsum(n)])
         return ids, total[np.searchsorted(start, ends)]
