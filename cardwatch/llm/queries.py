@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from cardwatch.llm import bpe, exact_dedup, packing, quality, rules, secrets, wavelet
+from cardwatch.llm import bpe, exact_dedup, near_dedup, packing, quality, rules, secrets, wavelet
 from cardwatch.llm.common import documents
 
 #: Vocabulary files of the registered queries.
@@ -41,3 +41,5 @@ _add("op9_robust_outliers", lambda spark, d: rules.judge(documents(spark, d)))
 
 _add("op1_quality_nbsvm", lambda spark, d: quality.quality_report(
     documents(spark, d), spark.read.parquet(f"{d}/labels.parquet")))
+
+_add("op6_weighted_minhash", lambda spark, d: near_dedup.near_dedup(documents(spark, d)))
