@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Slots of the table, ids held by it, bytes of a fragment that is kept, bytes hashed at a time.
-SLOTS_LOG2, POOL, KEPT, BLOCK = 20, 6_000_000, 64, 1 << 18
+SLOTS_LOG2, POOL, KEPT, BLOCK = 21, 12_000_000, 64, 1 << 18
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)

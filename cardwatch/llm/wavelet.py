@@ -183,8 +183,18 @@ class WaveletFile:
             yield doc.as_py(), all_tokens[self.starts[k]:self.starts[k + 1]]
 
 
+#: Between a Latin letter and one of these the pre-tokenizer always splits.
+_STOP = np.zeros(256, bool)
+_STOP[list(b",.;:!?")] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+
+
 class WordCodec:
-    """Ids of a vocabulary whose pre-tokenizer drops white space: words are encoded on their own."""
+    """Ids of a vocabulary whose pre-tokenizer drops white space and splits letters from the rest.
+
+    Words are encoded on their own, and so are the stops behind Latin letters.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -193,13 +203,31 @@ class WordCodec:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.words = FragmentIds(lambda words: [e.ids for e in self.library.encode_batch_fast(
-            [w.decode() for w in words], add_special_tokens=False)])
+        self.words = FragmentIds(self._library_ids)
+
+    def _library_ids(self, words: list[bytes]) -> list[list[int]]:
+        """Ids by the library; a word of Latin letters needs no pre-tokenizer, only lower case."""
+        out: list[list[int] | None] = [None] * len(words)
+        rest = []
+        for k, word in enumerate(words):
+            if word.isalpha():  # of bytes: ASCII letters only
+                out[k] = [t.id for t in self.library.model.tokenize(word.lower().decode())]
+            else:
+                rest.append(k)
+        encoded = self.library.encode_batch_fast([words[k].decode() for k in rest], add_special_tokens=False)
+        for k, e in zip(rest, encoded, strict=True):
+            out[k] = e.ids
+        return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and where each text's begin and the last end."""
         raw, ends = joined(texts)
         start, stop = word_ranges(raw, ends)
+        if len(raw):
+            split = np.flatnonzero(_LETTER[raw[:-1]] & _STOP[raw[1:]]) + 1
+            split = np.setdiff1d(split, start, assume_unique=True)  # a text can begin with a stop
+            start = np.sort(np.concatenate([start, split]), kind="stable")
+            stop = np.sort(np.concatenate([stop, split]), kind="stable")
         ids, n = self.words.ids(raw, start, stop)
         total = np.concatenate([[0], np.cumsum(n)])
         return ids, total[np.searchsorted(start, ends)]
