@@ -26,6 +26,10 @@ from cardwatch.llm.common import quoted, text_of
 from cardwatch.llm.fragments import FragmentIds, chunks, joined
 
 
+#: Rows decoded at a time; of their ids only one row's are Python objects at once.
+DECODED = 256
+
+
 def byte_alphabet() -> dict[str, int]:
     """The published mapping of printable characters to bytes in byte-level vocabularies."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -147,8 +151,11 @@ def decode(tokens: DataFrame, path: str, ids_col: str = "ids", text_col: str = "
     def run(batches):
         own = codec(path)
         for batch in batches:
-            texts = pa.array([own.decode(x or []) for x in batch[ids_col].to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*[batch[c] for c in rest], texts], [*rest, text_col])
+            for k in range(0, batch.num_rows, DECODED):
+                part = batch.slice(k, DECODED)
+                texts = pa.array([own.decode(x.values.to_numpy().tolist() if x.is_valid else [])
+                                  for x in part[ids_col]], pa.string())
+                yield pa.RecordBatch.from_arrays([*[part[c] for c in rest], texts], [*rest, text_col])
 
     return tokens.select(*[quoted(c) for c in rest]).mapInArrow(run, schema)
 
