@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from cardwatch.llm import bpe, exact_dedup, near_dedup, packing, quality, rules, secrets, substrings, wavelet
+from cardwatch.llm import bpe, exact_dedup, lines, near_dedup, packing, quality, rules, secrets, substrings, wavelet
 from cardwatch.llm.common import documents
 
 #: Vocabulary files of the registered queries.
@@ -45,3 +45,5 @@ _add("op1_quality_nbsvm", lambda spark, d: quality.quality_report(
 _add("op6_weighted_minhash", lambda spark, d: near_dedup.near_dedup(documents(spark, d)))
 
 _add("op8_prefix_doubling", lambda spark, d: substrings.repeated_report(documents(spark, d)))
+
+_add("op3_line_runs", lambda spark, d: lines.line_report(documents(spark, d)))

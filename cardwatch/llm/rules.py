@@ -169,7 +169,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     failed = F.expr(f"n_words < {LEAST_WORDS} or 100 * n_repeat_words > {MOST_REPEATED} * n_words")
     rows = statistics(slim).withColumn("base_failed", failed)
     rows = written(rows.select("*", *[F.expr(e).alias(f) for f, (e, _) in FEATURES.items()]), "rule-statistics")
-    rows = _cells(rows)
+    rows = written(_cells(rows), "rule-cells")
     usable = rows.where("not base_failed and cell is not null").select("cell", *FEATURES)
     estimate = estimates(usable)
     open_cell = estimate.select("cell", "mean", "inverse")

@@ -1,24 +1,52 @@
-"""Corpus preparation: each stage takes the documents its predecessor kept."""
+"""Corpus preparation: each stage takes the documents its predecessor kept.
+
+Every stage returns the columns of documents but the last, which returns the packed pieces. ``run``
+writes each stage's documents to the shared folder before the next one reads them.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cardwatch.llm import exact_dedup, secrets
+from cardwatch.llm import exact_dedup, near_dedup, packing, quality, secrets
 from cardwatch.llm.common import documents, written
 
+#: Vocabulary of the packed ids, and the id that ends a document.
+VOCABULARY, END_ID = "byte_bpe_50k.json", 1
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts; it learns from the labelled ones among ``docs``."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_copies(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.drop_near_copies(docs)
+
+
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets replaced; the ledger belongs to this run."""
     return secrets.redact(docs)
 
 
-STAGES = [("exact_dedup", drop_exact_copies), ("secret_scan", redact_secrets)]
+def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_report(docs, public_tokenizers.path(VOCABULARY), END_ID)
+
+
+STAGES = [
+    ("quality_classifier", keep_quality),
+    ("exact_dedup", drop_exact_copies),
+    ("near_dedup", drop_near_copies),
+    ("secret_scan", redact_secrets),
+    ("packing", pack_windows),
+]
 
-#: The classifier's training and the packing can't be said in SQL; tests use brute force.
+#: The classifier's fit and the packing can't be said in SQL; tests hold them against brute force.
 ORACLE_SQL = None
 
 
