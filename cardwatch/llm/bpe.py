@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from cardwatch.llm.common import quoted, text_of
+from cardwatch.llm.common import bundled, quoted, text_of, unbundled
 from cardwatch.llm.fragments import FragmentIds, chunks, joined
 
 
@@ -127,26 +127,25 @@ def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     already called ``ids`` is replaced.
     """
     rest = [c for c in docs.columns if c not in (text_col, "ids")]
-    slim = docs.select(*[quoted(c) for c in rest], text_of(text_col).alias(text_col))
-    schema = StructType([*slim.select(*[quoted(c) for c in rest]).schema,
-                         StructField("ids", ArrayType(IntegerType()))])
+    slim = docs.select(bundled(rest), text_of(text_col).alias("text"))
+    schema = StructType([slim.schema["row"], StructField("ids", ArrayType(IntegerType()))])
 
     def run(batches):
         own = codec(path)
-        for part in chunks(batches, text_col):
-            ids, ends = own.encode(part[text_col])
+        for part in chunks(batches, "text"):
+            ids, ends = own.encode(part["text"])
             column = pa.ListArray.from_arrays(
                 pa.array(ends.astype(np.int32)), pa.array(ids.view(np.int32)))
-            yield pa.RecordBatch.from_arrays([*[part[c] for c in rest], column], [*rest, "ids"])
+            yield pa.RecordBatch.from_arrays([part["row"], column], schema.names)
 
-    return slim.mapInArrow(run, schema)
+    return slim.mapInArrow(run, schema).select(*unbundled(rest), "ids")
 
 
 def decode(tokens: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """``tokens`` and the text of their ids, special tokens included; no ids give an empty text."""
     rest = [c for c in tokens.columns if c != text_col]
-    schema = StructType([*tokens.select(*[quoted(c) for c in rest]).schema,
-                         StructField(text_col, StringType())])
+    slim = tokens.select(bundled(rest), quoted(ids_col).alias("ids"))
+    schema = StructType([slim.schema["row"], StructField("text", StringType())])
 
     def run(batches):
         own = codec(path)
@@ -154,10 +153,10 @@ def decode(tokens: DataFrame, path: str, ids_col: str = "ids", text_col: str = "
             for k in range(0, batch.num_rows, DECODED):
                 part = batch.slice(k, DECODED)
                 texts = pa.array([own.decode(x.values.to_numpy().tolist() if x.is_valid else [])
-                                  for x in part[ids_col]], pa.string())
-                yield pa.RecordBatch.from_arrays([*[part[c] for c in rest], texts], [*rest, text_col])
+                                  for x in part["ids"]], pa.string())
+                yield pa.RecordBatch.from_arrays([part["row"], texts], schema.names)
 
-    return tokens.select(*[quoted(c) for c in rest]).mapInArrow(run, schema)
+    return slim.mapInArrow(run, schema).select(*unbundled(rest), F.col("text").alias(text_col))
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:

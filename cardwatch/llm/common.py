@@ -36,3 +36,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
 def numbered(df: DataFrame, label: str, uid: str = "_uid") -> DataFrame:
     """Write a table with one unique number per row; repeated rows get their own."""
     return written(df.withColumn(uid, F.monotonically_increasing_id()), label)
+
+
+def bundled(columns: list[str]) -> Column:
+    """A column ``row`` with the named columns, so that none clashes with a working column."""
+    return F.struct(F.lit(True).alias("_bundle"), *[quoted(c) for c in columns]).alias("row")
+
+
+def unbundled(columns: list[str]) -> list[Column]:
+    """The columns of ``row`` under their own names."""
+    return [F.col("row").getField(c).alias(c) for c in columns]

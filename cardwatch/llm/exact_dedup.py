@@ -52,43 +52,36 @@ def radix_groups(rows: DataFrame, body: str = "_body", uid: str = "_uid") -> Dat
 
 
 def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` plus _uid, _keep_id, _size, _kept and _sha256, one row per row.
+    """(row, keep_id, group_size, kept, text_sha256) of each row of ``docs``, ``row`` with all its columns.
 
     Texts are equal when they are after each run of white space became one blank; null counts as
     empty. The row with the smallest id stays; a missing id sorts last, and of rows with equal
     text and id one stays. An empty table gives an empty result.
     """
-    names = [quoted(c) for c in docs.columns]
     norm = F.regexp_replace(text_of(text_col), SPACE + "+", " ")
-    rows = numbered(docs.select(*names, norm.cast("binary").alias("_body"),
-                                F.sha2(norm, 256).alias("_sha256")), "radix-rows")
+    rows = numbered(docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("row"),
+                                quoted(id_col).alias("_id"), norm.cast("binary").alias("_body"),
+                                F.sha2(norm, 256).alias("text_sha256")), "radix-rows")
     member = radix_groups(rows)
-    ids = rows.select("_uid", quoted(id_col).alias("_id"))
-    member = written(member.join(ids, "_uid"), "radix-members")
+    member = written(member.join(rows.select("_uid", "_id"), "_uid"), "radix-members")
     order = F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"),
                      F.col("_uid").alias("uid"))
     groups = member.groupBy("_group").agg(F.count("*").alias("_size"), F.min(order).alias("_first"))
     labels = member.join(groups, "_group").select(
         "_uid", "_size", F.col("_first.id").alias("_keep"), F.col("_first.uid").alias("_keep_uid"))
-    out = rows.drop("_body").join(labels, "_uid", "left")
     single = F.col("_size").isNull()
-    return out.select(
-        *names, "_uid", "_sha256",
-        F.when(single, quoted(id_col)).otherwise(F.col("_keep")).alias("_keep_id"),
-        F.coalesce("_size", F.lit(1).cast("long")).alias("_size"),
-        (single | (F.col("_keep_uid") == F.col("_uid"))).alias("_kept"))
+    return rows.drop("_body").join(labels, "_uid", "left").select(
+        "row", F.when(single, F.col("_id")).otherwise(F.col("_keep")).alias("keep_id"),
+        F.coalesce("_size", F.lit(1).cast("long")).alias("group_size"),
+        (single | (F.col("_keep_uid") == F.col("_uid"))).alias("kept"), "text_sha256")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, keep_id, group_size, kept, text_sha256) of every row of ``docs``."""
+    """(doc_id, keep_id, group_size, kept, text_sha256) of every row of ``docs``."""
     slim = docs.select(quoted(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    out = exact_copies(slim)
-    return out.select("doc_id", F.col("_keep_id").alias("keep_id"),
-                      F.col("_size").alias("group_size"), F.col("_kept").alias("kept"),
-                      F.col("_sha256").alias("text_sha256"))
+    return exact_copies(slim).select("row.doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with their columns unchanged."""
-    kept = exact_copies(docs, id_col, text_col).where("_kept")
-    return kept.select(*[quoted(c) for c in docs.columns])
+    return exact_copies(docs, id_col, text_col).where("kept").select("row.*")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, IntegerType, StructField, StructType
 
-from cardwatch.llm.common import quoted, text_of
+from cardwatch.llm.common import bundled, quoted, text_of, unbundled
 from cardwatch.llm.fragments import RangeHash, chunks, joined
 from cardwatch.llm.words import word_ranges
 
@@ -192,22 +192,21 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     ``docs`` that have the names of the results are replaced.
     """
     rest = [c for c in docs.columns if c not in (text_col, "held_out", "score", "predicted")]
-    slim = docs.select(*[quoted(c) for c in rest], held_out(quoted(id_col)).alias("held_out"),
-                       text_of(text_col).alias(text_col))
-    schema = StructType([*slim.drop(text_col).schema, StructField("score", DoubleType()),
+    slim = docs.select(bundled(rest), held_out(quoted(id_col)).alias("held_out"), text_of(text_col).alias("text"))
+    schema = StructType([slim.schema["row"], slim.schema["held_out"], StructField("score", DoubleType()),
                          StructField("predicted", IntegerType())])
     slim_model = Model(model.weight.astype(np.float32), model.ratio.astype(np.float32), model.bias,
                        model.slope, model.shift)  # 2 MB, whatever the corpus
 
     def run(batches):
         hashes, distinct = RangeHash(), Distinct()
-        for part in chunks(batches, text_col):
-            got = np.array([slim_model.score(x) for x in features(part, text_col, hashes, distinct)])
+        for part in chunks(batches, "text"):
+            got = np.array([slim_model.score(x) for x in features(part, "text", hashes, distinct)])
             yield pa.RecordBatch.from_arrays(
-                [*[part[c] for c in [*rest, "held_out"]], pa.array(got), pa.array((got >= THRESHOLD).astype(np.int32))],
+                [part["row"], part["held_out"], pa.array(got), pa.array((got >= THRESHOLD).astype(np.int32))],
                 schema.names)
 
-    return slim.mapInArrow(run, schema)
+    return slim.mapInArrow(run, schema).select(*unbundled(rest), "held_out", "score", "predicted")
 
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -218,7 +217,5 @@ def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` predicted to be good, with their columns unchanged."""
     model = train(docs, labels)
-    names = [quoted(c) for c in docs.columns]
-    scored = score(docs.select(quoted("doc_id").alias("doc_id"), text_of("text").alias("text"),
-                               F.struct(*names).alias("_row")), model)
-    return scored.where("predicted = 1").select("_row.*")
+    slim = docs.select(quoted("doc_id").alias("doc_id"), text_of("text").alias("text"), bundled(docs.columns))
+    return score(slim, model).where("predicted = 1").select(*unbundled(docs.columns))

@@ -39,6 +39,9 @@ RULES = (
     Rule("hex", r"[0-9a-f]{24,}"),
 )
 
+#: What a removed secret leaves in the text.
+MARK = "[SECRET]"
+
 LEDGER = StructType([
     StructField("blob", StringType()),
     StructField("rule", StringType()),
@@ -113,25 +116,23 @@ def update_ledger(docs: DataFrame, path: str, rules=RULES) -> DataFrame:
 
 def scan_documents(docs: DataFrame, ledger: str | None = None, id_col: str = "doc_id",
                    text_col: str = "text", rules=RULES) -> DataFrame:
-    """All columns of ``docs`` plus _spans, the sorted (start, kind, end) of each row's secrets.
+    """(row, spans): each row of ``docs`` as a struct, and the sorted (start, kind, end) of its secrets.
 
     Null text counts as empty and has none; repeated rows are scanned once and each get the
     findings; an empty table scans nothing. ``kind`` is the rule's place in ``rules``. Without
     ``ledger`` a new one is begun in the shared folder.
     """
     path = ledger or scratch_path(docs.sparkSession, "ledger")
-    names = [quoted(c) for c in docs.columns]
-    keyed = docs.select(*names, F.sha2(text_of(text_col), 256).alias("_blob"))
+    blob = F.sha2(text_of(text_col), 256).alias("blob")
     known = update_ledger(
-        keyed.select(quoted(id_col).alias("id"), F.col("_blob").alias("blob"),
-                     text_of(text_col).alias("text")), path, rules)
+        docs.select(quoted(id_col).alias("id"), blob, text_of(text_col).alias("text")), path, rules)
     kind = F.array_position(F.array(*[F.lit(r.name) for r in rules]), F.col("rule")).cast("int") - 1
     hits = known.select("blob", kind.alias("kind"), F.explode("spans").alias("s"))
-    by_blob = hits.groupBy(F.col("blob").alias("_blob")).agg(F.sort_array(F.collect_set(
-        F.struct(F.col("s.start").alias("start"), "kind", F.col("s.end").alias("end")))).alias("_spans"))
+    by_blob = hits.groupBy("blob").agg(F.sort_array(F.collect_set(
+        F.struct(F.col("s.start").alias("start"), "kind", F.col("s.end").alias("end")))).alias("spans"))
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
-    return keyed.join(by_blob, "_blob", "left").select(
-        *names, F.coalesce("_spans", none).alias("_spans"))
+    rows = docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("row"), blob)
+    return rows.join(by_blob, "blob", "left").select("row", F.coalesce("spans", none).alias("spans"))
 
 
 def secret_report(docs: DataFrame, ledger: str | None = None, rules=RULES) -> DataFrame:
@@ -139,32 +140,32 @@ def secret_report(docs: DataFrame, ledger: str | None = None, rules=RULES) -> Da
     slim = docs.select(quoted("doc_id"), text_of("text").alias("text"))
     out = scan_documents(slim, ledger, rules=rules)
     names = F.array(*[F.lit(r.name) for r in rules])
-    texts = F.transform("_spans", lambda s: F.concat_ws(
+    texts = F.transform("spans", lambda s: F.concat_ws(
         ":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string")))
     spans = F.concat_ws(",", texts)
-    kinds = F.transform("_spans", lambda s: s["kind"])
-    counts = [F.size(F.array_remove(kinds, F.lit(k))).cast("long") for k in range(len(rules))]
-    counts = [(F.size(kinds) - n).alias(f"n_{r.name}") for n, r in zip(counts, rules, strict=True)]
-    return out.select("doc_id", *counts, F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"))
+    kinds = F.transform("spans", lambda s: s["kind"])
+    others = [F.size(F.array_remove(kinds, F.lit(k))) for k in range(len(rules))]
+    counts = [(F.size(kinds) - n).cast("long").alias(f"n_{r.name}") for n, r in zip(others, rules, strict=True)]
+    return out.select("row.doc_id", *counts, F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"))
 
 
-def redact(docs: DataFrame, ledger: str | None = None, id_col: str = "doc_id",
-           text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, ledger: str | None = None, id_col: str = "doc_id", text_col: str = "text",
+           mark: str = MARK) -> DataFrame:
     """``docs`` with every found span replaced by ``mark``; overlapping spans become one.
 
     Columns stay as they are, but for the text of documents with findings.
     """
     out = scan_documents(docs, ledger, id_col, text_col)
-    text = quoted(text_col)
+    field = lambda c: F.col("row").getField(c)
+    text = field(text_col)
     zero = F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at"))
 
     def step(acc, s):
         gap = F.substring(text, acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int"))
         grown = F.struct(F.concat(acc["done"], gap, F.lit(mark)).alias("done"), s["end"].alias("at"))
-        inside = F.struct(acc["done"].alias("done"),
-                          F.greatest(acc["at"], s["end"]).alias("at"))
-        return F.when((s["start"] < acc["at"]), inside).otherwise(grown)
+        inside = F.struct(acc["done"].alias("done"), F.greatest(acc["at"], s["end"]).alias("at"))
+        return F.when(s["start"] < acc["at"], inside).otherwise(grown)
 
     rest = lambda a: F.concat(a["done"], F.substr(text, (a["at"] + 1).cast("int")))
-    clean = F.when(F.size("_spans") == 0, text).otherwise(F.aggregate("_spans", zero, step, rest))
-    return out.select(*[clean.alias(c) if c == text_col else quoted(c) for c in docs.columns])
+    clean = F.when(F.size("spans") == 0, text).otherwise(F.aggregate("spans", zero, step, rest))
+    return out.select(*[(clean if c == text_col else field(c)).alias(c) for c in docs.columns])

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cardwatch.llm import exact_dedup, near_dedup, packing, quality, secrets
 from cardwatch.llm.common import documents, written
@@ -30,8 +31,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their secrets replaced; the ledger belongs to this run."""
-    return secrets.redact(docs)
+    """All documents, their secrets replaced and such texts counted anew; the ledger is this run's."""
+    marked = F.col("text").contains(secrets.MARK)
+    size = F.when(marked, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return secrets.redact(docs).withColumn("n_chars", size)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
