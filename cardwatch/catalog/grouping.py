@@ -445,3 +445,46 @@ def stratified_split(spark, d):
     train, valid = split.stratified_split(df, "isFraud", _ID)
     return train.withColumn("part", F.lit("train")).unionByName(
         valid.withColumn("part", F.lit("valid")))
+
+
+# Rows without a time, and ids that are texts: both as the wire brings them.
+_TEXT_ID = f"""WITH {TXN_CTE}, gaps AS (
+  SELECT 'TXN_' || TransactionID AS TransactionID,
+    CASE WHEN TransactionID % 5 <> 3 THEN TransactionDT END AS TransactionDT FROM txn)"""
+
+
+def _gaps(spark, d):
+    return transactions(spark, d).select(
+        F.concat(F.lit("TXN_"), F.col(_ID).cast("string")).alias(_ID),
+        F.when(F.col(_ID) % 5 != 3, F.col("TransactionDT")).alias("TransactionDT"))
+
+
+@query("split_missing_time", f"""{_TEXT_ID}, ranked AS (SELECT *, count(*) OVER () AS n,
+  row_number() OVER (ORDER BY TransactionDT NULLS LAST, TransactionID) AS rn FROM gaps)
+SELECT TransactionID, CASE WHEN rn <= floor(n * 0.7) THEN 'train' ELSE 'valid' END AS by_rank,
+  CASE WHEN rn <= floor(n * 0.9) THEN 'train' ELSE 'valid' END AS by_rank_late,
+  CASE WHEN TransactionDT <= (SELECT quantile_cont(TransactionDT, 0.8) FROM gaps)
+    THEN 'train' ELSE 'valid' END AS by_quantile FROM ranked""")
+def split_missing_time(spark, d):
+    """The second cut falls among the rows without a time."""
+    df = _gaps(spark, d)
+    named = lambda c: F.when(c, "train").otherwise("valid")
+    marked = df.withColumns({"by_rank": named(split.train_condition(df, 0.7)),
+                             "by_rank_late": named(split.train_condition(df, 0.9))})
+    train, valid = split.quantile_time_split(marked)
+    return train.withColumn("by_quantile", F.lit("train")).unionByName(
+        valid.withColumn("by_quantile", F.lit("valid"))).drop("TransactionDT")
+
+
+@query("stratified_split_many_classes", f"""{_TEXT_ID}, classed AS (SELECT TransactionID,
+  CAST(substr(TransactionID, 5) AS BIGINT) // 7 AS class FROM gaps)
+SELECT TransactionID, class, CASE WHEN rk <= floor(n * 0.8) THEN 'train' ELSE 'valid' END AS part
+FROM (SELECT *, count(*) OVER (PARTITION BY class) AS n, row_number() OVER (PARTITION BY class
+  ORDER BY ((CAST('0x' || substr(md5(TransactionID), 1, 7) AS BIGINT) + 42) * 2654435761)
+    % 4294967296, TransactionID) AS rk FROM classed)""")
+def stratified_split_many_classes(spark, d):
+    number = F.substring(_ID, 5, 20).cast("bigint")
+    df = _gaps(spark, d).select(_ID, F.floor(number / 7).alias("class"))
+    train, valid = split.stratified_split(df, "class", _ID)
+    return train.withColumn("part", F.lit("train")).unionByName(
+        valid.withColumn("part", F.lit("valid")))

@@ -235,8 +235,8 @@ def distinct_products(spark, d):
     + ", TransactionAmt * ((TransactionDT // 3600) % 24) AS amt_x_hour FROM txn"))
 def interaction_features(spark, d):
     txn = transactions(spark, d).withColumn("dt_hour", fx.hour_of_day())
-    products = [r[0] for r in groups.distinct_values(txn, "ProductCD").limit(100).collect()]
-    made = fx.interaction_features(txn.columns, sorted(products))
+    products = fx.one_hot_values(groups.distinct_values(txn, "ProductCD"))
+    made = fx.interaction_features(txn.columns, products)
     return txn.select("TransactionID", *[c.alias(n) for n, c in made.items()])
 
 

@@ -6,7 +6,7 @@ number of features in one projection and the whole set stays in one codegen stag
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from cardwatch.functions import fixed
 
@@ -218,6 +218,18 @@ def screen_features(c: str = "id_33") -> dict[str, Column]:
 
 
 # ---- interactions -----------------------------------------------------------
+#: Values of a column that may become columns of their own.
+MOST_ONE_HOT = 1000
+
+
+def one_hot_values(distinct: DataFrame, most: int = MOST_ONE_HOT) -> list:
+    """The sorted values of a one-column table; more than ``most`` are an error, never a silent cut."""
+    values = [r[0] for r in distinct.limit(most + 1).collect()]
+    if len(values) > most:
+        raise ValueError(f"more than {most} values to make columns of")
+    return sorted(values)
+
+
 def interaction_features(available: list[str], products: list[str]) -> dict[str, Column]:
     amt = F.col("TransactionAmt")
     out: dict[str, Column] = {}

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from cardwatch.session import materialize
 
 BINS = 1024
-SMALL = 10_000  # rows of an interval that may be listed on the driver
+SMALL = 10_000  # rows of an interval whose values are listed, instead of counted once more
 
 
 def values_at_ranks(
@@ -24,8 +24,10 @@ def values_at_ranks(
 ) -> dict[int, tuple[float, int]]:
     """0-based rank -> (value, rows strictly below it), NULLs left out."""
     work = df.select(F.col(column).alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
-    lo, hi, n = work.agg(F.min("v"), F.max("v"), F.count("v")).first()
     ranks = sorted(set(ranks))
+    if not ranks:
+        return {}
+    lo, hi, n = work.agg(F.min("v"), F.max("v"), F.count("v")).first()
     if any(r < 0 or r >= n for r in ranks):
         raise ValueError(f"rank out of range for {n} rows")
     spans = {r: (lo, hi, 0, n) for r in ranks}  # low, high, rows below, rows inside
@@ -98,26 +100,45 @@ def exact_quantiles(df: DataFrame, column: str, qs: list[float]) -> list[float]:
     return out
 
 
+def known_time(column: str) -> Column:
+    """Rows with a usable place in time; the others come after all of them."""
+    t = F.col(column)
+    return t.isNotNull() & ~F.isnan(t.cast("double"))
+
+
 def order_cuts(df: DataFrame, order: tuple[str, str], ranks: Iterable[int]) -> dict[int, tuple]:
-    """0-based rank -> (time, id) of the row there, in (time, id) order."""
+    """0-based rank -> (time, id) of the row there, in (time, id) order.
+
+    Rows without a time follow the others (their cut has time None), ordered by id. Ids may be
+    of any type that sorts; ties are ranked by a range partitioning, never on one task.
+    """
     time_col, id_col = order
-    at = values_at_ranks(df, time_col, ranks)
+    timed = df.where(known_time(time_col))
+    n = timed.count()
+    ranks = sorted(set(ranks))
+    wanted: dict = {}
+    for rank, (value, below) in values_at_ranks(timed, time_col, [r for r in ranks if r < n]).items():
+        wanted.setdefault(value, []).append((rank, rank - below))
+    if ranks and ranks[-1] >= n:
+        wanted[None] = [(r, r - n) for r in ranks if r >= n]
     out = {}
-    by_time: dict = {}
-    for rank, (value, below) in at.items():
-        by_time.setdefault(value, []).append((rank, rank - below))
-    for value, wanted in by_time.items():
-        ties = values_at_ranks(
-            df.where(F.col(time_col) == value), id_col, [inner for _, inner in wanted]
-        )
-        for rank, inner in wanted:
-            out[rank] = (value, ties[inner][0])
+    for value, places in wanted.items():
+        same = ~known_time(time_col) if value is None else F.col(time_col) == value
+        ids = with_row_index(df.where(same).select(id_col), [id_col]).where(
+            F.col("row_index").isin([inner for _, inner in places])).collect()
+        by_place = {r["row_index"]: r[id_col] for r in ids}
+        out |= {rank: (value, by_place[inner]) for rank, inner in places}
     return out
 
 
 def at_or_before(order: tuple[str, str], cut: tuple) -> Column:
-    t, i = F.col(order[0]), F.col(order[1])
-    return (t < cut[0]) | ((t == cut[0]) & (i <= cut[1]))
+    """Never NULL: a row without a time is behind every row that has one, a missing id before all."""
+    timed, i = known_time(order[0]), F.col(order[1])
+    early = F.coalesce(i <= F.lit(cut[1]), i.isNull()) if cut[1] is not None else i.isNull()
+    if cut[0] is None:
+        return timed | early
+    t = F.col(order[0])
+    return timed & ((t < cut[0]) | ((t == cut[0]) & early))
 
 
 def with_row_index(df: DataFrame, order: list[str], out: str = "row_index") -> DataFrame:

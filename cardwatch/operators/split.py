@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cardwatch.operators.ordering import (
-    at_or_before, exact_quantiles, order_cuts,
+    at_or_before, exact_quantiles, known_time, order_cuts, with_row_index,
 )
 
 TIME_ORDER = ("TransactionDT", "TransactionID")
@@ -18,7 +18,10 @@ def sort_by_time(df: DataFrame, keys: tuple[str, ...] = TIME_ORDER) -> DataFrame
 def train_condition(
     df: DataFrame, ratio: float = 0.8, order: tuple[str, str] = TIME_ORDER
 ) -> Column:
-    """True for the first int(n * ratio) rows in time order: one comparison per row."""
+    """True for the first int(n * ratio) rows in time order, rows without a time being the last.
+
+    One comparison per row, and never NULL.
+    """
     n = df.count()
     size = int(n * ratio)
     if size <= 0:
@@ -37,8 +40,23 @@ def chronological_split(
 def quantile_time_split(
     df: DataFrame, ratio: float = 0.8, time: str = "TransactionDT"
 ) -> tuple[DataFrame, DataFrame]:
+    """Rows up to the quantile of time, and the rest with all rows that have no time."""
     (cut,) = exact_quantiles(df, time, [ratio])
-    return df.where(F.col(time) <= cut), df.where(F.col(time) > cut)
+    early = F.lit(False) if cut is None else known_time(time) & (F.col(time) <= cut)
+    return df.where(early), df.where(~early)
+
+
+def _mixed(df: DataFrame, id_col: str, seed: int) -> Column:
+    """A multiplicative hash of the id, spelled out so that any engine can repeat it.
+
+    A whole number is folded to 31 bits first, so the product never leaves 64 bits; any other id
+    enters by the first seven hex digits of the MD5 of its text.
+    """
+    if df.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long"):
+        folded = F.pmod(F.col(id_col).cast("long"), F.lit(2**31))
+    else:
+        folded = F.conv(F.substring(F.md5(F.col(id_col).cast("string")), 1, 7), 16, 10).cast("long")
+    return F.pmod((folded + seed) * F.lit(2654435761), F.lit(4294967296))
 
 
 def stratified_split(
@@ -46,24 +64,16 @@ def stratified_split(
 ) -> tuple[DataFrame, DataFrame]:
     """floor(ratio * n) rows of every class, chosen by a seeded hash of the id.
 
-    The limit is an exact rank of the hash per class, so the split is a filter.
+    Rows are put in order of class and hash by one range partitioning, which also cuts large
+    classes; the place inside a class is the place less that of its first row. Any number of classes.
     """
-    # multiplicative hash, spelled out so that any engine can repeat it; the id is folded
-    # to 31 bits first, so the product never leaves 64 bits
-    folded = F.pmod(F.col(id_col), F.lit(2**31)) + seed
-    mixed = F.pmod(folded * F.lit(2654435761), F.lit(4294967296))
-    work = df.withColumn("_mix", mixed)
-    classes = work.groupBy(label).count().limit(1000).collect()
-    train = F.lit(False)
-    for row in classes:
-        size = int(row["count"] * ratio)
-        if size == 0:
-            continue
-        same = F.col(label).eqNullSafe(F.lit(row[label]))
-        group = work.where(same).select("_mix", id_col)
-        cut = order_cuts(group, ("_mix", id_col), [size - 1])[size - 1]
-        train = train | (same & at_or_before(("_mix", id_col), cut))
-    return work.where(train).drop("_mix"), work.where(~train).drop("_mix")
+    work = df.withColumn("_mix", _mixed(df, id_col, seed))
+    placed = with_row_index(work, [label, "_mix", id_col], "_at")
+    classes = placed.groupBy(F.col(label).alias("_class")).agg(
+        F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    marked = placed.join(classes, F.col(label).eqNullSafe(F.col("_class")))
+    train = F.col("_at") - F.col("_first") < F.floor(F.col("_n") * F.lit(ratio))
+    return marked.where(train).select(*df.columns), marked.where(~train).select(*df.columns)
 
 
 def top_errors(
