@@ -13,13 +13,17 @@ from cardwatch.streaming import jobs
 
 _ID = "TransactionID"
 
+#: State partitions of the queries here; a job on a cluster sets its own.
+STATE_PARTITIONS = 8
+
 
 def events_stream(spark, d):
     """The events table as a stream of transactions with a probability.
 
     The pattern matches the one table, whether it is a file or a folder of files.
     """
-    return scored(shape_events(jobs.file_stream(spark, f"{d}/event[s].parquet", EVENT_SCHEMA)))
+    session = jobs.job_session(spark, STATE_PARTITIONS)
+    return scored(shape_events(jobs.file_stream(session, f"{d}/event[s].parquet", EVENT_SCHEMA)))
 
 
 _STATE_IN = [_ID, "TransactionDT", "t_us", "card1", "TransactionAmt", "ProductCD", "addr1", "addr2",
@@ -118,25 +122,27 @@ def error_isolation(spark, d):
     return done.groupBy("outcome").agg(F.count(F.lit(1)).alias("rows"))
 
 
+#: Seconds behind any event time: the last row of a stream that ends.
+_FOREVER = F.lit(10**10)
+
+
 def _watermarked(spark, d):
     made = risk.simple_decision(F.col("fraud_probability"), CFG.model.base_threshold)
     df = events_stream(spark, d).select(
         "TransactionDT", "card1", "TransactionAmt", "fraud_probability",
         made["decision"].alias("decision"))
-    return jobs.with_watermark(df, CFG)
-
-
-# A window is emitted once the watermark (24 hours behind the newest row) passed its end.
-_CLOSED = "(SELECT max(TransactionDT) FROM txn) - 86400"
+    df, flush = jobs.flushable(df, {"TransactionDT": _FOREVER})
+    return jobs.with_watermark(df, CFG), [flush]
 
 
 @query("windowed_counts", f"""WITH {SCORED_CTE}
 SELECT (TransactionDT // 3600) * 3600 AS start_dt, CASE WHEN fraud_probability >= 0.0564e0
   THEN 'FRAUD' ELSE 'LEGITIMATE' END AS decision, count(*) AS rows,
   round(sum(fraud_probability), 8) AS probability_sum
-FROM scored WHERE (TransactionDT // 3600 + 1) * 3600 <= {_CLOSED} GROUP BY 1, 2""")
+FROM scored GROUP BY 1, 2""")
 def windowed_counts(spark, d):
-    done = jobs.run_available(jobs.windowed_counts(_watermarked(spark, d)), "windows")
+    rows, flushes = _watermarked(spark, d)
+    done = jobs.run_available(jobs.windowed_counts(rows), "windows", flushes=flushes)
     base = F.unix_timestamp(F.lit("2017-11-30 00:00:00+00:00").cast("timestamp"))
     return done.select((F.unix_timestamp("span.start") - base).alias("start_dt"), "decision",
                        "rows",
@@ -150,18 +156,24 @@ def windowed_counts(spark, d):
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY card1 ORDER BY t ROWS UNBOUNDED PRECEDING) AS sid
   FROM g)
 SELECT card1, min(t) AS start_dt, count(*) AS rows, sum(TransactionAmt) AS amount FROM s
-GROUP BY card1, sid HAVING max(t) + 14400 <= {_CLOSED}""")
+GROUP BY card1, sid""")
 def card_sessions(spark, d):
-    sessions = jobs.card_sessions(_watermarked(spark, d), "4 hours")
-    done = jobs.run_available(sessions, "sessions")
+    rows, flushes = _watermarked(spark, d)
+    done = jobs.run_available(jobs.card_sessions(rows, "4 hours"), "sessions", flushes=flushes)
     base = F.unix_timestamp(F.lit("2017-11-30 00:00:00+00:00").cast("timestamp"))
     return done.select("card1", (F.unix_timestamp("span.start") - base).alias("start_dt"),
                        "rows", "amount")
 
 
-@query("reply_correlation")
+@query("reply_correlation", with_scored("""SELECT TransactionID AS transaction_id,
+  t_us AS requested_us, CASE WHEN wait <= 2000000 THEN t_us + wait END
+    AS replied_us, CASE WHEN wait <= 2000000 THEN made END AS decision,
+  CASE WHEN wait <= 2000000 THEN (CASE WHEN made = 'APPROVE' THEN 'approved' ELSE 'blocked' END)
+    ELSE 'timeout' END AS status
+FROM (SELECT *, CASE WHEN C1 < 5 THEN CAST(D5 * 300000 AS BIGINT) END AS wait,
+  CASE WHEN fraud_probability >= 0.0564e0 THEN 'BLOCK' ELSE 'APPROVE' END AS made FROM scored)"""))
 def reply_correlation(spark, d):
-    """Requests and recorded replies as two streams."""
+    """Requests and recorded replies as two streams that end; every request has one row."""
     at = F.timestamp_micros(F.col("t_us"))
     requests = events_stream(spark, d).select(
         F.col(_ID).alias("transaction_id"), at.alias("request_time"))
@@ -171,4 +183,11 @@ def reply_correlation(spark, d):
         .alias("reply_time"),
         F.when(F.col("fraud_probability") >= 0.0564, "BLOCK").otherwise("APPROVE")
         .alias("decision"))
-    return jobs.run_available(jobs.correlate_replies(requests, replies), "replies")
+    end = F.timestamp_seconds(_FOREVER)
+    key = "transaction_id"  # without a key a row never reaches the join; unlike keys never meet
+    requests, last_request = jobs.flushable(requests, {key: F.lit(-1), "request_time": end})
+    replies, last_reply = jobs.flushable(replies, {key: F.lit(-2), "reply_time": end})
+    done = jobs.run_available(
+        jobs.correlate_replies(requests, replies), "replies", flushes=[last_request, last_reply])
+    return done.select("transaction_id", F.unix_micros("request_time").alias("requested_us"),
+                       F.unix_micros("reply_time").alias("replied_us"), "decision", "status")

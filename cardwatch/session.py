@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -30,20 +31,23 @@ def build_session(
     return builder.getOrCreate()
 
 
+@functools.cache
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="cardwatch-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, taken from ``spark.checkpoint.dir``.
 
-    Only a local-mode session may fall back to a temporary folder; on a cluster
-    a missing setting is an error, because executors could not read it back.
+    Only a local-mode session that lacks the setting gets a temporary folder; on a cluster a
+    missing setting is an error, because executors could not read it back.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    path = tempfile.mkdtemp(prefix="cardwatch-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    return _local_dir()
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -51,11 +55,6 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Point reliable checkpoints at the shared folder."""
-    spark.sparkContext.setCheckpointDir(shared_dir(spark))
-
-
 def materialize(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
     """Write a table to the shared folder and read it back.
 

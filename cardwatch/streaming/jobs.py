@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructField, StructType
 
@@ -75,15 +75,28 @@ def with_card_state(
     df: DataFrame, settings: Settings, card: str = "card1", time: str = "t_us",
     row_id: str = "TransactionID", unit: int = MICROS,
 ) -> DataFrame:
-    """Velocity and profile columns from keyed state, with the columns of the batch plan."""
+    """Velocity and profile columns from keyed state, with the columns of the batch plan.
+
+    Rows without a card have no state: they get zero counts and an empty profile and stay.
+    """
     work = with_watermark(df.where(F.col(card).isNotNull()), settings)
     state_fields = StructType.fromDDL(STATE_COLUMNS).fields
     schema = StructType(list(df.schema.fields) + [
         StructField(f.name, f.dataType, True) for f in state_fields])
     step = card_state(
         df.columns, time, row_id, unit, settings.redis.ato_baseline_ttl * 1000)
-    return work.groupBy(card).applyInPandasWithState(
+    seen = work.groupBy(card).applyInPandasWithState(
         step, schema, STATE_SCHEMA, "append", "EventTimeTimeout")
+    unknown = df.where(F.col(card).isNull()).select("*", *[_nothing(f) for f in state_fields])
+    return seen.unionByName(unknown)
+
+
+def _nothing(field: StructField) -> Column:
+    """A state column as it is before anything was recorded."""
+    if field.dataType.typeName() == "array":
+        return F.array().cast(field.dataType).alias(field.name)
+    undefined = field.name in ("seen_amount_mean", "seen_amount_std")
+    return F.lit(None if undefined else 0).cast(field.dataType).alias(field.name)
 
 
 def score_stream(df: DataFrame, settings: Settings) -> DataFrame:
@@ -119,22 +132,50 @@ def topic_files(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
-def run_available(df: DataFrame, label: str, output_mode: str = "append") -> DataFrame:
-    """Process everything available, then read the result back from the shared folder."""
+def job_session(spark: SparkSession, state_partitions: int) -> SparkSession:
+    """A session for one job: the number of its state partitions, fixed for the life of a checkpoint."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    own.conf.set("spark.sql.shuffle.partitions", state_partitions)
+    return own
+
+
+def flushable(df: DataFrame, last: dict[str, Column]) -> tuple[DataFrame, Callable[[], None]]:
+    """The stream with a second source behind it, and a call that ends the stream.
+
+    The call delivers one row that has only the columns of ``last``, a time beyond all others: the
+    watermark passes every open window and interval, and they are emitted like the rest. The row itself
+    stays open for ever.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "flush")
+    empty = spark.createDataFrame([], df.schema)
+    empty.write.parquet(path)
+    row = spark.range(1).select(*[
+        last.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema])
+
+    def flush() -> None:
+        row.write.mode("append").parquet(path)
+
+    return df.unionByName(file_stream(spark, path, df.schema)), flush
+
+
+def run_available(df: DataFrame, label: str, output_mode: str = "append",
+                  flushes: Iterable[Callable[[], None]] = ()) -> DataFrame:
+    """Process everything available, then read the result back from the shared folder.
+
+    With ``flushes`` (of :func:`flushable`) the input ends there: what is still open is emitted too.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, label)
     writer = (
         df.writeStream.format("parquet").outputMode(output_mode).option("path", path)
         .option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True))
-    # streams are not coalesced at runtime: no more state partitions than cores
-    setting = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, min(int(before), spark.sparkContext.defaultParallelism))
-    try:
-        query = writer.start()
-    finally:
-        spark.conf.set(setting, before)
-    query.awaitTermination()
+    writer.start().awaitTermination()
+    if flushes:
+        for flush in flushes:
+            flush()
+        writer.start().awaitTermination()
     return spark.read.schema(df.schema).parquet(path)
 
 
