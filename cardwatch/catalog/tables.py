@@ -16,9 +16,20 @@ _ID = "TransactionID"
 _IDENTITY = ["DeviceType", "DeviceInfo", "id_02", "id_12", "id_31", "id_33"]
 
 
-@query("scan_transactions", with_txn(f"SELECT {', '.join(TRANSACTION_RULES)} FROM txn"))
+#: Columns that the written file lacks.
+_ABSENT = ("dist1", "id_33")
+
+
+@query("scan_transactions", with_txn("SELECT " + ", ".join(
+    f"NULL AS {c}" if c in _ABSENT else c for c in TRANSACTION_RULES) + " FROM txn"))
 def scan_transactions(spark, d):
-    return transactions(spark, d)
+    """A CSV file with its columns in another order, two of them absent and one unknown."""
+    df = transactions(spark, d)
+    path = scratch_path(spark, "transactions")
+    names = [c for c in reversed(df.columns) if c not in _ABSENT]
+    df.select(*names, F.lit("x").alias("unknown")).write.options(
+        header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return tables.scan_transactions(spark, path, "csv", schema=df.schema)
 
 
 @query("scan_csv", with_txn(

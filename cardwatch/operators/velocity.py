@@ -74,11 +74,12 @@ def user_window_velocity(
         "_pn": F.count("_amt").over(tied), "_ps": F.sum("_amt").over(tied),
         "_pd": F.stddev_pop("_amt").over(tied), "_pm": F.max("_amt").over(tied),
     }
-    out = out.select("*", *[c.alias(n) for n, c in peers.items()])
+    # rows without an entity are nobody's peers
+    out = out.select("*", *[F.when(complete_key([uid]), c).alias(n) for n, c in peers.items()])
     zero = F.lit(0.0)
     made: dict[str, Column] = {}
     for w in USER_WINDOWS:
-        n1, n2 = F.col(f"n_{w}"), F.col("_pn")
+        n1, n2 = F.col(f"n_{w}"), F.coalesce("_pn", F.lit(0))
         s1, s2 = F.coalesce(f"sum_{w}", zero), F.coalesce("_ps", zero)
         d1, d2 = F.coalesce(f"std_pop_{w}", zero), F.coalesce("_pd", zero)
         n, total = n1 + n2, s1 + s2

@@ -30,11 +30,15 @@ def extra_fields(value: str, known: list[str]) -> Column:
 
 
 def normalize_payload(df: DataFrame, id_col: str = "TransactionID") -> DataFrame:
-    """Submission defaults: no NaN or infinity, text id, product W, UTC timestamp."""
+    """Submission defaults: no NaN or infinity, text id, product W, UTC timestamp.
+
+    An id that is missing is made from the message itself, so that a message that is read
+    again, after a lost task or a replay, gets the same one.
+    """
     reals = [f.name for f in df.schema if isinstance(f.dataType, (DoubleType, FloatType))]
     out = df.withColumns({c: fx.finite(F.col(c)) for c in reals})
-    made = F.concat(F.lit("TXN_"), F.upper(F.substring(F.replace(F.expr("uuid()"), F.lit("-"),
-                                                                 F.lit("")), 1, 12)))
+    content = F.to_json(F.struct(*[F.col(c) for c in sorted(df.columns)]))
+    made = F.concat(F.lit("TXN_"), F.upper(F.substring(F.sha2(content, 256), 1, 12)))
     columns = {id_col: F.coalesce(F.col(id_col).cast("string"), made)}
     if "ProductCD" in df.columns:
         columns["ProductCD"] = F.coalesce("ProductCD", F.lit("W"))

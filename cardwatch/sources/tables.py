@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from cardwatch.sources.schemas import identity_schema, transaction_schema
 
@@ -14,16 +14,24 @@ def scan_transactions(
     spark: SparkSession, path: str, fmt: str = "parquet", labelled: bool = True,
     schema: StructType | None = None,
 ) -> DataFrame:
-    """Typed scan; CSV needs a header row. Nothing is inferred from the data."""
+    """Typed scan with the columns of ``schema`` in its order; nothing is inferred from the data.
+
+    Columns are found by name. CSV needs a header row, whose order and extra columns don't
+    matter; a column that the file lacks is NULL.
+    """
     if schema is None:
         schema = transaction_schema(list(range(1, 340)))
         if labelled:
             schema = StructType(schema.fields + [StructField("isFraud", IntegerType(), True)])
-    reader = spark.read.schema(schema)
-    if fmt == "csv":
-        # fields are matched by header name, so column order does not matter
-        return reader.option("header", True).option("enforceSchema", False).csv(path)
-    return reader.format(fmt).load(path)
+    if fmt != "csv":
+        return spark.read.schema(schema).format(fmt).load(path)
+    header = spark.read.option("header", True).csv(path).columns  # reads one line
+    known = {f.name: f for f in schema}
+    in_file = StructType([known.get(c, StructField(c, StringType(), True)) for c in header])
+    rows = spark.read.schema(in_file).option("header", True).csv(path)
+    return rows.select(*[
+        F.col(f.name) if f.name in header else F.lit(None).cast(f.dataType).alias(f.name)
+        for f in schema])
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
