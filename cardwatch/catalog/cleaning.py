@@ -177,14 +177,15 @@ def downcast_numeric(spark, d):
     return narrow.withColumn("TransactionID", F.col("TransactionID").cast("bigint"))
 
 
-@query("validate_feature_parity")
+@query("validate_feature_parity", with_txn("SELECT D15, C1, TransactionAmt FROM txn"))
 def validate_feature_parity(spark, d):
     txn = transactions(spark, d)
     ordered, _ = clean.validate_features(txn, ["D15", "C1", "TransactionAmt"])
     return ordered
 
 
-@query("common_columns")
+@query("common_columns", with_txn("SELECT " + ", ".join(
+    c for c in TRANSACTION_RULES if c not in ("D4", "C1", "TransactionID", "isFraud")) + " FROM txn"))
 def common_columns(spark, d):
     left = transactions(spark, d)
     names = clean.common_columns(left, left.drop("D4", "C1"), drop=("TransactionID", "isFraud"))

@@ -307,37 +307,43 @@ def ewma_confidence(spark, d):
 _VR = "CASE WHEN D5 > 8 THEN 0.8e0 ELSE 0.2e0 END"
 
 
-@query("adaptive_threshold_replay", with_scored(f""", r AS (
-  SELECT TransactionID, card1, isFraud, fraud_probability AS p, {_VR} AS v,
+def _replay_sql(key, window, least):
+    return with_scored(f""", r AS (
+  SELECT TransactionID, {key} AS key, isFraud, fraud_probability AS p, {_VR} AS v,
     row_number() OVER w AS i, count(*) OVER f AS n, avg(isFraud) OVER f AS rate
-  FROM scored WINDOW w AS (PARTITION BY card1 ORDER BY t_us, TransactionID),
-    f AS (PARTITION BY card1 ORDER BY t_us, TransactionID ROWS BETWEEN 19 PRECEDING
+  FROM scored WINDOW w AS (PARTITION BY {key} ORDER BY t_us, TransactionID),
+    f AS (PARTITION BY {key} ORDER BY t_us, TransactionID ROWS BETWEEN {window - 1} PRECEDING
       AND CURRENT ROW)),
 m AS (SELECT *, CASE WHEN rate > 0.05 THEN -0.02e0 WHEN rate < 0.02 THEN 0.02e0 ELSE 0e0 END
   - CASE WHEN v > 0.7 THEN 0.01e0 ELSE 0e0 END AS mv FROM r),
-e(card1, i, before, x) AS (
-  SELECT card1, i, 0.5e0, 0.5e0 FROM m WHERE i = 1
-  UNION ALL SELECT m.card1, m.i, e.x, CASE WHEN m.n >= 5 THEN
+e(key, i, before, x) AS (
+  SELECT key, i, 0.5e0, 0.5e0 FROM m WHERE i = 1
+  UNION ALL SELECT m.key, m.i, e.x, CASE WHEN m.n >= {least} THEN
     least(0.9e0, greatest(0.1e0, e.x + m.mv)) ELSE e.x END
-  FROM e JOIN m ON m.card1 = e.card1 AND m.i = e.i + 1)
-SELECT m.TransactionID, round(e.x, 6) AS threshold, m.n >= 5 AS active,
-  CASE WHEN m.n >= 5 THEN round(m.rate, 6) END AS fraud_rate,
-  CASE WHEN m.n >= 5 THEN round((SELECT avg(CASE WHEN (o.p >= e.before) = (o.isFraud = 1) THEN 1
-    ELSE 0 END) FROM m o WHERE o.card1 = m.card1 AND o.i BETWEEN m.i - 19 AND m.i), 6) END
+  FROM e JOIN m ON m.key = e.key AND m.i = e.i + 1)
+SELECT m.TransactionID, round(e.x, 6) AS threshold, m.n >= {least} AS active,
+  CASE WHEN m.n >= {least} THEN round(m.rate, 6) END AS fraud_rate,
+  CASE WHEN m.n >= {least} THEN round((SELECT avg(CASE WHEN (o.p >= e.before) = (o.isFraud = 1) THEN 1
+    ELSE 0 END) FROM m o WHERE o.key = m.key AND o.i BETWEEN m.i - {window - 1} AND m.i), 6) END
     AS accuracy
-FROM m JOIN e ON m.card1 = e.card1 AND m.i = e.i""").replace(
-    "WITH base", "WITH RECURSIVE base", 1))
-def adaptive_threshold_replay(spark, d):
-    df = _txn(spark, d).withColumn("v", F.expr(_VR))
-    out = folds.adaptive_threshold_replay(
-        df, "card1", ["t_us", _ID], _Y, _P, "v", window=20, min_rows=5)
+FROM m JOIN e ON m.key = e.key AND m.i = e.i""").replace("WITH base", "WITH RECURSIVE base", 1)
+
+
+def _rounded_replay(out):
     return out.select(_ID, F.round("threshold", 6).alias("threshold"), "active",
                       F.round("fraud_rate", 6).alias("fraud_rate"),
                       F.round("accuracy", 6).alias("accuracy"))
 
 
-@query("adaptive_threshold_global")
+@query("adaptive_threshold_replay", _replay_sql("card1", 20, 5))
+def adaptive_threshold_replay(spark, d):
+    df = _txn(spark, d).withColumn("v", F.expr(_VR))
+    return _rounded_replay(folds.adaptive_threshold_replay(
+        df, "card1", ["t_us", _ID], _Y, _P, "v", window=20, min_rows=5))
+
+
+@query("adaptive_threshold_global", _replay_sql("'all'", 1000, 100))
 def adaptive_threshold_global(spark, d):
     """All rows as one sequence with the production window of 1000 rows."""
     df = _txn(spark, d).withColumns({"v": F.expr(_VR), "model": F.lit("all")})
-    return folds.adaptive_threshold_replay(df, "model", ["t_us", _ID], _Y, _P, "v")
+    return _rounded_replay(folds.adaptive_threshold_replay(df, "model", ["t_us", _ID], _Y, _P, "v"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cardwatch.catalog.base import TXN_CTE, query
-from cardwatch.operators import metrics, split
+from cardwatch.operators import clean, metrics, split
 from cardwatch.plans import training
 from cardwatch.plans.features import FeatureEstimator, prepare, select_model_features
 from cardwatch.session import scratch_path
@@ -46,7 +46,7 @@ def fit_features(spark, d):
 
 @query("select_model_features")
 def select_features(spark, d):
-    df = transactions(spark, d)
+    df = clean.drop_unstable_columns(clean.select_opaque_subset(transactions(spark, d)))
     train, _ = split.chronological_split(df)
     wide = FeatureEstimator().fit(train).transform(df)
     return wide.select(_ID, *select_model_features(wide.columns)).fillna(0)

@@ -221,7 +221,8 @@ def save_fitted_stats(spark, d):
         "value", "share")
 
 
-@query("load_fitted_stats")
+@query("load_fitted_stats", with_txn(
+    "SELECT count(*) AS n, 0.38e0 AS threshold, TRUE AS threshold_mismatch FROM txn"))
 def load_fitted_stats(spark, d):
     _, meta = _round_trip(spark, d)
     rows = transactions(spark, d).agg(F.count(F.lit(1)).alias("n"))

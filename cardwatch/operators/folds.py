@@ -144,12 +144,18 @@ def adaptive_threshold_replay(
         y, p = pdf[label].to_numpy(float), pdf[score].to_numpy(float)
         x = pdf["begin"].iloc[0]
         after, accuracy = np.full(len(pdf), np.nan), np.full(len(pdf), np.nan)
+        used = np.full(len(pdf), np.nan)
         for i in np.flatnonzero(own):
             if active[i]:
-                first = max(0, i + 1 - window)
-                accuracy[i] = np.mean((p[first:i + 1] >= x) == (y[first:i + 1] == 1))
+                used[i] = x
                 x = min(max(x + move[i], low), high)
             after[i] = x
+        # the threshold moves on a grid, so rows share few thresholds: one running sum for each
+        for level in np.unique(used[~np.isnan(used)]):
+            rows = np.flatnonzero(used == level)
+            right = np.concatenate([[0], np.cumsum((p >= level) == (y == 1))])
+            first = np.maximum(0, rows + 1 - window)
+            accuracy[rows] = (right[rows + 1] - right[first]) / (rows + 1 - first)
         out = pdf[[key, *order]].copy()
         out["threshold"], out["active"] = after, active
         out["fraud_rate"] = np.where(active, rate, np.nan)

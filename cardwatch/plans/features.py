@@ -72,7 +72,7 @@ def _statistics(df: DataFrame) -> dict[str, tuple[str, dict[str, Column]]]:
     return tables
 
 
-def _fit_columns(df: DataFrame) -> DataFrame:
+def _read_by_fit(columns: list[str]) -> list[str]:
     """Columns some fitted table reads."""
     named = {
         ID, "TransactionDT", LABEL, "TransactionAmt", "magic_uid", "card1", "card2", "addr1",
@@ -80,7 +80,11 @@ def _fit_columns(df: DataFrame) -> DataFrame:
         *fixed.MATCH_COLUMNS, *groups.BEHAVIOUR_DISTINCT.values(),
         *[f"C{i}" for i in range(1, 15)], *[p for ps in encode.COUNT_KEYS.values() for p in ps],
     }
-    return df.select(*[c for c in df.columns if c in named or c.startswith("_key_")])
+    return [c for c in columns if c in named or c.startswith("_key_")]
+
+
+def _fit_columns(df: DataFrame) -> DataFrame:
+    return df.select(*_read_by_fit(df.columns))
 
 
 class FeatureEstimator(Estimator):
@@ -101,14 +105,17 @@ class FeatureEstimator(Estimator):
                 source.where(F.col(key).isNotNull()).groupBy(key).agg(
                     *[c.alias(n) for n, c in aggs.items()]), name)
         shares = [c for c in fixed.SHARE_COLUMNS if c not in ("card4", "card1_addr1")]
-        targets = [c for c in fixed.TARGET_COLUMNS if c in train.columns and c != "card4"]
+        # text columns with a share go once it is taken, so they have no target mean
+        gone = {c for c in shares if dict(train.dtypes).get(c) == "string"} | {"card4"}
+        targets = [c for c in fixed.TARGET_COLUMNS if c in train.columns and c not in gone]
         fold = encode.contiguous_folds(train, k=self.folds)
         tables["shares"] = encode.fit_shares(train, shares)
         tables["target_sums"] = encode.fit_target_sums(train, targets, LABEL, fold)
         row = train.agg(F.avg(LABEL), F.count(F.lit(1))).first()
         rows = row[1] if self.statistics is None else source.count()
         return FeatureModel(tables, {
-            "rate": row[0], "rows": rows, "shares": shares, "targets": targets}, fold)
+            "rate": row[0], "rows": rows, "shares": shares, "targets": targets,
+            "inputs": _read_by_fit(dataset.columns), "tables": sorted(tables)}, fold)
 
 
 class FeatureModel(Model):
@@ -118,15 +125,23 @@ class FeatureModel(Model):
         super().__init__()
         self.tables, self.metadata, self.fold = tables, metadata, fold
 
+    def as_fitted(self, dataset: DataFrame) -> DataFrame:
+        """The frame with the inputs of the fit: a missing one is an error, a later one is dropped."""
+        inputs = set(self.metadata["inputs"])
+        missing = sorted(inputs - {LABEL} - set(dataset.columns))
+        if missing:
+            raise ValueError(f"columns missing that the features were fitted on: {missing}")
+        return dataset.drop(*[c for c in _read_by_fit(dataset.columns) if c not in inputs])
+
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        out = self._lookups(prepare(dataset))
+        out = self._lookups(prepare(self.as_fitted(dataset)))
         means = encode.target_means(self.tables["target_sums"], self.metadata["rate"])
         return encode.apply_target(out, means, self.metadata["targets"], self.metadata["rate"])
 
     def transform_train(self, dataset: DataFrame) -> DataFrame:
         if self.fold is None:
             raise ValueError("folds are known only to the model that was just fitted")
-        out = self._lookups(prepare(dataset.withColumn("_fold", self.fold)))
+        out = self._lookups(prepare(self.as_fitted(dataset).withColumn("_fold", self.fold)))
         return encode.apply_target_oof(
             out, self.tables["target_sums"], self.metadata["targets"], self.metadata["rate"],
             "_fold").drop("_fold")
@@ -156,16 +171,14 @@ class FeatureModel(Model):
         out = out.fillna({
             **{c: v for c, v in fills.items() if c in out.columns},
             **{c: -1 for c in group_stats if c in out.columns}})
-        # text columns stay until the targets are encoded
-        return encode.apply_shares(out, self.tables["shares"], self.metadata["shares"],
-                                   drop_text=False)
+        return encode.apply_shares(out, self.tables["shares"], self.metadata["shares"])
 
     def save(self, path: str) -> None:
         save_fitted_stats(self.tables, self.metadata, path)
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, names: list[str]) -> FeatureModel:
-        tables, metadata = load_fitted_stats(spark, path, names)
+    def load(cls, spark: SparkSession, path: str) -> FeatureModel:
+        tables, metadata = load_fitted_stats(spark, path)
         return cls(tables, metadata)
 
 

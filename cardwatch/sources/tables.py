@@ -65,12 +65,17 @@ def save_fitted_stats(
 
 
 def load_fitted_stats(
-    spark: SparkSession, path: str, names: list[str], config_threshold: float | None = None
+    spark: SparkSession, path: str, names: list[str] | None = None,
+    config_threshold: float | None = None,
 ) -> tuple[dict[str, DataFrame], dict[str, object]]:
-    """Maps and metadata; the stored threshold wins over the configured one."""
-    tables = {name: spark.read.parquet(f"{path}/{name}") for name in names}
+    """Maps (those that the metadata lists, if none are named) and metadata.
+
+    The stored threshold wins over the configured one.
+    """
     row = spark.read.schema("metadata string").json(f"{path}/metadata").first()
     metadata = json.loads(row["metadata"])
+    tables = {name: spark.read.parquet(f"{path}/{name}")
+              for name in (metadata["tables"] if names is None else names)}
     stored = metadata.get("threshold")
     metadata["threshold_mismatch"] = (
         stored is not None and config_threshold is not None
