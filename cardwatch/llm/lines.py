@@ -56,11 +56,12 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows, based = _ordered(docs, id_col, text_col)
     based = written(based, "line-bases")
     # A row shorter than a run can't hold one, and neither can its lines pair up.
-    lines = rows.join(based.where(F.col("n") >= least), "uid").select(
-        "uid", "base", "n", F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    places = written(lines.select(
-        "uid", "i", (F.col("base") + F.col("i")).alias("at"), (F.col("n") - F.col("i")).alias("left"),
-        F.xxhash64("line").alias("x"), F.xxhash64(F.lit(1), "line").alias("y")), "line-places")
+    parts = F.split("text", "\n")
+    lines = rows.where(F.size(parts) >= least).select("uid", F.posexplode(parts).alias("i", "line")).select(
+        "uid", "i", F.xxhash64("line").alias("x"), F.xxhash64(F.lit(1), "line").alias("y"))
+    places = written(lines.join(based, "uid").select(
+        "uid", "i", (F.col("base") + F.col("i")).alias("at"), (F.col("n") - F.col("i")).alias("left"), "x", "y"),
+        "line-places")
     ranks, size = _ranked(places.select("at", "left", "x", "y")), 1
     while size < least:
         step = min(size, least - size)
@@ -93,7 +94,8 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     marked = F.array_except(F.sequence(F.lit(0).cast("long"), F.size(lines).cast("long") - 1), gone)
     kept = F.array_join(F.transform(marked, lambda i: F.element_at(lines, (i + 1).cast("int"))), "\n")
     zero = F.lit(0).cast("long")
-    return rows.join(runs, "uid", "left").select(
+    # Texts are joined by the same plan at every size: neither side has a proven bound.
+    return rows.join(runs.hint("merge"), "uid", "left").select(
         F.col("id").alias("doc_id"), F.size(lines).cast("long").alias("n_lines"),
         F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_runs", zero).alias("n_runs"),
         F.when(F.col("runs").isNull(), F.col("text")).otherwise(kept).alias("kept"))
