@@ -8,7 +8,7 @@ from cardwatch.catalog.base import ORACLE, SCORED_CTE, TXN_CTE, query, with_scor
 from cardwatch.catalog.risk import CFG, DECISION_SQL, _join, _joined
 from cardwatch.functions import risk
 from cardwatch.sources import payload, schemas
-from cardwatch.sources.binding import EVENT_SCHEMA, scored, shape_events
+from cardwatch.sources.binding import EVENT_SCHEMA, TRANSACTION_RULES, scored, shape_events
 from cardwatch.streaming import jobs
 
 _ID = "TransactionID"
@@ -191,3 +191,32 @@ def reply_correlation(spark, d):
         jobs.correlate_replies(requests, replies), "replies", flushes=[last_request, last_reply])
     return done.select("transaction_id", F.unix_micros("request_time").alias("requested_us"),
                        F.unix_micros("reply_time").alias("replied_us"), "decision", "status")
+
+
+@query("stream_job")
+def stream_job(spark, d):
+    """From message bytes to the rows of the three topics, with messages cut short and sent twice."""
+    messages = _messages(spark, d).select(F.explode(F.array("value", "value")).alias("value"))
+    rows = jobs.decision_job(messages, CFG, _scorecard)
+    return jobs.run_available(rows, "job")
+
+
+def _scorecard(df):
+    """A fixed logistic score, for a model that a deployment brings."""
+    margin = F.col("TransactionAmt") * 0.0004 + F.coalesce("dist1", F.lit(0.0)) * 0.001 - 3.6
+    return df.withColumn("fraud_probability", 1 / (1 + F.exp(-margin)))
+
+
+_GAPS_SQL = DECISION_SQL.replace(
+    f"{TRANSACTION_RULES['card1']} AS card1", "CASE WHEN event_id % 4 <> 1 THEN user_id ELSE -event_id END AS card1", 1)  # a card seen once
+
+
+@query("stream_decisions_missing_card", f"""{_GAPS_SQL} SELECT TransactionID, decision, risk_level,
+  {_join('risk_factors')} FROM fin""")
+def stream_decisions_missing_card(spark, d):
+    """A quarter of the messages have no card: no history, but a decision."""
+    card = F.when(F.col(_ID) % 4 != 1, F.col("card1"))
+    rows = scored(events_stream(spark, d).drop("fraud_probability").withColumn("card1", card))
+    out = jobs.score_stream(rows.select(*_STATE_IN), CFG)
+    done = jobs.run_available(out.select(_ID, "decision", "risk_level", "risk_factors"), "scored")
+    return _joined(done, "risk_factors")

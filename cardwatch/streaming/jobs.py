@@ -10,10 +10,11 @@ from pyspark.sql.types import StructField, StructType
 
 from cardwatch.config import Settings
 from cardwatch.functions import columns as fx
+from cardwatch.operators.profile import takeover_risk
 from cardwatch.operators.velocity import MICROS
 from cardwatch.plans import scoring
 from cardwatch.session import scratch_path
-from cardwatch.sources import payload
+from cardwatch.sources import payload, schemas
 from cardwatch.streaming.state import STATE_COLUMNS, STATE_SCHEMA, card_state
 
 # ---- sources ------------------------------------------------------------------------
@@ -79,7 +80,8 @@ def with_card_state(
 
     Rows without a card have no state: they get zero counts and an empty profile and stay.
     """
-    work = with_watermark(df.where(F.col(card).isNotNull()), settings)
+    known = df.where(F.col(card).isNotNull())
+    work = known if "event_time" in df.columns else with_watermark(known, settings)
     state_fields = StructType.fromDDL(STATE_COLUMNS).fields
     schema = StructType(list(df.schema.fields) + [
         StructField(f.name, f.dataType, True) for f in state_fields])
@@ -101,13 +103,47 @@ def _nothing(field: StructField) -> Column:
 
 def score_stream(df: DataFrame, settings: Settings) -> DataFrame:
     """The batch decision plan over state columns."""
-    from cardwatch.operators.profile import takeover_risk
-
     seen = with_card_state(df, settings)
     assessed = takeover_risk(scoring.add_velocity_risk(seen, settings), settings)
     return scoring.decide_rows(assessed, settings)
 
 
+#: Wire fields that are whole numbers, although JSON brings them as any number.
+WHOLE = ("card1", "card2", "card3", "card5", "addr1", "addr2")
+
+
+def decision_job(
+    messages: DataFrame, settings: Settings, score: Callable[[DataFrame], DataFrame],
+) -> DataFrame:
+    """Message bytes (``value``) -> topic rows (key, value, topic), every message answered once.
+
+    Parse, set malformed messages apart, normalize, reject those without a positive amount, drop
+    repeated ids, add the model's ``fraud_probability`` by ``score``, look up and record the card's
+    state, decide. Malformed and rejected messages become records of the error topic. Rows behind the
+    watermark are dropped by the state operators, which count them (:func:`late_rows`).
+    """
+    parsed = payload.parse_payload_json(messages, schemas.transaction_schema())
+    good, dead = isolate_errors(parsed)
+    normal = payload.normalize_payload(good)
+    accepted, rejected = payload.validate_payload(
+        normal.withColumns({c: F.col(c).cast("bigint") for c in WHOLE}))
+    once = dedup(with_watermark(accepted, settings))
+    seen = with_card_state(score(once), settings, time="TransactionDT", unit=1)
+    assessed = takeover_risk(scoring.add_velocity_risk(seen, settings), settings)
+    decided = scoring.decide_rows(assessed, settings).select(*scoring.DECISION_COLUMNS)
+    refused = rejected.select(F.col("TransactionID").alias("transaction_id"),
+                              F.lit(0.5).alias("fraud_probability"), F.lit("ERROR").alias("decision"),
+                              F.lit("UNKNOWN").alias("risk_level"), F.lit(0.5).alias("threshold"))
+    errors = to_topic_rows(error_records(dead).unionByName(refused), settings, "transaction_id")
+    return to_topic_rows(decided, settings).unionByName(errors)
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that state operators dropped behind the watermark, as far back as progress is kept."""
+    return sum(op["numRowsDroppedByWatermark"]
+               for progress in query.recentProgress for op in progress["stateOperators"])
+
+
 def to_topic_rows(df: DataFrame, settings: Settings, key: str = "TransactionID") -> DataFrame:
     """key, value, topic: one sink query serves all routes, so rows are scored once."""
     return df.select(

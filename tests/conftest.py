@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -16,7 +17,8 @@ def spark():
     session = build_session(
         "tests", "local[4]",
         **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false",
-           "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "4g"})
+           "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "4g",
+           "spark.checkpoint.dir": tempfile.mkdtemp(prefix="tests-")})
     session.sparkContext.setLogLevel("OFF")
     yield session
     session.stop()

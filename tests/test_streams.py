@@ -104,3 +104,65 @@ def test_adaptive_threshold_blocks_equal_one_pass(spark):
             x = min(max(x + move, 0.1), 0.9)
             assert got[i]["accuracy"] == pytest.approx(accuracy)
         assert got[i]["threshold"] == pytest.approx(x), i
+
+
+def _wire(spark, sf_dir):
+    df = transactions(spark, sf_dir)
+    names = {f.name for f in schemas.transaction_schema()}
+    card = F.when(F.col("TransactionID") % 4 != 1, F.col("card1"))
+    amount = F.when(F.col("TransactionID") % 10 != 7, F.col("TransactionAmt")).otherwise(-1.0)
+    path = scratch_path(spark, "wire")
+    df.withColumns({"card1": card, "TransactionAmt": amount}).write.parquet(path)
+    rows = spark.read.parquet(path)
+    text = F.to_json(F.struct(*[F.col(c) for c in rows.columns if c in names]))
+    cut = F.when(F.col("TransactionID") % 50 == 3, F.substring(text, 1, 30)).otherwise(text)
+    return rows.select(cut.cast("binary").alias("value"))
+
+
+def test_job_answers_every_message_like_the_batch_plan(spark, sf_dir):
+    """Messages of all kinds, each sent twice, against the plan over a table."""
+    from cardwatch.catalog.streams import _scorecard
+
+    path = scratch_path(spark, "messages")
+    messages = _wire(spark, sf_dir)
+    messages.unionByName(messages).write.parquet(path)
+    stream = jobs.file_stream(spark, path, "value binary")
+    done = jobs.run_available(jobs.decision_job(stream, CFG, _scorecard), "job")
+    k = CFG.kafka
+    answers = done.select("key", "topic", F.get_json_object("value", "$.decision").alias("decision"))
+
+    parsed = payload.parse_payload_json(messages, schemas.transaction_schema())
+    good, dead = jobs.isolate_errors(parsed)
+    accepted, rejected = payload.validate_payload(
+        good.withColumns({c: F.col(c).cast("bigint") for c in jobs.WHOLE}))
+    decided = scoring.decide_rows(
+        scoring.assess(_scorecard(accepted), CFG, time="TransactionDT", unit=1), CFG)
+    want = decided.select(F.col("TransactionID").alias("key"), payload.route_topic(CFG).alias("topic"),
+                          "decision")
+    regular = answers.where(F.col("decision") != "ERROR")
+    assert regular.count() == want.count() == accepted.count()
+    assert want.exceptAll(regular).isEmpty()
+    errors = answers.where(F.col("decision") == "ERROR")
+    assert errors.where(F.col("topic") != k.error_output_topic).isEmpty()
+    assert errors.select("key").distinct().count() == rejected.count() + dead.select("value").distinct().count()
+
+
+def test_late_rows_are_counted(spark):
+    path = scratch_path(spark, "late")
+    rows = [[("a", 10**7)], [("b", 100)]]  # the second is far behind the watermark
+    for part in rows:
+        spark.createDataFrame(part, "TransactionID string, TransactionDT bigint").coalesce(1).write.mode(
+            "append").parquet(path)
+        stream = jobs.file_stream(spark, path, "TransactionID string, TransactionDT bigint")
+        once = jobs.dedup(jobs.with_watermark(stream, CFG)).select("TransactionID")
+        query = once.writeStream.format("parquet").option("path", path + "-out").option(
+            "checkpointLocation", path + "-checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+    assert jobs.late_rows(query) == 1
+    assert [r[0] for r in spark.read.parquet(path + "-out").collect()] == ["a"]
+
+
+def test_kafka_options_without_a_broker():
+    options = jobs.kafka_options(CFG, {"startingOffsets": "earliest"})
+    assert options["subscribe"] == CFG.kafka.input_topic and options["startingOffsets"] == "earliest"
+    assert options["maxOffsetsPerTrigger"] == str(CFG.kafka.max_offsets_per_trigger)
