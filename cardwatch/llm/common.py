@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import gc
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cardwatch.session import scratch_path
 
@@ -33,6 +37,26 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(df: DataFrame) -> None:
+    """Let go of the shuffle files of finished writes: Spark removes them once the driver has collected
+    the plans they belong to, which otherwise may be long after a heavy step."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
+#: Rows that go to a Python worker at a time. Texts can be long, so Spark's default of 10,000 rows
+#: would take far more memory than an executor leaves to its workers.
+BATCH_ROWS = 512
+
+
+def in_batches(df: DataFrame, run: Callable, schema: StructType | str) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` with small batches, a setting of the session that stays."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, BATCH_ROWS)
+    return df.mapInArrow(run, schema)
+
+
 def numbered(df: DataFrame, label: str, uid: str = "_uid") -> DataFrame:
     """Write a table with one unique number per row; repeated rows get their own."""
     return written(df.withColumn(uid, F.monotonically_increasing_id()), label)

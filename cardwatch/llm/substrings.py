@@ -6,15 +6,15 @@ an anchor is the place of the least 8-byte hash in some window of ``SPAN`` place
 ones). Equal strings of LENGTH bytes have the same anchors, but for the outermost ones, and each start
 of a string belongs to its first certain anchor.
 
-Prefix doubling runs over anchors. Rank 0 is the bytes up to the next anchor; a round pairs the rank of
-an anchor with the rank of the anchor that many phrases on, and drops anchors whose pair is unique,
-until the prefix would pass what every string of its starts is sure to cover. What survives is settled
-exactly: an anchor whose whole surroundings (all strings that belong to it) repeat is covered; where
-surroundings differ within a rank, every single string is hashed and counted, with one member for each
-equal surroundings. Texts that are equal are one text with a multiplicity.
+Ranks grow over anchors by rounds of grouping and joining. The first rank is that of the core, the
+LENGTH - SPAN + 1 bytes that all strings belonging to an anchor share; an anchor whose core is unique
+has no repeated string and is dropped. The second round ranks pairs of that rank and the rank of the
+surroundings, which reach past the threshold of LENGTH for every start: an anchor whose pair
+isn't unique is covered. Only where pairs differ within a core are single strings ranked and counted,
+with one member for each equal pair. Texts that are equal are one text with a multiplicity.
 
 Ranks are 64-bit hashes, so two different strings of a corpus can fall together with a chance of about
-pairs / 2^64; in the first stages that only costs work.
+pairs / 2^64; in the first round that only costs work.
 """
 
 from __future__ import annotations
@@ -27,13 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from cardwatch.llm.common import quoted, text_of, written
+from cardwatch.llm.common import in_batches, quoted, release, text_of, written
 from cardwatch.llm.fragments import RangeHash, chunks, joined
 from cardwatch.llm.words import in_text
 
-LENGTH, SPAN, GRAM = 400, 80, 8
-#: Bytes behind an anchor that all strings belonging to it are sure to have certain anchors in.
-SURE = LENGTH + 3 - 3 * SPAN - GRAM
+#: SPAN can be up to (LENGTH + 3 - GRAM) // 3, so that every string has a certain anchor.
+LENGTH, SPAN, GRAM = 400, 128, 8
 _ODD = np.uint64(0xC2B2AE3D27D4EB4F)
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -64,40 +63,27 @@ def anchors(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def described(raw: np.ndarray, ends: np.ndarray, hashes: RangeHash) -> dict[str, np.ndarray]:
-    """Of each anchor with a next one: text, place in it, bytes to the next, second and fourth anchor
-    on (0: none), hash to the next, first start and further starts of its strings (-1: none), and the
-    hash of its surroundings."""
+    """Of each anchor with strings: its text, the first start and the number of starts (packed, 8 bits
+    for the number), and the hashes of its core and its surroundings."""
     place, text = anchors(raw, ends)
-    n = len(place)
-
-    def ahead(steps):
-        out = np.zeros(n, np.int64)
-        if n > steps:
-            out[:-steps] = np.where(text[steps:] == text[:-steps], place[steps:] - place[:-steps], 0)
-        return out
-
-    l1, l2, l4 = ahead(1), ahead(2), ahead(4)
-    before = np.full(n, -1)
-    before[1:] = np.where(text[1:] == text[:-1], place[:-1], -1)
     begin, end = ends[text], ends[text + 1]
-    low = np.where(before >= 0, before - SPAN + 2, begin)
-    low = np.maximum(low, begin)
+    before = np.full(len(place), -1)
+    before[1:] = np.where(text[1:] == text[:-1], place[:-1], -1)
+    low = np.maximum(np.where(before >= 0, before - SPAN + 2, begin), begin)
     high = np.minimum(place - SPAN + 1, end - LENGTH)
-    keep = l1 > 0
-    place, text, low, high = place[keep], text[keep], low[keep], high[keep]
-    l1, l2, l4, begin = l1[keep], l2[keep], l4[keep], begin[keep]
     has = high >= low
-    around = np.zeros(len(place), np.uint64)
-    if len(place):
-        around[has] = in_text(hashes(raw, low[has], high[has] + LENGTH), place[has] - low[has])
-    return {"text": text, "a": place - begin, "l1": l1, "l2": np.minimum(l2, 255), "l4": np.minimum(l4, 255),
-            "rank": hashes(raw, place, place + l1) if len(place) else around, "low": low - begin,
-            "more": np.where(has, high - low, -1), "around": around}
+    place, text, low, high, begin = place[has], text[has], low[has], high[has], begin[has]
+    if not len(place):
+        none = np.zeros(0, np.uint64)
+        return {"text": text, "low": low, "core": none, "around": none}
+    return {"text": text, "low": (low - begin) << 8 | (high - low + 1),
+            "core": hashes(raw, place - SPAN + 1, place - 2 * SPAN + 2 + LENGTH),
+            "around": in_text(hashes(raw, low, high + LENGTH), place - low)}
 
 
 def _described(docs: DataFrame, full: bool) -> DataFrame:
-    """One row per anchor of ``docs`` (k1, k2, text); without ``full`` only its first rank."""
-    names = ["k1", "k2", "a", "l", "rank", "low", "around"] if full else ["rank"]
+    """One row per anchor of ``docs`` (k1, k2, text); without ``full`` only its core."""
+    names = ["core", *(["k1", "k2", "low", "around"] if full else [])]
     schema = StructType([StructField(c, LongType()) for c in names])
 
     def run(batches):
@@ -105,44 +91,22 @@ def _described(docs: DataFrame, full: bool) -> DataFrame:
         for part in chunks(batches, "text"):
             raw, ends = joined(part["text"])
             d = described(raw, ends, hashes)
-            column = {"rank": d["rank"].view(np.int64)}
+            columns = [pa.array(d["core"].view(np.int64))]
             if full:
-                column |= {k: part[k].take(pa.array(d["text"])) for k in ("k1", "k2")}
-                column |= {"a": d["a"], "l": d["l1"] << 16 | d["l2"] << 8 | d["l4"],
-                           "low": d["low"] << 8 | (d["more"] + 1), "around": d["around"].view(np.int64)}
-            yield pa.RecordBatch.from_arrays(
-                [c if isinstance(c := column[k], pa.Array) else pa.array(c) for k in names], schema.names)
-
-    return docs.mapInArrow(run, schema)
-
-
-def _repeated(rows: DataFrame, weight) -> DataFrame:
-    """The rows whose rank occurs twice or more."""
-    twice = rows.groupBy("rank").agg(F.sum(weight).alias("n")).where("n > 1").select(F.col("rank").alias("r"))
-    return rows.join(twice, F.col("rank") == F.col("r"), "left_semi")
-
-
-def doubled(docs: DataFrame) -> DataFrame:
-    """Anchors of ``docs`` that survive the doubling, equal texts as one with a multiplicity."""
-    twice = _described(docs.select("text"), False).groupBy("rank").agg(F.count("*").alias("n")) \
-        .where("n > 1").select("rank")
-    rows = _described(docs, True).join(twice, "rank", "left_semi")
-    rows = written(rows.groupBy("k1", "k2", "a", "l", "rank", "low", "around").agg(F.count("*").alias("copies")),
-                   "strings-0")
-    open_rows, done = rows, None
-    for level, (step, test) in enumerate(((16, 8), (8, 0))):  # bits of l: pair with the next, test the sum
-        size = F.shiftright("l", test).bitwiseAND(255)
-        can = (size > 0) & (size <= SURE)
-        past = open_rows.where(~can)
-        done = past if done is None else done.unionByName(past)
-        following = open_rows.select(F.col("k1").alias("j1"), F.col("k2").alias("j2"), F.col("a").alias("at"),
-                                     F.col("rank").alias("next"))
-        on = (F.col("k1") == F.col("j1")) & (F.col("k2") == F.col("j2")) & (
-            F.col("a") + F.shiftright("l", step).bitwiseAND(255) == F.col("at"))
-        paired = open_rows.where(can).join(following, on).withColumn("rank", F.xxhash64("rank", "next")) \
-            .drop("j1", "j2", "at", "next")
-        open_rows = written(_repeated(written(paired, "strings-pairs"), F.col("copies")), f"strings-{level + 1}")
-    return done.unionByName(open_rows)
+                text = pa.array(d["text"])
+                columns += [part["k1"].take(text), part["k2"].take(text), pa.array(d["low"]),
+                            pa.array(d["around"].view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return in_batches(docs, run, schema)
+
+
+def repeated_cores(docs: DataFrame) -> DataFrame:
+    """Anchors of ``docs`` whose core isn't unique, equal texts as one with a multiplicity."""
+    twice = _described(docs.select("text"), False).groupBy("core").agg(F.count("*").alias("n")) \
+        .where("n > 1").select("core")
+    rows = _described(docs, True).join(twice, "core", "left_semi")
+    return written(rows.groupBy(*rows.columns).agg(F.count("*").alias("copies")), "strings-cores")
 
 
 def _settle(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -150,24 +114,24 @@ def _settle(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Of equal surroundings only one member is in the second, and only beside one to be decided.
     """
-    rows = rows.where(F.col("low").bitwiseAND(255) > 0).select(
-        "k1", "k2", "copies", "rank", "around", F.shiftright("low", 8).alias("first"),
-        (F.col("low").bitwiseAND(255) - 1).alias("more"))
-    alike = written(rows.groupBy("rank", "around").agg(F.sum("copies").alias("n")), "strings-alike")
-    mixed = alike.groupBy("rank").agg(F.count("*").alias("kinds"), F.min("n").alias("least")) \
-        .where("kinds > 1 and least = 1").select("rank")
-    several = alike.where("n > 1").select("rank", "around")
-    covered = rows.join(several, ["rank", "around"], "left_semi")
-    in_mixed = written(rows.join(mixed, "rank", "left_semi").join(alike, ["rank", "around"]), "strings-mixed")
-    alone = in_mixed.where("n = 1").select("k1", "k2", "first", "more", "rank", F.lit(True).alias("alone"))
-    member = in_mixed.where("n > 1").groupBy("rank", "around").agg(
-        F.min(F.struct("k1", "k2", "first", "more")).alias("m")).select("m.*", "rank", F.lit(False).alias("alone"))
-    return covered.select("k1", "k2", "first", "more"), alone.unionByName(member)
+    alike = written(rows.groupBy("core", "around").agg(F.sum("copies").alias("n")), "strings-alike")
+    cores = alike.groupBy("core").agg(F.count("*").alias("kinds"), F.min("n").alias("least"))
+    kinds = alike.join(cores, "core").where("n > 1 or kinds > 1").select(
+        "core", "around", "n", F.expr("kinds > 1 and least = 1").alias("mixed"))
+    rows = written(rows.join(kinds, ["core", "around"]).select("k1", "k2", "low", "core", "around", "n", "mixed"),
+                   "strings-pairs")
+    mixed = rows.where("mixed")
+    alone = mixed.where("n = 1").select("k1", "k2", "low", "core", F.lit(True).alias("alone"))
+    member = mixed.where("n > 1").groupBy("core", "around").agg(F.min(F.struct("k1", "k2", "low")).alias("m")) \
+        .select("m.*", "core", F.lit(False).alias("alone"))
+    unsettled = alone.unionByName(member).withColumn("anchor", F.monotonically_increasing_id())
+    return rows.where("n > 1").select("k1", "k2", "low"), written(unsettled, "strings-unsettled")
 
 
 def _strings(texts: DataFrame) -> DataFrame:
-    """(w, k1, k2, p, alone) of each string of the unsettled anchors (k1, k2, text, todo)."""
-    schema = StructType([StructField(c, LongType()) for c in ("w", "k1", "k2", "p")])
+    """(w, at) of each string of the unsettled anchors (text, todo): its hash, and the anchor, the number
+    of the string among the anchor's (8 bits) and whether it is to be decided (1 bit)."""
+    schema = StructType([StructField("w", LongType()), StructField("at", LongType())])
 
     def run(batches):
         hashes = RangeHash(1 << 18)
@@ -175,18 +139,16 @@ def _strings(texts: DataFrame) -> DataFrame:
             for k in range(batch.num_rows):
                 raw = np.frombuffer(batch["text"][k].as_buffer(), np.uint8)
                 todo = batch["todo"][k].values
-                first, more = todo.field("first").to_numpy(), todo.field("more").to_numpy()
-                rank = todo.field("rank").to_numpy().view(np.uint64)
+                low, core, anchor = (todo.field(c).to_numpy() for c in ("low", "core", "anchor"))
                 alone = todo.field("alone").to_numpy(zero_copy_only=False)
-                size = more + 1
-                p = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
-                w = in_text(hashes(raw, p, p + LENGTH), np.zeros(len(p), np.int64)) ^ np.repeat(rank, size)
-                at = p << 1 | np.repeat(alone, size)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(w.view(np.int64)), *[pa.array(np.full(len(p), batch[c][k].as_py())) for c in ("k1", "k2")],
-                     pa.array(at)], schema.names)
+                size = low & 255
+                number = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                p = np.repeat(low >> 8, size) + number
+                w = hashes(raw, p, p + LENGTH) ^ np.repeat(core.view(np.uint64), size)
+                at = np.repeat(anchor << 9 | alone, size) | number << 1
+                yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(at)], schema.names)
 
-    return texts.select("k1", "k2", "text", "todo").mapInArrow(run, schema)
+    return in_batches(texts.select("text", "todo"), run, schema)
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -195,10 +157,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     and ``digest`` in its place, since nothing of it changes."""
     keyed = docs.select(quoted(id_col).alias("id"), text_of(text_col).alias("text")).select(
         "id", "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"))
-    covered, unsettled = _settle(doubled(keyed.select("k1", "k2", "text")))
-    covered = written(covered.select("k1", "k2", F.struct(
-        "first", (F.col("first") + F.col("more") + LENGTH).alias("end")).alias("span")), "strings-covered")
-    unsettled = written(unsettled, "strings-unsettled")
+    cores = repeated_cores(keyed.select("k1", "k2", "text"))
+    release(docs)
+    covered, unsettled = _settle(cores)
+    release(docs)
     touched = covered.select("k1", "k2").unionByName(unsettled.select("k1", "k2")).distinct() \
         .withColumn("touched", F.lit(True))
     rows = keyed.join(touched, ["k1", "k2"], "left")
@@ -206,16 +168,24 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         "id", F.when(F.col("touched"), F.col("text")).alias("text"), "k1", "k2",
         F.octet_length("text").cast("long").alias("size"),
         F.when(F.col("touched").isNull(), F.sha2("text", 256)).alias("digest")), "strings-rows")
+    release(docs)
 
     todo = unsettled.groupBy("k1", "k2").agg(
-        F.collect_list(F.struct("first", "more", "rank", "alone")).alias("todo"))
-    once = rows.where("text is not null").join(todo, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
-    strings = written(_strings(once), "strings-single")
-    twice = strings.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w")
-    found = strings.where("p % 2 = 1").join(twice, "w", "left_semi").select(
-        "k1", "k2", F.struct(F.shiftright("p", 1).alias("first"),
-                             (F.shiftright("p", 1) + LENGTH).alias("end")).alias("span"))
-    spans = covered.unionByName(found).groupBy("k1", "k2").agg(F.collect_list("span").alias("spans"))
+        F.collect_list(F.struct("low", "core", "anchor", "alone")).alias("todo"))
+    once = written(rows.where("text is not null").join(todo, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
+                   .select("text", "todo"), "strings-texts")
+    twice = _strings(once).groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w")
+    found = _strings(once).where("at % 2 = 1").join(twice, "w", "left_semi").select(
+        F.shiftright("at", 9).alias("anchor"), F.shiftright("at", 1).bitwiseAND(255).alias("number"))
+    found = written(found.groupBy("anchor").agg(F.collect_set("number").alias("numbers")), "strings-found")
+    release(docs)
+    first = F.shiftright("low", 8)
+    single = found.join(unsettled, "anchor").select("k1", "k2", first.alias("first"), "numbers")
+    runs = single.select("k1", "k2", F.transform("numbers", lambda i: F.struct(
+        (F.col("first") + i).alias("first"), (F.col("first") + i + LENGTH).alias("end"))).alias("part"))
+    whole = covered.select("k1", "k2", F.array(F.struct(
+        first.alias("first"), (first + F.col("low").bitwiseAND(255) - 1 + LENGTH).alias("end"))).alias("part"))
+    spans = whole.unionByName(runs).groupBy("k1", "k2").agg(F.flatten(F.collect_list("part")).alias("spans"))
     return rows.join(spans, ["k1", "k2"], "left").select("id", "text", "size", "digest", "spans")
 
 
@@ -247,7 +217,7 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     [batch["id"].slice(k, 1), pa.array([len(raw)]), pa.array([int(gone.sum())]), pa.array([runs]),
                      pa.array([hashlib.sha256(kept).hexdigest()]), pa.array([kept], pa.binary())], schema.names)
 
-    cut = touched.select("id", "text", "spans").mapInArrow(run, schema)
+    cut = in_batches(touched.select("id", "text", "spans"), run, schema)
     whole = rows.where("spans is null").select(
         "id", "size", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"),
         F.coalesce("digest", F.sha2("text", 256)).alias("digest"), F.lit(None).cast("binary").alias("kept"))
