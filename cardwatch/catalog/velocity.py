@@ -8,7 +8,7 @@ from cardwatch.catalog.base import ORDERS_CTE, TXN_CTE, query, with_txn
 from cardwatch.catalog.grouping import _rounded
 from cardwatch.functions import columns as fx
 from cardwatch.operators import velocity
-from cardwatch.sources.binding import order_transactions, transactions
+from cardwatch.sources.binding import TRANSACTION_RULES, order_transactions, transactions
 
 _ID = "TransactionID"
 _H = 3600 * 1_000_000
@@ -181,6 +181,21 @@ def online_velocity_counts(spark, d):
         "card1", "t_us", "TransactionAmt")
 
 
+_HOT_CARD = TXN_CTE.replace(f"{TRANSACTION_RULES['card1']} AS card1",
+                            "CASE WHEN event_id % 5 > 0 THEN 1 ELSE user_id END AS card1", 1)
+
+
+@query("online_velocity_counts_hot_card",
+       f"WITH {_HOT_CARD}, {online_cte()} SELECT TransactionID, {_ONLINE_COLS} FROM ov")
+def online_velocity_counts_hot_card(spark, d):
+    """One card holds four fifths of the rows."""
+    df = transactions(spark, d).select(
+        _ID, F.when(F.col(_ID) % 5 > 0, 1).otherwise(F.col("card1")).alias("card1"), "t_us",
+        "TransactionAmt")
+    return velocity.online_velocity_counts(df, ["card1"]).drop(
+        "card1", "t_us", "TransactionAmt")
+
+
 @query("online_velocity_counts_by_user",
        f"WITH {TXN_CTE}, {online_cte('card1, uid')} SELECT TransactionID, {_ONLINE_COLS} FROM ov")
 def online_velocity_counts_by_user(spark, d):

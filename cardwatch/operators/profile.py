@@ -8,12 +8,9 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from cardwatch.config import Settings
 from cardwatch.functions import risk
-from cardwatch.operators.trailing import SPREAD, complete_key, hot_keys, spread_missing
+from cardwatch.operators.trailing import complete_key
 from cardwatch.session import materialize
 
-# Rows of one key a single sorted task may hold; longer histories are cut in chunks.
-HOT_HISTORY = 2_000_000
-
 # How many earlier rows each part of the profile remembers.
 REMEMBER = {"addresses": 10, "devices": 10, "emails": 5, "amounts": 50, "card_types": 10}
 
@@ -24,30 +21,20 @@ def with_history(
     order: list[str],
     reach: int,
     build: Callable[[WindowSpec], dict[str, Column]],
-    hot_rows: int | None = HOT_HISTORY,
 ) -> DataFrame:
     """Add window columns whose frames look at most ``reach`` rows back.
 
-    Ordinary keys use one window. The rows of oversized keys are range-partitioned
-    by (key, order), so a key spans many chunks of bounded size; each chunk borrows
-    the last ``reach`` rows before it and is then computed on its own.
+    Rows are range-partitioned by (key, order), so a key spans as many chunks as its rows
+    need; each chunk borrows the last ``reach`` rows before it and is then computed on its
+    own. Rows whose key has a NULL part see no other row.
     """
     def apply(frame: DataFrame, window: WindowSpec) -> DataFrame:
         return frame.select("*", *[c.alias(n) for n, c in build(window).items()])
 
-    def plain(frame: DataFrame) -> DataFrame:
-        work = spread_missing(frame, key, order[0])
-        made = apply(work, Window.partitionBy(*key, SPREAD).orderBy(*order))
-        return made if SPREAD in frame.columns else made.drop(SPREAD)
-
-    hot = None if hot_rows is None else hot_keys(df, key, None, hot_rows)
-    if hot is None:
-        return plain(df)
-    names = hot.select(*key)
-    cold = plain(df.join(names, key, "left_anti"))
-
+    lone = df.where(~complete_key(key)).withColumn("_alone", F.monotonically_increasing_id())
+    lone = apply(lone, Window.partitionBy("_alone").orderBy(*order)).drop("_alone")
     chunks = materialize(
-        df.join(names, key, "left_semi").repartitionByRange(*key, *order)
+        df.where(complete_key(key)).repartitionByRange(*key, *order)
         .withColumn("_chunk", F.spark_partition_id()), "chunks")
     row = F.struct(*[F.col(c) for c in df.columns])
     newest = Window.partitionBy(*key, "_chunk").orderBy(*[F.desc(c) for c in order])
@@ -66,7 +53,7 @@ def with_history(
     work = chunks.withColumn("_borrowed", F.lit(False)).unionByName(borrowed)
     split = Window.partitionBy(*key, "_chunk").orderBy(*order)
     done = apply(work, split).where(~F.col("_borrowed")).drop("_borrowed", "_chunk")
-    return cold.unionByName(done.select(*cold.columns))
+    return done.unionByName(lone)
 
 
 def _back(window: WindowSpec, n: int) -> WindowSpec:
@@ -77,7 +64,7 @@ def profile_history(
     df: DataFrame, card: str = "card1", order: tuple[str, ...] = ("t_us", "TransactionID"),
     addr1: str = "addr1", addr2: str = "addr2", device: str = "DeviceInfo",
     email: str = "P_emaildomain", card_type: str = "card6", amount: str = "TransactionAmt",
-    with_amounts: bool = False, missing_text: str | None = None, hot_rows: int | None = HOT_HISTORY,
+    with_amounts: bool = False, missing_text: str | None = None,
 ) -> DataFrame:
     """Add the profile before each row: ``seen_*`` arrays and amount statistics.
 
@@ -107,7 +94,7 @@ def profile_history(
             made["seen_amounts"] = F.collect_list(amount).over(amounts)
         return made
 
-    return with_history(df, [card], list(order), REMEMBER["amounts"], build, hot_rows)
+    return with_history(df, [card], list(order), REMEMBER["amounts"], build)
 
 
 def takeover_risk(df: DataFrame, cfg: Settings, email: str = "P_emaildomain",

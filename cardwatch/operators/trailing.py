@@ -1,15 +1,12 @@
-"""Trailing time windows per key, safe for keys that hold much of the table.
+"""Trailing time windows per key, one plan whatever a key's size.
 
-Most keys are served by one ``Window`` with RANGE frames: one shuffle, one sort,
-any number of widths. Two things go wrong for a key with very many rows: its
-partition is one task, and a sliding frame is re-aggregated for every row. Such
-keys are found by a count and answered differently, with the same result:
-
-* rows of equal time collapse into one point per (key, time);
+* Rows of equal time collapse into one point per (key, time), combined before the shuffle;
 * points are grouped in short time buckets; a frame [t - w, t) is the suffix of
   the bucket holding t - w, the whole buckets between, and the prefix of the
   bucket holding t. Each of the three is a running aggregate, no task holds
-  more than one bucket's points, and the answers return by an equi join.
+  more than one bucket's points or one key's buckets, and the answers return by an equi join.
+
+A key with most of the table is so split by time, and its arithmetic is that of every key.
 """
 
 from __future__ import annotations
@@ -21,7 +18,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cardwatch.session import materialize
 
-HOT_ROWS = 50_000  # rows of one key beyond which its frames are split by time
 BUCKETS_PER_WIDTH = 4
 STATS = ("rows", "n", "sum", "mean", "std_pop", "std_samp", "max")
 
@@ -35,99 +31,48 @@ def trailing_stats(
     widths: dict[str, int],
     stats: tuple[str, ...] = ("n", "sum"),
     inclusive: bool = False,
-    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Add ``{stat}_{width}`` over non-NULL values in [t - w, t) of the same key.
 
     ``rows`` counts rows, ``n`` non-NULL values. ``inclusive`` closes the frame at
     t, so the row and its peers count too. A row whose key has a NULL part gets
-    zero counts and no other statistic. ``hot_rows=None`` tells that the caller has
-    already found no oversized key.
+    zero counts and no other statistic.
     """
     unknown = set(stats) - set(STATS)
     if unknown:
         raise ValueError(f"unknown statistics {sorted(unknown)}")
-    hot = None if hot_rows is None else hot_keys(df, key, value, hot_rows)
-    if hot is None:
-        return _framed(df, key, time, value, widths, stats, inclusive)
-    names = hot.select(*key)
-    cold_part = _framed(
-        df.join(names, key, "left_anti"), key, time, value, widths, stats, inclusive
-    )
-    hot_rows_df = df.join(names, key, "left_semi")
-    hot_part = _bucketed(hot_rows_df, hot, key, time, value, widths, stats, inclusive)
-    return cold_part.unionByName(hot_part.select(*cold_part.columns))
-
-
-def hot_keys(
-    df: DataFrame, key: list[str], value: str | None, hot_rows: int
-) -> DataFrame | None:
-    """Keys with more rows than allowed (with their mean value), or None.
-
-    Counting is combined map-side. The list is written once, so later joins
-    know its size and are broadcast only when it is small.
-    """
-    centre = F.coalesce(F.avg(value), F.lit(0.0)) if value else F.lit(0.0)
-    counts = (
-        df.where(complete_key(key))
-        .groupBy(*key)
-        .agg(F.count(F.lit(1)).alias("_rows"), centre.alias("_centre"))
-        .where(F.col("_rows") > hot_rows)
-    )
-    hot = materialize(counts, "hot-keys")
-    return None if hot.isEmpty() else hot
+    answers = _answers(df.where(complete_key(key)), key, time, value, widths, stats, inclusive)
+    counts = [f"{s}_{w}" for s in stats if s in ("rows", "n") for w in widths]
+    return df.join(answers, [*key, time], "left").fillna(0, counts)
 
 
 def complete_key(key: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key])
 
 
-SPREAD = "_spread"
-
-
-def spread_missing(df: DataFrame, key: list[str], time: str) -> DataFrame:
-    """Give rows with a NULL key part different window partitions, by a hash of time.
-
-    Kept as a column, so several windows over one key share a single shuffle.
-    """
-    if SPREAD in df.columns:
-        return df
-    return df.withColumn(SPREAD, F.when(~complete_key(key), F.xxhash64(time)))
-
-
-def _framed(df, key, time, value, widths, stats, inclusive) -> DataFrame:
-    complete = complete_key(key)
-    work = spread_missing(df, key, time)
-    window = Window.partitionBy(*key, SPREAD).orderBy(time)
-    build = {
-        "rows": lambda _: F.count(F.lit(1)), "n": F.count, "sum": F.sum, "mean": F.avg, "std_pop": F.stddev_pop,
-        "std_samp": F.stddev_samp, "max": F.max,
-    }
-    out: dict[str, Column] = {}
-    for name, width in widths.items():
-        frame = window.rangeBetween(-width, 0 if inclusive else -1)
-        for s in stats:
-            column = F.when(complete, build[s](value).over(frame))
-            out[f"{s}_{name}"] = F.coalesce(column, F.lit(0)) if s in ("rows", "n") else column
-    return work.select(*df.columns, *[c.alias(n) for n, c in out.items()])
-
-
-def _bucketed(df, hot, key, time, value, widths, stats, inclusive) -> DataFrame:
+def _answers(df, key, time, value, widths, stats, inclusive) -> DataFrame:
+    """(key, time, statistics) of every point of ``df``."""
     bucket = max(1, reduce(gcd, widths.values()) // BUCKETS_PER_WIDTH)
     while any(w % bucket for w in widths.values()):
         bucket -= 1
     sums = ["r", "n", "s", "x", "xx"]  # rows, values, sum, centred first and second moments
-    centred = F.col(value) - F.col("_centre")
-    points = (
-        df.select(*key, time, value)
-        .join(hot.select(*key, "_centre"), key)
-        .groupBy(*key, F.col(time).alias("_t"))
-        .agg(
-            F.count(F.lit(1)).alias("r"), F.count(value).alias("n"), F.sum(value).alias("s"), F.sum(centred).alias("x"),
-            F.sum(centred * centred).alias("xx"), F.max(value).alias("m"),
-        )
-    )
-    points = materialize(points.withColumn("_b", F.floor(F.col("_t") / bucket)), "points")
+    points = materialize(df.groupBy(*key, F.col(time).alias("_t")).agg(
+        F.count(F.lit(1)).alias("r"), F.count(value).alias("n"), F.sum(value).alias("s"),
+        (F.var_pop(value) * F.count(value)).alias("_own"), F.max(value).alias("m")), "points")
+    # moments are taken around the key's mean, so that squares don't cancel
+    centre = points.groupBy(*key).agg(F.coalesce(F.sum("s") / F.sum("n"), F.lit(0.0)).alias("_centre")) \
+        if {"std_pop", "std_samp"} & set(stats) else None
+    if centre is None:
+        points = points.withColumn("_centre", F.lit(0.0))
+    else:
+        points = points.join(centre, key)
+    offset = F.col("s") - F.col("n") * F.col("_centre")
+    points = points.select(
+        *key, "_t", "r", "n", "s", offset.alias("x"),
+        F.when(F.col("n") > 0, F.col("_own") + offset * offset / F.col("n")).alias("xx"), "m",
+        F.floor(F.col("_t") / bucket).alias("_b"))
+    if centre is not None:
+        points = materialize(points, "points")
 
     names = list(widths)
     marks = [F.struct(F.lit(-1).alias("w"), F.col("_t").alias("q"), F.col("_b").alias("qb"))] + [
@@ -190,9 +135,8 @@ def _bucketed(df, hot, key, time, value, widths, stats, inclusive) -> DataFrame:
             "max": total("m", i),
         }
         out.update({f"{stat}_{name}": made[stat] for stat in stats})
-    answers = answers.select(
+    return answers.select(
         *key, F.col("_t").alias(time), *[c.alias(n) for n, c in out.items()])
-    return df.join(answers, [*key, time], "left")
 
 
 def distinct_trailing(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cardwatch.operators.trailing import (
-    HOT_ROWS, complete_key, distinct_trailing, trailing_stats,
+    complete_key, distinct_trailing, trailing_stats,
 )
 
 HOUR = 3600
@@ -20,7 +20,7 @@ def _widths(hours: dict[str, int], unit: int) -> dict[str, int]:
 
 def card_window_velocity(
     df: DataFrame, card: str = "card1", time: str = "TransactionDT",
-    amount: str = "TransactionAmt", unit: int = 1, hot_rows: int | None = HOT_ROWS,
+    amount: str = "TransactionAmt", unit: int = 1,
 ) -> DataFrame:
     """Count, sum, mean and sample deviation in [t - w, t], the row included.
 
@@ -28,7 +28,7 @@ def card_window_velocity(
     """
     out = trailing_stats(
         df, key=[card], time=time, value=amount, widths=_widths(CARD_WINDOWS, unit),
-        stats=("rows", "sum", "mean", "std_samp"), inclusive=True, hot_rows=hot_rows)
+        stats=("rows", "sum", "mean", "std_samp"), inclusive=True)
     names = {"sum": "sum", "mean": "mean", "std_samp": "std"}
     renames = {f"rows_{w}": f"card1_txn_count_{w}" for w in CARD_WINDOWS}
     for stat, label in names.items():
@@ -57,7 +57,7 @@ def amount_spike(amount: str = "TransactionAmt") -> dict[str, Column]:
 
 def user_window_velocity(
     df: DataFrame, uid: str = "uid", time: str = "t_us", row_id: str = "TransactionID",
-    amount: str = "TransactionAmt", unit: int = MICROS, hot_rows: int | None = HOT_ROWS,
+    amount: str = "TransactionAmt", unit: int = MICROS,
 ) -> DataFrame:
     """Statistics of strictly earlier rows (by time, then id) with t >= now - w.
 
@@ -67,7 +67,7 @@ def user_window_velocity(
     work = df.withColumn("_amt", F.coalesce(amount, F.lit(0.0)))
     out = trailing_stats(
         work, key=[uid], time=time, value="_amt", widths=_widths(USER_WINDOWS, unit),
-        stats=("n", "sum", "mean", "std_pop", "max"), hot_rows=hot_rows)
+        stats=("n", "sum", "mean", "std_pop", "max"))
     tied = Window.partitionBy(uid, time).orderBy(row_id).rowsBetween(
         Window.unboundedPreceding, -1)
     peers = {
@@ -116,7 +116,7 @@ def velocity_risk_score(amount: str = "TransactionAmt") -> dict[str, Column]:
 
 def online_velocity_counts(
     df: DataFrame, key: list[str], time: str = "t_us", amount: str = "TransactionAmt",
-    unit: int = MICROS, distinct: bool = False, hot_rows: int | None = HOT_ROWS,
+    unit: int = MICROS, distinct: bool = False,
 ) -> DataFrame:
     """What the state store would answer before recording the row.
 
@@ -128,8 +128,7 @@ def online_velocity_counts(
     zero = F.lit(0.0)
     if not distinct:
         out = trailing_stats(
-            df, key=key, time=time, value=amount, widths=widths, stats=("n", "sum", "mean"),
-            hot_rows=hot_rows)
+            df, key=key, time=time, value=amount, widths=widths, stats=("n", "sum", "mean"))
         return out.select(
             *df.columns,
             *[F.col(f"n_{w}").alias(f"txn_count_{w}") for w in USER_WINDOWS],
@@ -140,7 +139,7 @@ def online_velocity_counts(
         F.lit(1.0).alias("_seen"))
     asked = df.select(*key, time).distinct().join(times, [*key, time], "left")
     counted = trailing_stats(
-        asked, key=key, time=time, value="_seen", widths=widths, stats=("n",), hot_rows=hot_rows)
+        asked, key=key, time=time, value="_seen", widths=widths, stats=("n",))
     amounts = distinct_trailing(
         df, key=key, time=time, value=amount, widths={w: widths[w] for w in ("1h", "24h")})
     mean = F.when(F.col("n_24h") > 0, F.col("sum_24h") / F.col("n_24h"))

