@@ -123,7 +123,7 @@ def error_isolation(spark, d):
 
 
 #: Seconds behind any event time: the last row of a stream that ends.
-_FOREVER = F.lit(10**10)
+_FOREVER = 10**10
 
 
 def _watermarked(spark, d):
@@ -131,7 +131,7 @@ def _watermarked(spark, d):
     df = events_stream(spark, d).select(
         "TransactionDT", "card1", "TransactionAmt", "fraud_probability",
         made["decision"].alias("decision"))
-    df, flush = jobs.flushable(df, {"TransactionDT": _FOREVER})
+    df, flush = jobs.flushable(df, {"TransactionDT": F.lit(_FOREVER)})
     return jobs.with_watermark(df, CFG), [flush]
 
 
@@ -183,7 +183,7 @@ def reply_correlation(spark, d):
         .alias("reply_time"),
         F.when(F.col("fraud_probability") >= 0.0564, "BLOCK").otherwise("APPROVE")
         .alias("decision"))
-    end = F.timestamp_seconds(_FOREVER)
+    end = F.timestamp_seconds(F.lit(_FOREVER))
     key = "transaction_id"  # without a key a row never reaches the join; unlike keys never meet
     requests, last_request = jobs.flushable(requests, {key: F.lit(-1), "request_time": end})
     replies, last_reply = jobs.flushable(replies, {key: F.lit(-2), "reply_time": end})
