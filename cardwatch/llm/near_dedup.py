@@ -7,7 +7,7 @@ three samples make a band. Texts that are equal word for word are one node from
 
 Every bucket (texts with an equal band) of up to ``SMALL`` texts has all its pairs checked. A larger one
 compares all its texts with its hub, then those that aren't of the hub's class with further leaders, and
-what is left is split by each further band. No bucket is ever cut, and nothing is collected. A pair goes to
+what is left is split by each further band. No pair is checked twice, or within a class. No bucket is cut, and nothing is collected. A pair goes to
 the exact check unless its samples put it far below the limit. Classes are connected components of links.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from cardwatch.llm.common import SPACE, quoted, text_of, written
+from cardwatch.llm.common import SPACE, in_batches, quoted, text_of, written
 from cardwatch.llm.fragments import RangeHash, chunks, joined
 from cardwatch.llm.graph import components
 from cardwatch.llm.words import in_text, per_text, windows, word_ranges
@@ -84,13 +84,13 @@ class Sampler:
     """Improved consistent weighted sampling (Ioffe) with draws from a table."""
 
     def __init__(self):
-        random = np.random.default_rng(17)
-        k = BANDS * ROWS
-        gamma = random.gamma(2.0, 1.0, (k, DRAWS))
-        beta, c = random.random((k, DRAWS)), random.gamma(2.0, 1.0, (k, DRAWS))
-        self.step = gamma.astype(np.float32)
-        self.inverse, self.beta = (1 / gamma).astype(np.float32), beta.astype(np.float32)
-        self.base = (np.log(c) + gamma * (beta - 1)).astype(np.float32)
+        random, k = np.random.default_rng(17), BANDS * ROWS
+        self.step, self.inverse, self.beta, self.base = np.empty((4, k, DRAWS), np.float32)
+        for i in range(k):  # one sample at a time, for little memory beside the tables
+            gamma, c = random.gamma(2.0, 1.0, DRAWS), random.gamma(2.0, 1.0, DRAWS)
+            beta = random.random(DRAWS)
+            self.step[i], self.inverse[i], self.beta[i] = gamma, 1 / gamma, beta
+            self.base[i] = np.log(c) + gamma * (beta - 1)
         self.odd = random.integers(0, 2**32, k, dtype=np.uint32) | np.uint32(1)
 
     def __call__(self, key: np.ndarray, weight: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -138,7 +138,7 @@ def word_weights(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.append(held, -1).astype(np.int32)), pa.array(np.append(df[held], total))], schema.names)
 
-    rows = docs.select("text").mapInArrow(run, schema).groupBy("word").agg(F.sum("df").alias("df")).collect()
+    rows = in_batches(docs.select("text"), run, schema).groupBy("word").agg(F.sum("df").alias("df")).collect()
     counted = {r.word: r.df for r in rows}
     n = max(2, counted.pop(-1, 0) + 1)
     df = np.ones(WORDS)
@@ -165,14 +165,14 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
                 pa.array((drawn >> np.uint64(32)).astype(np.uint32).reshape(-1).view(np.int32)))
             yield pa.RecordBatch.from_arrays([*[part[c] for c in rest], bands, samples], schema.names)
 
-    return docs.select(*rest, "text").mapInArrow(run, schema)
+    return in_batches(docs.select(*rest, "text"), run, schema)
 
 
 class Verifier:
     """Checks pairs of nodes: first their samples, then the weighted Jaccard similarity of their texts."""
 
-    def __init__(self, nodes: DataFrame, texts: DataFrame, idf: np.ndarray, limit: float):
-        self.samples, self.texts = nodes.select("node", "samples"), texts
+    def __init__(self, samples: DataFrame, texts: DataFrame, idf: np.ndarray, limit: float):
+        self.samples, self.texts = samples, texts
         self.idf, self.limit = idf, limit
 
     def _with(self, pairs, table, key, column):
@@ -203,8 +203,7 @@ class Verifier:
                     [pa.array([h[0] for h in hit], pa.int64()), pa.array([h[1] for h in hit], pa.int64()),
                      pa.array([h[2] for h in hit], pa.float64())], ["a", "b", "similarity"])
 
-        return written(full.select("a", "b", "text_a", "text_b")
-                       .mapInArrow(run, "a long, b long, similarity double"), "near-links")
+        return written(in_batches(full.select("a", "b", "text_a", "text_b"), run, "a long, b long, similarity double"), "near-links")
 
 
 def similarity(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
@@ -224,52 +223,98 @@ def _labelled(rows: DataFrame, label: DataFrame, key: str, out: str) -> DataFram
     return rows.join(side, key, "left").withColumn(out, F.coalesce(out, key))
 
 
+class Classes:
+    """Links found so far, the classes they make, and the pairs that need no second check."""
+
+    def __init__(self, check: Verifier):
+        spark = check.texts.sparkSession
+        self.check = check
+        self.links = spark.createDataFrame([], "a long, b long, similarity double")
+        self.label = spark.createDataFrame([], "node long, component long")
+        self.tested = spark.createDataFrame([], "a long, b long")
+
+    def named(self, rows: DataFrame, key: str, out: str) -> DataFrame:
+        return _labelled(rows, self.label, key, out)
+
+    def settle(self, pairs: DataFrame) -> None:
+        """Check the pairs (a < b) that are new, and merge the classes of those that are links."""
+        fresh = written(pairs.distinct().join(self.tested, ["a", "b"], "left_anti"), "near-fresh")
+        if fresh.isEmpty():
+            return
+        self.tested = self.tested.unionByName(fresh)
+        found = self.check.links(fresh)
+        if found.isEmpty():
+            return
+        self.links = self.links.unionByName(found)
+        between = self.named(self.named(found, "a", "x"), "b", "y").select(
+            F.col("x").alias("a"), F.col("y").alias("b"))
+        merged = written(components(between), "near-merged")  # of classes, and of nodes that had none
+        merged = merged.withColumnRenamed("component", "into")
+        old = self.label.join(merged.withColumnRenamed("node", "component"), "component", "left").select(
+            "node", F.coalesce("into", "component").alias("component"))
+        new = merged.join(self.label, "node", "left_anti").select("node", F.col("into").alias("component"))
+        self.label = written(old.unionByName(new), "near-labels")
+
+
 def node_links(nodes: DataFrame, check: Verifier) -> tuple[DataFrame, DataFrame]:
     """All links found and the components of the linked nodes; ``nodes`` has node and bands."""
-    spark = nodes.sparkSession
     band = nodes.select("node", F.posexplode("bands").alias("last", "key"))
     buckets = band.select(F.xxhash64("last", "key").alias("bucket"), "last", "node")
-    links = spark.createDataFrame([], "a long, b long, similarity double")
-    label = spark.createDataFrame([], "node long, component long")
-
+    classes, level = Classes(check), 0
     while True:
-        sized = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1")
-        members = written(buckets.join(sized, "bucket"), "near-buckets")
+        sized = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+        members = written(buckets.join(sized, "bucket"), "near-sized")
         if members.isEmpty():
             break
-        hubs = _labelled(_labelled(members.where("node <> hub"), label, "node", "c"), label, "hub", "h")
-        stars = hubs.where("c <> h").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-        links = links.unionByName(check.links(stars))
-        label = written(components(links), "near-labels")
-
-        named = written(_labelled(_labelled(members, label, "node", "c"), label, "hub", "h"), "near-buckets")
-        few = named.where((F.col("n") <= SMALL) & (F.col("n") > 2)).select("bucket", "node", "c", "hub")
-        other = few.select("bucket", F.col("node").alias("b"), F.col("c").alias("d"))
-        pairs = few.join(other, "bucket").where("node < b and c <> d and node <> hub").select(
-            F.col("node").alias("a"), "b")
-        many = named.where(F.col("n") > SMALL)
-        left = many.where("c <> h")
-        order = [F.xxhash64("bucket", "node", F.lit(i)) for i in range(LEADERS)]
-        leaders = many.groupBy("bucket").agg(
-            F.array(*[F.min_by("node", o) for o in order]).alias("lead"))
-        led = written(left.join(leaders, "bucket"), "near-left")
-        far = led.select(F.explode(F.array_distinct("lead")).alias("a"), F.col("node").alias("b")).where("a <> b")
-        pairs = pairs.unionByName(far).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        more = check.links(pairs.distinct())
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            label = written(components(links), "near-labels")
-
-        rest = _labelled(led.drop("c", "h"), label, "node", "c")
-        for i in range(LEADERS):
-            rest = _labelled(rest.withColumn(f"lead{i}", F.col("lead")[i]), label, f"lead{i}", f"l{i}")
-        rest = _labelled(rest, label, "hub", "h").where(" and ".join(
-            ["c <> h", *[f"(c <> l{i} or node = lead{i})" for i in range(LEADERS)]]))
-        deeper = rest.select("bucket", "last", "node").join(
+        members = written(_with_hubs(members), "near-buckets")
+        if not level:
+            classes.settle(_to_hub(classes, members))
+            far = _to_leaders(classes, members)
+        else:
+            far = _to_hub(classes, members)
+        classes.settle(_in_small(classes, members).unionByName(far))
+        many = classes.named(classes.named(members.where(F.col("n") > SMALL), "node", "c"), "hub", "h")
+        deeper = many.where("c <> h").select("bucket", "last", "node").join(
             band.withColumnRenamed("last", "next"), "node").where("next > last")
         buckets = written(deeper.select(F.xxhash64("bucket", "next", "key").alias("bucket"),
                                         F.col("next").alias("last"), "node"), "near-buckets")
-    return links, label
+        level += 1
+    return classes.links, classes.label
+
+
+def _with_hubs(members: DataFrame) -> DataFrame:
+    """Each bucket's hub: the text that shares its buckets with most others, as the original of many
+    copies does; of equal ones the first."""
+    near = members.groupBy("node").agg(F.sum("n").alias("near"))
+    hubs = members.join(near, "node").groupBy("bucket").agg(
+        F.max_by("node", F.struct(F.col("near"), -F.col("node"))).alias("hub"))
+    return members.join(hubs, "bucket")
+
+
+def _to_hub(classes: Classes, members: DataFrame) -> DataFrame:
+    """Each text with the hub of its bucket, unless they are of one class."""
+    named = classes.named(classes.named(members.where("node <> hub"), "node", "c"), "hub", "h")
+    return named.where("c <> h").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
+
+
+def _to_leaders(classes: Classes, members: DataFrame) -> DataFrame:
+    """In large buckets, each text that isn't of the hub's class with further leaders of the bucket."""
+    many = classes.named(classes.named(members.where(F.col("n") > SMALL), "node", "c"), "hub", "h")
+    order = [F.xxhash64("bucket", "node", F.lit(i)) for i in range(LEADERS)]
+    lead = members.where(F.col("n") > SMALL).groupBy("bucket").agg(
+        F.array_distinct(F.array(*[F.min_by("node", o) for o in order])).alias("lead"))
+    far = many.where("c <> h").join(lead, "bucket").select("node", "c", F.explode("lead").alias("leader"))
+    far = classes.named(far, "leader", "d").where("c <> d")
+    return far.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
+
+
+def _in_small(classes: Classes, members: DataFrame) -> DataFrame:
+    """All pairs of a small bucket that aren't of one class (those with the hub are known)."""
+    few = classes.named(members.where((F.col("n") <= SMALL) & (F.col("n") > 2)), "node", "c").where("node <> hub")
+    few = written(few.select("bucket", "node", "c"), "near-small")
+    other = few.select("bucket", F.col("node").alias("b"), F.col("c").alias("d"))
+    return few.join(other, (few["bucket"] == other["bucket"]) & (F.col("node") < F.col("b")) & (
+        F.col("c") != F.col("d"))).select(F.col("node").alias("a"), "b")
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -293,11 +338,12 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     band = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     shared = band.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    wanted = band.join(shared, ["band", "key"]).select("node").distinct()
+    wanted = written(band.join(shared, ["band", "key"]).select("node").distinct(), "near-wanted")
     held = nodes.select("node", F.col("hash").alias("h"), F.col("id").alias("i")).join(wanted, "node")
     texts = slim.join(held, (F.col("hash") == F.col("h")) & F.col("id").eqNullSafe(F.col("i")))
     texts = written(texts.select("node", "text").dropDuplicates(["node"]), "near-texts")
-    links, label = node_links(nodes, Verifier(nodes, texts, idf, limit))
+    samples = written(nodes.select("node", "samples").join(wanted, "node"), "near-samples")
+    links, label = node_links(nodes.select("node", "bands"), Verifier(samples, texts, idf, limit))
     return _labelled(rows, label, "node", "component"), links
 
 
