@@ -26,7 +26,25 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
   doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
 FROM n WINDOW w AS (PARTITION BY t)""")
 
-_add("op4_secret_scan", lambda spark, d: secrets.secret_report(documents(spark, d)))
+_add("op4_secret_scan", lambda spark, d: secrets.secret_report(documents(spark, d)), r"""
+WITH r(kind, name, p, g, least) AS (VALUES
+  (0, 'assign', '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2, 6),
+  (1, 'access', 'AKIA[A-Z0-9]{16,}', 0, 20), (2, 'hex', '[0-9a-f]{24,}', 0, 24)),
+m AS (SELECT doc_id, kind, name, least, string_split_regex(coalesce(text, ''), p) AS gap,
+  regexp_extract_all(coalesce(text, ''), p, 0) AS hit,
+  CASE WHEN g = 2 THEN regexp_extract_all(coalesce(text, ''), p, 2) ELSE regexp_extract_all(coalesce(text, ''), p, 0) END
+    AS part FROM documents, r),
+e AS (SELECT doc_id, kind, name, least, i, length(hit[i]) AS n, length(part[i]) AS size,
+  sum(length(gap[i])) OVER w + sum(length(hit[i])) OVER w AS stop
+  FROM (SELECT *, unnest(range(1, len(hit) + 1)) AS i FROM m)
+  WINDOW w AS (PARTITION BY doc_id, kind ORDER BY i)),
+s AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access,
+  count(*) FILTER (kind = 2) AS n_hex,
+  string_agg(name || ':' || (stop - n) || ':' || stop, ',' ORDER BY stop - n, kind) AS spans
+  FROM e WHERE size >= least GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access,
+  coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id""")
 
 _add("op2_wavelet_shards", lambda spark, d: wavelet.token_files(
     documents(spark, d), public_tokenizers.path(WORD_BPE), end_id=2))
@@ -46,4 +64,15 @@ _add("op6_weighted_minhash", lambda spark, d: near_dedup.near_dedup(documents(sp
 
 _add("op8_prefix_doubling", lambda spark, d: substrings.repeated_report(documents(spark, d)))
 
-_add("op3_line_runs", lambda spark, d: lines.line_report(documents(spark, d)))
+_add("op3_line_runs", lambda spark, d: lines.line_report(documents(spark, d)), """
+WITH l AS (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) - 1 AS i, len(parts) AS n
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)),
+w AS (SELECT *, row_number() OVER (ORDER BY doc_id, i) AS place, lead(line, 1) OVER o AS l1, lead(line, 2) OVER o AS l2
+  FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+k AS (SELECT *, i + 3 <= n AND min(place) OVER (PARTITION BY line, l1, l2, i + 3 <= n) + 3 <= place AS later FROM w),
+g AS (SELECT *, later OR coalesce(lag(later, 1) OVER o, FALSE) OR coalesce(lag(later, 2) OVER o, FALSE) AS gone
+  FROM k WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+h AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), FALSE) AS fresh FROM g)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, count(*) FILTER (fresh) AS n_runs,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM h GROUP BY doc_id""")
