@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from cardwatch.llm.common import bundled, quoted, text_of, unbundled
+from cardwatch.llm.common import bundled, in_batches, quoted, text_of, unbundled
 from cardwatch.llm.fragments import FragmentIds, chunks, joined
 
 
@@ -138,7 +138,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
                 pa.array(ends.astype(np.int32)), pa.array(ids.view(np.int32)))
             yield pa.RecordBatch.from_arrays([part["row"], column], schema.names)
 
-    return slim.mapInArrow(run, schema).select(*unbundled(rest), "ids")
+    return in_batches(slim, run, schema).select(*unbundled(rest), "ids")
 
 
 def decode(tokens: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -156,7 +156,7 @@ def decode(tokens: DataFrame, path: str, ids_col: str = "ids", text_col: str = "
                                   for x in part["ids"]], pa.string())
                 yield pa.RecordBatch.from_arrays([part["row"], texts], schema.names)
 
-    return slim.mapInArrow(run, schema).select(*unbundled(rest), F.col("text").alias(text_col))
+    return in_batches(slim, run, schema).select(*unbundled(rest), F.col("text").alias(text_col))
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:

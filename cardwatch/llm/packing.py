@@ -25,7 +25,7 @@ from pyspark.sql.types import (
 )
 
 from cardwatch.llm.bpe import codec
-from cardwatch.llm.common import quoted, text_of, written
+from cardwatch.llm.common import in_batches, quoted, text_of, written
 from cardwatch.llm.fragments import chunks
 
 WINDOW = 2048
@@ -61,7 +61,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays(
                 [part["uid"], part["doc_id"], pa.array(np.diff(ends)), pa.array(near), ids], schema.names)
 
-    return written(slim.mapInArrow(run, schema), "pack-tokens")
+    return written(in_batches(slim, run, schema), "pack-tokens")
 
 
 def width(size: int) -> np.dtype:
@@ -84,7 +84,7 @@ def document_frequency(tokens: DataFrame, size: int) -> np.ndarray:
         held = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(df[held])], schema.names)
 
-    rows = tokens.select("ids").mapInArrow(run, schema).groupBy("term").agg(F.sum("df").alias("df")).collect()
+    rows = in_batches(tokens.select("ids"), run, schema).groupBy("term").agg(F.sum("df").alias("df")).collect()
     out = np.zeros(size)
     out[[r.term for r in rows]] = [r.df for r in rows]
     return out
@@ -248,7 +248,7 @@ def pack(docs: DataFrame, path: str, end_id: int, window: int = WINDOW, id_col:
         yield from out(windows.finish())
 
     near = tokens.repartitionByRange("near", "uid").sortWithinPartitions("near", "uid")
-    return near.select("doc_id", "ids").mapInArrow(run, schema)
+    return in_batches(near.select("doc_id", "ids"), run, schema)
 
 
 def pack_report(docs: DataFrame, path: str, end_id: int) -> DataFrame:

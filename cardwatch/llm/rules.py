@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from cardwatch.llm.common import quoted, text_of, written
+from cardwatch.llm.common import in_batches, quoted, text_of, written
 from cardwatch.llm.fragments import RangeHash, chunks, joined
 from cardwatch.llm.words import again, in_text, line_ranges, per_text, windows, word_ranges
 
@@ -87,7 +87,7 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [*[part[c] for c in rest], *[pa.array(found[c].astype(np.int64)) for c in COUNTS]], schema.names)
 
-    return slim.mapInArrow(run, schema)
+    return in_batches(slim, run, schema)
 
 
 def _cells(rows: DataFrame) -> DataFrame:

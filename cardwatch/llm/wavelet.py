@@ -32,7 +32,7 @@ from pyspark.sql.types import (
 )
 from pyspark.sql.window import Window
 
-from cardwatch.llm.common import quoted, text_of, written
+from cardwatch.llm.common import in_batches, quoted, text_of, written
 from cardwatch.llm.fragments import FragmentIds, chunks, joined
 from cardwatch.llm.words import word_ranges
 from cardwatch.session import scratch_path
@@ -302,7 +302,7 @@ def write_shards(docs: DataFrame, folder: str, path: str, id_col: str = "doc_id"
         if docs_held:
             yield flush()
 
-    return written(ranged.mapInArrow(run, MANIFEST), "shard-manifest")
+    return written(in_batches(ranged, run, MANIFEST), "shard-manifest")
 
 
 def read_shards(manifest: DataFrame, folder: str, id_type) -> DataFrame:
@@ -340,7 +340,7 @@ def read_shards(manifest: DataFrame, folder: str, id_type) -> DataFrame:
                         [shard.doc_ids[first:last], pa.array(at[:-1] + base), ids], ["doc_id", "start", "ids"])
                     first = last
 
-    return files.join(shards, "file").select("content", "base").mapInArrow(run, schema)
+    return in_batches(files.join(shards, "file").select("content", "base"), run, schema)
 
 
 def token_files(docs: DataFrame, path: str, end_id: int, folder: str | None = None,
