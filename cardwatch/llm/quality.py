@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, IntegerType, StructField, StructType
 
-from cardwatch.llm.common import bundled, quoted, text_of, unbundled
+from cardwatch.llm.common import bundled, in_batches, quoted, text_of, unbundled
 from cardwatch.llm.fragments import RangeHash, chunks, joined
 from cardwatch.llm.words import word_ranges
 
@@ -101,18 +101,15 @@ def log_ratios(rows: list[np.ndarray], good: np.ndarray) -> np.ndarray:
 def descend(rows: list[np.ndarray], good: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, float]:
     """Dual coordinate descent for the hinge loss with squared norm; the intercept is a feature of 1."""
     weight, bias = np.zeros(len(ratio)), 0.0
-    scaled = []
-    for found in rows:
-        x = ratio[found]
-        norm = np.sqrt(np.square(x).sum())
-        scaled.append(x / norm if norm else x)
+    norm = np.array([np.sqrt(np.square(ratio[found]).sum()) for found in rows])
     sign, alpha = np.where(good, 1.0, -1.0), np.zeros(len(rows))
     order = np.random.default_rng(11)
     for _ in range(PASSES):
         for i in order.permutation(len(rows)):
-            found, x, y = rows[i], scaled[i], sign[i]
+            found, y = rows[i], sign[i]
+            x = ratio[found] / norm[i] if norm[i] else np.zeros(len(found))
             gradient = y * (weight[found] @ x + bias) - 1
-            size = (2.0 if len(x) else 1.0)
+            size = 2.0 if norm[i] else 1.0
             new = min(max(alpha[i] - gradient / size, 0.0), COST)
             step = (new - alpha[i]) * y
             if step:
@@ -160,9 +157,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col
             found = [x.astype("<u4").tobytes() for x in features(part, "text", hashes, distinct)]
             yield pa.RecordBatch.from_arrays([part["id"], part["good"], pa.array(found, pa.binary())], schema.names)
 
-    got = sorted(rows.mapInArrow(run, schema).collect(), key=lambda r: (str(r.id), bytes(r.found)))
-    return fit([np.frombuffer(r.found, "<u4").astype(np.int64) for r in got],
-               np.array([r.good == 1 for r in got], bool), share)
+    got = sorted(in_batches(rows, run, schema).collect(), key=lambda r: (str(r.id), bytes(r.found)))
+    # the rows stay as they came, 4 bytes an indicator: this is what the driver holds
+    return fit([np.frombuffer(r.found, "<u4") for r in got], np.array([r.good == 1 for r in got], bool), share)
 
 
 def fit(rows: list[np.ndarray], good: np.ndarray, share: dict[int, int]) -> Model:
@@ -206,7 +203,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 [part["row"], part["held_out"], pa.array(got), pa.array((got >= THRESHOLD).astype(np.int32))],
                 schema.names)
 
-    return slim.mapInArrow(run, schema).select(*unbundled(rest), "held_out", "score", "predicted")
+    return in_batches(slim, run, schema).select(*unbundled(rest), "held_out", "score", "predicted")
 
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:

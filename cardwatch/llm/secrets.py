@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from cardwatch.llm.common import quoted, text_of, written
+from cardwatch.llm.common import quoted, release, text_of, written
 from cardwatch.session import scratch_path
 
 
@@ -109,6 +109,7 @@ def update_ledger(docs: DataFrame, path: str, rules=RULES) -> DataFrame:
         "blob", "rule", "version",
         F.coalesce("spans", F.array().cast(LEDGER["spans"].dataType)).alias("spans"))
     fresh.write.mode("append").parquet(path)
+    release(docs)
     now = F.struct("rule", "version").isin([
         F.struct(F.lit(r.name), F.lit(r.version)) for r in rules])
     return open_ledger(spark, path).where(now)
