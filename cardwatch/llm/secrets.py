@@ -92,18 +92,19 @@ def scan_blobs(todo: DataFrame, rules=RULES) -> DataFrame:
 
 
 def update_ledger(docs: DataFrame, path: str, rules=RULES) -> DataFrame:
-    """Scan what the ledger lacks of ``docs`` (id, blob, text); returns the ledger's current pairs."""
+    """Scan what the ledger lacks of ``docs`` (blob, text); returns the ledger's current pairs.
+
+    One text of each blob is scanned, whatever rows carry it: copies are put together before the shuffle.
+    """
     spark = docs.sparkSession
     wanted = F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("version"))
                        for r in rules])
-    blobs = docs.groupBy("blob").agg(F.min("id").alias("id"))
-    pairs = blobs.select("blob", "id", F.explode(wanted).alias("p")).select("blob", "id", "p.*")
+    blobs = docs.select("blob").distinct()
+    pairs = blobs.select("blob", F.explode(wanted).alias("p")).select("blob", "p.*")
     unseen = pairs.join(open_ledger(spark, path), ["blob", "rule", "version"], "left_anti")
     unseen = written(unseen, "ledger-unseen")
-    pending = (unseen.groupBy("blob", "id").agg(F.collect_set("rule").alias("pending"))
-               .withColumnRenamed("blob", "b").withColumnRenamed("id", "i"))
-    todo = (docs.join(pending, (F.col("blob") == F.col("b")) & F.col("id").eqNullSafe(F.col("i")))
-            .select("blob", "text", "pending"))
+    pending = unseen.groupBy("blob").agg(F.collect_set("rule").alias("pending"))
+    todo = docs.dropDuplicates(["blob"]).join(pending, "blob").select("blob", "text", "pending")
     found = scan_blobs(todo, rules)
     fresh = unseen.join(found, ["blob", "rule"], "left").select(
         "blob", "rule", "version",
@@ -125,8 +126,7 @@ def scan_documents(docs: DataFrame, ledger: str | None = None, id_col: str = "do
     """
     path = ledger or scratch_path(docs.sparkSession, "ledger")
     blob = F.sha2(text_of(text_col), 256).alias("blob")
-    known = update_ledger(
-        docs.select(quoted(id_col).alias("id"), blob, text_of(text_col).alias("text")), path, rules)
+    known = update_ledger(docs.select(blob, text_of(text_col).alias("text")), path, rules)
     kind = F.array_position(F.array(*[F.lit(r.name) for r in rules]), F.col("rule")).cast("int") - 1
     hits = known.select("blob", kind.alias("kind"), F.explode("spans").alias("s"))
     by_blob = hits.groupBy("blob").agg(F.sort_array(F.collect_set(

@@ -130,6 +130,15 @@ def test_redaction_replaces_spans_only(spark):
     assert "token=[SECRET]" not in texts and "f" * 23 + " [SECRET]" in texts
 
 
+def test_secrets_of_repeated_rows_are_found_and_redacted(spark):
+    repeated = "token=abcdefg and more, token=hijklmnop"
+    rows = [(30, "token:abcdef"), (30, "token:abcdef"), (None, repeated), (None, repeated), (31, repeated)]
+    docs = table(spark, rows)
+    assert ordered(secrets.secret_report(docs).collect()) == ordered((i, *_spans(t)) for i, t in rows)
+    texts = [r.text for r in secrets.redact(docs).collect()]
+    assert sorted(texts) == ["[SECRET]"] * 2 + ["[SECRET] and more, [SECRET]"] * 3
+
+
 def test_pipeline_stages_chain(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == [
