@@ -6,14 +6,16 @@ per sample so that two texts draw the same with the probability of their weighte
 three samples make a band. Texts that are equal word for word are one node from the start.
 
 Every bucket (texts with an equal band) of up to ``SMALL`` texts has all its pairs checked. A larger one
-compares all its texts with its hub, then those that aren't of the hub's class with further leaders, and
-what is left is split by each further band. No pair is checked twice, or within a class. No bucket is cut, and nothing is collected. A pair goes to
+compares all its texts with its hub, then those that aren't of the hub's class with further leaders; then
+all its pairs between classes are checked block by block, texts left alone against each other and against
+the hub's class. No pair is left out but within a class. No bucket is cut, and nothing is collected. A pair goes to
 the exact check unless its samples put it far below the limit. Classes are connected components of links.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +33,8 @@ BANDS, ROWS, DRAWS = 13, 3, 1 << 16
 LEAST_EQUAL = 21
 #: Texts of a bucket whose pairs are all checked; leaders of a larger one besides its hub.
 SMALL, LEADERS = 16, 2
+#: Texts and bytes of a block of a larger bucket; shingles of two blocks that are compared at a time.
+BLOCK_TEXTS, BLOCK_BYTES, COLUMNS = 1024, 4 << 20, 2048
 #: Hash buckets of words whose document frequency is counted; the largest weight of a word (least: 1).
 WORDS, HEAVIEST = 1 << 16, 1.5
 
@@ -242,7 +246,10 @@ class Classes:
         if fresh.isEmpty():
             return
         self.tested = self.tested.unionByName(fresh)
-        found = self.check.links(fresh)
+        self.merge(self.check.links(fresh))
+
+    def merge(self, found: DataFrame) -> None:
+        """Merge the classes that the links (a, b, similarity) join."""
         if found.isEmpty():
             return
         self.links = self.links.unionByName(found)
@@ -258,27 +265,18 @@ class Classes:
 
 def node_links(nodes: DataFrame, check: Verifier) -> tuple[DataFrame, DataFrame]:
     """All links found and the components of the linked nodes; ``nodes`` has node and bands."""
-    band = nodes.select("node", F.posexplode("bands").alias("last", "key"))
-    buckets = band.select(F.xxhash64("last", "key").alias("bucket"), "last", "node")
-    classes, level = Classes(check), 0
-    while True:
-        sized = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-        members = written(buckets.join(sized, "bucket"), "near-sized")
-        if members.isEmpty():
-            break
-        members = written(_with_hubs(members), "near-buckets")
-        if not level:
-            classes.settle(_to_hub(classes, members))
-            far = _to_leaders(classes, members)
-        else:
-            far = _to_hub(classes, members)
-        classes.settle(_in_small(classes, members).unionByName(far))
-        many = classes.named(classes.named(members.where(F.col("n") > SMALL), "node", "c"), "hub", "h")
-        deeper = many.where("c <> h").select("bucket", "last", "node").join(
-            band.withColumnRenamed("last", "next"), "node").where("next > last")
-        buckets = written(deeper.select(F.xxhash64("bucket", "next", "key").alias("bucket"),
-                                        F.col("next").alias("last"), "node"), "near-buckets")
-        level += 1
+    band = nodes.select("node", F.posexplode("bands").alias("band", "key"))
+    buckets = band.select(F.xxhash64("band", "key").alias("bucket"), "band", "node")
+    classes = Classes(check)
+    sized = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    members = written(buckets.join(sized, "bucket"), "near-sized")
+    if members.isEmpty():
+        return classes.links, classes.label
+    members = written(_with_hubs(members), "near-buckets")
+    classes.settle(_to_hub(classes, members))
+    far = _to_leaders(classes, members)
+    classes.settle(_in_small(classes, members).unionByName(far))
+    classes.merge(_in_large(classes, members))
     return classes.links, classes.label
 
 
@@ -317,6 +315,119 @@ def _in_small(classes: Classes, members: DataFrame) -> DataFrame:
         F.col("c") != F.col("d"))).select(F.col("node").alias("a"), "b")
 
 
+def _in_large(classes: Classes, members: DataFrame) -> DataFrame:
+    """(a, b, similarity): links that join all classes which pairs of large buckets join, written.
+
+    A bucket's texts outside its hub's class, and those of it, are dealt into blocks by hash. Each pair
+    of blocks but two of the hub's class is one group of rows, which holds all it needs.
+    """
+    check = classes.check
+    many = classes.named(classes.named(members.where(F.col("n") > SMALL), "node", "c"), "hub", "h")
+    many = written(many.select("bucket", "band", "node", "c", (F.col("c") != F.col("h")).alias("far")), "near-many")
+    sizes = check.texts.select("node", F.octet_length("text").cast("long").alias("bytes"))
+    blocks = lambda side: F.ceil(F.greatest(
+        F.count(F.when(side, 1)) / BLOCK_TEXTS, F.sum(F.when(side, F.col("bytes")).otherwise(0)) / BLOCK_BYTES))
+    dealt = many.join(sizes, "node").groupBy("bucket").agg(
+        blocks(F.col("far")).alias("k_far"), blocks(~F.col("far")).alias("k_near")).where("k_far > 0")
+    own = F.pmod(F.xxhash64("node", F.lit(7)), F.when(F.col("far"), F.col("k_far")).otherwise(F.col("k_near")))
+    to_far, to_near = (F.sequence(F.lit(0).cast("long"), F.col(k) - 1) for k in ("k_far", "k_near"))
+    group = lambda near, i, j: F.struct(F.lit(near).alias("near"), i.alias("i"), j.alias("j"))
+    block = F.col("block")
+    mates = F.when(F.col("far"), F.concat(
+        F.transform(to_far, lambda j: group(False, F.least(block, j), F.greatest(block, j))),
+        F.transform(to_near, lambda j: group(True, block, j)))).otherwise(
+        F.transform(to_far, lambda i: group(True, i, block)))
+    # Of two blocks of one kind, the rows of the lower one are left; of one with itself, each is both.
+    placed = many.join(dealt, "bucket").withColumn("block", own).withColumn("g", F.explode(mates)).select(
+        "bucket", "band", "node", "c", (F.col("far") & (F.col("block") == F.col("g.i"))).alias("left"),
+        F.when(F.col("g.near"), ~F.col("far")).otherwise(F.col("block") == F.col("g.j")).alias("right"), "g.*")
+    placed = written(placed, "near-placed")
+    rows = placed.join(check.samples, "node").join(check.texts, "node")
+    idf, limit, held = check.idf, check.limit, {}
+
+    def run(frame):
+        if not held:
+            held["shingles"] = Shingles(idf)
+        found = block_links(frame, held["shingles"], limit)
+        return pd.DataFrame(found, columns=["a", "b", "similarity"]).astype(
+            {"a": "int64", "b": "int64", "similarity": "float64"})
+
+    return written(rows.groupBy("bucket", "near", "i", "j").applyInPandas(
+        run, "a long, b long, similarity double"), "near-block-links")
+
+
+def block_links(frame: pd.DataFrame, shingles: Shingles, limit: float) -> list[tuple[int, int, float]]:
+    """Links (a, b, similarity) between the left and the right rows, as many as join the classes they join.
+
+    A pair belongs to the first band it shares, the samples of which are equal.
+    """
+    frame = frame.sort_values("node", ignore_index=True)
+    samples, node, name = np.stack(frame["samples"].to_numpy()), frame["node"].to_numpy(), frame["c"].to_numpy()
+    left, right = (np.flatnonzero(frame[side].to_numpy()) for side in ("left", "right"))
+    if not len(left) or not len(right):
+        return []
+    maybe = name[left][:, None] != name[right][None, :]
+    equal, own = np.zeros(maybe.shape, np.int8), int(frame["band"].iloc[0])
+    for k in range(BANDS):
+        shared = np.ones(maybe.shape, bool)
+        for r in range(k * ROWS, (k + 1) * ROWS):
+            same = samples[left, r][:, None] == samples[right, r][None, :]
+            equal += same
+            shared &= same
+        if k < own:
+            maybe &= ~shared
+    maybe &= equal >= LEAST_EQUAL
+    left, maybe = left[maybe.any(1)], maybe[maybe.any(1)]
+    right, maybe = right[maybe.any(0)], maybe[:, maybe.any(0)]
+    if not maybe.size:
+        return []
+    used = np.union1d(left, right)
+    key, weight, first = shingles(*joined(pa.array(frame["text"].to_numpy()[used], pa.large_string())))
+    parts = {row: (key[x:y], weight[x:y]) for row, x, y in zip(used.tolist(), first[:-1], first[1:], strict=True)}
+    maybe &= _bound([parts[x] for x in left.tolist()], [parts[x] for x in right.tolist()]) >= limit - 1e-3
+    root = {c: c for c in name[used].tolist()}
+
+    def top(c):
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    out = []
+    for x, y in zip(*(at.tolist() for at in np.nonzero(maybe)), strict=True):
+        a, b = left[x], right[y]
+        one, two = top(name[a]), top(name[b])
+        if one != two:
+            s = similarity(parts[a], parts[b])
+            if s >= limit:
+                root[one] = two
+                out.append((min(node[a], node[b]), max(node[a], node[b]), s))
+    return out
+
+
+def _bound(left: list, right: list) -> np.ndarray:
+    """A similarity that no pair of (sorted hashes, weights) exceeds but by rounding: the geometric mean of
+    two weights for the lesser, which is the same where they are equal."""
+    total = [np.array([w.sum(dtype=np.float64) for _, w in side]) for side in (left, right)]
+    flat = []
+    for side in (left, right):
+        text = np.repeat(np.arange(len(side)), [len(k) for k, _ in side])
+        flat.append((np.concatenate([k for k, _ in side]), text, np.sqrt(np.concatenate([w for _, w in side]))))
+    shared = np.intersect1d(flat[0][0], flat[1][0])
+    least = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, len(shared), COLUMNS):
+        part, dense = shared[at:at + COLUMNS], []
+        for (k, text, w), side in zip(flat, (left, right), strict=True):
+            place = np.minimum(np.searchsorted(part, k), len(part) - 1)
+            held = part[place] == k
+            table = np.zeros((len(side), len(part)), np.float32)
+            table[text[held], place[held]] = w[held]
+            dense.append(table)
+        least += dense[0] @ dense[1].T
+    both = total[0][:, None] + total[1][None, :]
+    none = (total[0] == 0)[:, None] & (total[1] == 0)[None, :]
+    return np.where(none, 1.0, least / np.maximum(both - least, 1e-9))
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  limit: float = LIMIT) -> tuple[DataFrame, DataFrame]:
     """Rows (uid, id, hash, node, component) of ``docs`` and the links between nodes.

@@ -178,6 +178,27 @@ def test_a_bucket_of_many_copies_and_many_strangers(spark):
     assert len(classes) == 61
 
 
+def test_links_of_a_large_bucket_that_miss_its_hub(spark):
+    """Copies of one text, and chains from it over a second text to a third that is far from the first."""
+    rng = np.random.default_rng(12)
+    base = [f"w{k}" for k in rng.integers(0, 5000, 300)]
+    rows = []
+    for k in range(60):
+        words = list(base)
+        words[int(rng.integers(300))] = f"edit{k}"
+        rows.append((k, " ".join(words)))
+    for k in range(60):
+        one, two = 20 + 2 * k, 20 + (2 * k + 140) % 240
+        near = [*base[:one], *[f"n{k}x{j}" for j in range(18)], *base[one + 18:]]
+        far = [*near[:two], *[f"f{k}x{j}" for j in range(16)], *near[two + 16:]]
+        rows += [(1000 + k, " ".join(near)), (2000 + k, " ".join(far))]
+    sets = {i: _shingles(t) for i, t in rows}
+    assert all(_jaccard(sets[2000 + k], sets[1000 + k]) > 0.85 for k in range(60))
+    assert all(_jaccard(sets[2000 + k], sets[j]) < 0.78 for k in range(60) for j in range(60))
+    classes = _same(near_dedup.near_dedup(table(spark, rows)).collect())
+    assert classes[0] == {i for i, _ in rows}
+
+
 def test_weighted_similarity_and_sampling_agree():
     rng = np.random.default_rng(2)
     idf = 1 + rng.random(near_dedup.WORDS) / 2
