@@ -3,7 +3,9 @@
 For each language and source the statistics of the documents that pass the base limits get a minimum
 covariance determinant estimate: from medians and deviations, concentration steps take the mean and
 covariance of the three quarters of the documents nearest to the last estimate, over all documents of
-the cell, as combined aggregations. Documents beyond a chi-square limit of Mahalanobis distance go.
+the cell, as combined aggregations. The estimate of a cell is drawn toward that of its language, and that
+toward the corpus's, the more the fewer documents it has, so cells of any size have one. Documents beyond
+a chi-square limit of Mahalanobis distance go.
 """
 
 from __future__ import annotations
@@ -20,8 +22,8 @@ from cardwatch.llm.words import again, in_text, line_ranges, per_text, windows,
 
 #: Words of a repeated window; base limits: least words, largest share (per cent) of repeated words.
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
-#: Documents that a cell needs for an estimate of its own; the share that an estimate covers; steps.
-CELL, COVER, STEPS = 200, 0.75, 5
+#: Documents that the wider estimate counts for in a narrower one; the share that an estimate covers; steps.
+PRIOR, COVER, STEPS = 30, 0.75, 5
 #: Chi-square quantiles for five dimensions: the median, and the limit (one in 10^7 of clean documents).
 MEDIAN_5, LIMIT_5 = 4.35146, 41.1
 #: Transformed statistics with the least deviation that counts as spread: without it, a cell in which
@@ -90,22 +92,27 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return in_batches(slim, run, schema)
 
 
-def _cells(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``cell``: language and source, or else the language's or the corpus's small rest.
+#: Keys of a document's cell, of its language and of the corpus; arrays, as they keep missing values.
+LEVELS = ("to_json(array())", "to_json(array(lang))", "to_json(array(lang, source))")
 
-    A rest that is still too small has no cell, so its documents get no verdict beyond the base.
+
+def _shrunk(moments: DataFrame, keys: list[DataFrame]) -> DataFrame:
+    """(cell, mean, cov) of every key from the (cell, n, mean, cov) of cells with documents.
+
+    ``keys`` has (cell, above) of each level but the widest; ``n`` against ``PRIOR`` weighs a cell's own
+    moments against those of the level above, and a cell without documents has the latter.
     """
-    usable = F.when(~F.col("base_failed"), F.lit(1))
-    exact, wide = F.to_json(F.struct("lang", "source")), F.to_json(F.struct("lang"))
-    size = rows.groupBy("lang", "source").agg(F.count(usable).alias("n"))
-    size = size.withColumn("cell", F.when(F.col("n") >= CELL, exact).otherwise(wide))
-    for step in (F.lit("rest"), F.lit(None).cast("string")):
-        total = size.groupBy("cell").agg(F.sum("n").alias("total")).withColumnRenamed("cell", "c")
-        size = size.join(total, F.col("cell").eqNullSafe(F.col("c"))).withColumn(
-            "cell", F.when(F.col("total") >= CELL, F.col("cell")).otherwise(step)).drop("c", "total")
-    size = size.select(F.col("lang").alias("l"), F.col("source").alias("s"), "cell")
-    return rows.join(size, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s"))) \
-        .drop("l", "s")
+    now = moments.where(F.col("cell") == F.expr(LEVELS[0])).select("cell", "mean", "cov")
+    out = now
+    for level in keys:
+        wide = now.select(F.col("cell").alias("above"), F.col("mean").alias("m"), F.col("cov").alias("c"))
+        own = F.coalesce(F.col("n"), F.lit(0)) / (F.coalesce(F.col("n"), F.lit(0)) + PRIOR)
+        mixed = lambda x, y: F.zip_with(
+            F.coalesce(x, y), y, lambda a, b: F.col("w") * a + (1 - F.col("w")) * b)
+        now = level.join(moments, "cell", "left").join(wide, "above").withColumn("w", own).select(
+            "cell", mixed("mean", "m").alias("mean"), mixed("cov", "c").alias("cov"))
+        out = out.unionByName(now)
+    return out
 
 
 def _inverses(moments: DataFrame) -> DataFrame:
@@ -132,28 +139,30 @@ def _distances(rows: DataFrame, estimate: DataFrame) -> DataFrame:
     return rows.join(estimate, "cell").withColumn("d2", total).drop("mean", "inverse")
 
 
-def estimates(rows: DataFrame) -> DataFrame:
-    """(cell, mean, inverse) of each cell of ``rows`` (cell and features)."""
+def estimates(rows: DataFrame, keys: list[DataFrame]) -> DataFrame:
+    """(cell, mean, inverse) of all ``keys``, from ``rows`` (cell and features), one for each level."""
     names, p = list(FEATURES), len(FEATURES)
-    mid = rows.groupBy("cell").agg(*[F.percentile_approx(f, [0.25, 0.5, 0.75], 1000).alias(f) for f in names])
+    mid = rows.groupBy("cell").agg(F.count("*").alias("n"), *[F.percentile_approx(f, [0.25, 0.5, 0.75], 1000).alias(f) for f in names])
     spread = [F.pow((F.col(f)[2] - F.col(f)[0]) / 1.349, 2) for f in names]
     zero = F.lit(0.0)
-    now = _inverses(mid.select(
-        "cell", F.array(*[F.col(f)[1] for f in names]).alias("mean"),
-        F.array(*[spread[i] if i == j else zero for i in range(p) for j in range(p)]).alias("cov")))
+    now = _inverses(_shrunk(mid.select(
+        "cell", "n", F.array(*[F.col(f)[1] for f in names]).alias("mean"),
+        F.array(*[spread[i] if i == j else zero for i in range(p) for j in range(p)]).alias("cov")), keys))
     now = written(now, "mcd")
     for step in range(STEPS):
         far = _distances(rows, now)
-        limit = far.groupBy("cell").agg(F.percentile_approx("d2", [0.5, COVER], 1000).alias("q"))
+        limit = far.groupBy("cell").agg(F.count("*").alias("n"), F.percentile_approx("d2", [0.5, COVER], 1000).alias("q"))
         near = far.join(limit, "cell").where(F.col("d2") <= F.col("q")[1])
         pairs = [F.covar_pop(a, b) for a in names for b in names]
-        # The last step scales the covariance so that the median distance is that of a normal cell.
-        scale = F.greatest(F.first(F.col("q")[0]) / MEDIAN_5, F.lit(1.0)) if step == STEPS - 1 else F.lit(1.0)
+        # The last step scales the covariance so that the median distance is that of a normal cell; the
+        # scale of a few documents says as little as their covariance.
+        n, normal = F.first("n"), F.greatest(F.first(F.col("q")[0]) / MEDIAN_5, F.lit(1.0))
+        scale = (n * normal + PRIOR) / (n + PRIOR) if step == STEPS - 1 else F.lit(1.0)
         moments = near.groupBy("cell").agg(
-            F.array(*[F.avg(f) for f in names]).alias("mean"),
+            n.alias("n"), F.array(*[F.avg(f) for f in names]).alias("mean"),
             F.transform(F.array(*pairs), lambda x: F.coalesce(x, zero)).alias("cov"), scale.alias("scale"))
-        moments = moments.select("cell", "mean", F.transform("cov", lambda x: x * F.col("scale")).alias("cov"))
-        now = written(_inverses(moments), "mcd")
+        moments = moments.select("cell", "n", "mean", F.transform("cov", lambda x: x * F.col("scale")).alias("cov"))
+        now = written(_inverses(_shrunk(moments, keys)), "mcd")
     return now
 
 
@@ -169,10 +178,12 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     failed = F.expr(f"n_words < {LEAST_WORDS} or 100 * n_repeat_words > {MOST_REPEATED} * n_words")
     rows = statistics(slim).withColumn("base_failed", failed)
     rows = written(rows.select("*", *[F.expr(e).alias(f) for f, (e, _) in FEATURES.items()]), "rule-statistics")
-    rows = written(_cells(rows), "rule-cells")
-    usable = rows.where("not base_failed and cell is not null").select("cell", *FEATURES)
-    estimate = estimates(usable)
-    open_cell = estimate.select("cell", "mean", "inverse")
+    rows = rows.withColumn("cell", F.expr(LEVELS[2]))
+    keys = [written(rows.select(F.expr(cell).alias("cell"), F.expr(above).alias("above")).distinct(), "rule-keys")
+            for above, cell in zip(LEVELS, LEVELS[1:])]
+    usable = rows.where("not base_failed").select(
+        F.explode(F.array(*[F.expr(x) for x in LEVELS])).alias("cell"), *FEATURES)
+    open_cell = estimates(usable, keys)
     p = len(FEATURES)
     none = F.array(*[F.lit(None).cast("double")] * (p * p))
     judged = rows.join(open_cell, "cell", "left").withColumn("inverse", F.coalesce("inverse", none)) \

@@ -81,6 +81,18 @@ def test_outliers_go_and_clean_documents_stay(spark):
     assert all(got[k] for k in range(400)) and not any(got[1000 + k] for k in range(20))
 
 
+def test_small_cells_have_estimates_and_verdicts(spark):
+    rng = np.random.default_rng(7)
+    word = lambda: "".join(rng.choice(list("etaoinshr"), rng.integers(2, 9)))
+    rows = [(k, " ".join(word() for _ in range(rng.integers(40, 200)))) for k in range(96)]
+    rows += [(1000 + k, " ".join(word() + "###" for _ in range(60))) for k in range(4)]
+    docs = table(spark, rows).withColumn("lang", F.expr("if(doc_id % 2 = 0, 'xx', null)")) \
+        .withColumn("source", F.expr("if(doc_id = 1003, 'alone', if(doc_id % 4 < 2, null, 's'))"))
+    got = {r.doc_id: r for r in rules.judge(docs).collect()}
+    assert all(r.distance2 is not None for r in got.values())
+    assert all(got[k].kept for k in range(96)) and not any(got[1000 + k].kept for k in range(4))
+
+
 KINDS = [
     ("assign", re.compile(r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|"""
                           r"""[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""),
