@@ -102,6 +102,7 @@ def _shrunk(moments: DataFrame, keys: list[DataFrame]) -> DataFrame:
     ``keys`` has (cell, above) of each level but the widest; ``n`` against ``PRIOR`` weighs a cell's own
     moments against those of the level above, and a cell without documents has the latter.
     """
+    moments = written(moments, "mcd-moments")  # each level reads them
     now = moments.where(F.col("cell") == F.expr(LEVELS[0])).select("cell", "mean", "cov")
     out = now
     for level in keys:
