@@ -4,7 +4,21 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from cardwatch.llm import bpe, exact_dedup, lines, near_dedup, packing, quality, rules, secrets, substrings, wavelet
+from cardwatch.llm import (
+    bpe,
+    collocations,
+    exact_dedup,
+    lines,
+    near_dedup,
+    packing,
+    quality,
+    rules,
+    runs,
+    secrets,
+    substrings,
+    warc,
+    wavelet,
+)
 from cardwatch.llm.common import documents
 
 #: Vocabulary files of the registered queries.
@@ -76,3 +90,41 @@ h AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, count(*) FILTER (fresh) AS n_runs,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM h GROUP BY doc_id""")
+
+_add("op11_warc_source", lambda spark, d: warc.archive_report(spark.read.parquet(f"{d}/pages.parquet")), """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+t AS (SELECT *, strlen(h) >= 1000 AND page_id <> max(page_id) OVER w AS again, max(page_id) OVER w AS top
+  FROM p WINDOW w AS (PARTITION BY h))
+SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS payload_digest,
+  CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN top END AS refers_to FROM t""")
+
+_add("op12_periodic_runs", lambda spark, d: runs.run_report(documents(spark, d)))
+
+_add("op13_phrase_streams", lambda spark, d: collocations.top_collocations(documents(spark, d)), """
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, doc_id, row_number() OVER () AS u,
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?' || chr(11) || chr(12) || chr(13) || chr(9),
+    'abcdefghijklmnopqrstuvwxyz' || repeat(chr(10), 9) || ' ') AS x FROM documents),
+p AS (SELECT lang, u, unnest(parts) AS piece, generate_subscripts(parts, 1) AS i
+  FROM (SELECT lang, u, string_split(x, chr(10)) AS parts FROM t)),
+w AS (SELECT lang, u, i, unnest(ws) AS a, generate_subscripts(ws, 1) AS j
+  FROM (SELECT lang, u, i, list_filter(string_split(piece, ' '), lambda s: s <> '') AS ws FROM p)),
+g AS (SELECT lang, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c FROM w WINDOW o AS (PARTITION BY u, i ORDER BY j)),
+n AS (SELECT lang, count(*) AS n FROM g GROUP BY lang),
+f1 AS (SELECT lang, a, count(*) AS f FROM g GROUP BY ALL HAVING f >= 10),
+f2 AS (SELECT lang, a, b, count(*) AS f FROM g WHERE b IS NOT NULL GROUP BY ALL HAVING f >= 10),
+f3 AS (SELECT lang, a, b, c, count(*) AS f FROM g WHERE c IS NOT NULL GROUP BY ALL HAVING f >= 10),
+longer AS (SELECT lang, a, b, max(f) AS f FROM (SELECT lang, a, b, f FROM f3 UNION ALL SELECT lang, b, c, f FROM f3)
+  GROUP BY ALL),
+cut AS (SELECT x.lang, x.a || ' ' || x.b AS phrase, x.f AS a, 1 AS k, l.f AS l, r.f AS r FROM f2 x
+  JOIN f1 l ON l.lang = x.lang AND l.a = x.a JOIN f1 r ON r.lang = x.lang AND r.a = x.b
+  LEFT JOIN longer y ON y.lang = x.lang AND y.a = x.a AND y.b = x.b
+  WHERE NOT coalesce(100 * y.f >= 50 * x.f, FALSE)
+  UNION ALL SELECT x.lang, x.a || ' ' || x.b || ' ' || x.c, x.f, 1, l.f, r.f FROM f3 x
+  JOIN f1 l ON l.lang = x.lang AND l.a = x.a JOIN f2 r ON r.lang = x.lang AND r.a = x.b AND r.b = x.c
+  UNION ALL SELECT x.lang, x.a || ' ' || x.b || ' ' || x.c, x.f, 2, l.f, r.f FROM f3 x
+  JOIN f2 l ON l.lang = x.lang AND l.a = x.a AND l.b = x.b JOIN f1 r ON r.lang = x.lang AND r.a = x.c),
+s AS (SELECT *, (1000000::HUGEINT * a * a // (l::HUGEINT * r))::BIGINT AS score FROM cut),
+m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT m.lang, phrase, a, l, r, n.n, score,
+  row_number() OVER (PARTITION BY m.lang ORDER BY score DESC, a DESC, phrase) AS rank FROM m JOIN n ON n.lang = m.lang)
+WHERE rank <= 2000""")
