@@ -16,6 +16,7 @@ reports what it has open at its ends, one row a range, and the ranges that follo
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +36,7 @@ from cardwatch.llm.fragments import chunks, joined
 LEAST, COVERED, TOP = 10, 50, 2000
 #: Words that a task adds up before it writes, and bits of the bitmap of frequent phrases.
 WINDOW, BITMAP_BITS = 4_000_000, 1 << 25
+PAIR_SHIFT = 26
 
 _CLASS = np.zeros(256, np.uint8)  # 0: part of a word
 _CLASS[[9, 32]] = 1
@@ -60,26 +62,31 @@ def words_of(texts: pa.Array) -> tuple[list[bytes], np.ndarray]:
 
 
 class Bitmap:
-    """A set of phrases by bits of their hashes: never misses one, may hold others."""
+    """A set of words or of pairs by bits of their hashes: never misses one, may hold others.
+
+    A pair's bit mixes the low bits of the first word's hash with higher bits of the second's.
+    """
 
     def __init__(self, held: np.ndarray, bits: int):
         self.held, self.bits = held, bits
 
-    def has(self, lang: bytes, phrases: list[tuple[bytes, ...]]) -> np.ndarray:
-        seed, hashed = xxhash.xxh64_intdigest(lang, 42), np.empty(len(phrases), np.uint64)
-        for k, phrase in enumerate(phrases):
-            h = seed
-            for word in phrase:
-                h = xxhash.xxh64_intdigest(word, h)
-            hashed[k] = h
-        bit = hashed & np.uint64(self.bits - 1)
+    def has(self, first: np.ndarray, second: np.ndarray | None = None) -> np.ndarray:
+        """Which words or pairs are in the set, by the words' hashes."""
+        bit = first if second is None else first ^ (second >> np.uint64(PAIR_SHIFT))
+        bit = bit & np.uint64(self.bits - 1)
         return (self.held[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
+def hashes(lang: str, words: list[bytes]) -> np.ndarray:
+    """xxhash64(lang, word) of Spark for each word."""
+    seed = xxhash.xxh64_intdigest(lang.encode(), 42)
+    return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
+
+
 def bitmap(stream: DataFrame, n: int, bits: int = BITMAP_BITS) -> Bitmap:
-    """The bitmap of a count stream's phrases; ``bits / 64`` rows at most come to the driver."""
-    words = ", ".join(f"w{k}" for k in range(1, n + 1))
-    rows = stream.selectExpr(f"xxhash64(lang, {words}) & {bits - 1}L AS at") \
+    """The bitmap of a count stream of words or pairs; ``bits / 64`` rows at most come to the driver."""
+    mixed = "xxhash64(lang, w1)" + (f" ^ shiftright(xxhash64(lang, w2), {PAIR_SHIFT})" if n == 2 else "")
+    rows = stream.selectExpr(f"({mixed}) & {bits - 1}L AS at") \
         .selectExpr("shiftright(at, 6) AS place", "shiftleft(1L, int(at & 63)) AS bit") \
         .groupBy("place").agg(F.bit_or("bit").alias("bits")).toPandas()
     held = np.zeros(bits // 64, np.uint64)
@@ -95,12 +102,14 @@ class Counter:
         self.clear()
 
     def clear(self) -> None:
-        self.numbers: dict[bytes, int] = {}
+        if hasattr(self, "numbers"):
+            self.numbers.default_factory = None  # its own method: the table could not be freed at once
+        self.numbers: defaultdict[bytes, int] = defaultdict()
+        self.numbers.default_factory = self.numbers.__len__
         self.held, self.pieces, self.size, self.piece = [], [], 0, 0
 
     def add(self, words: list[bytes], piece: np.ndarray) -> None:
-        number = self.numbers
-        self.held.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words)))
+        self.held.append(np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words)))
         self.pieces.append(piece + self.piece)
         self.piece += int(piece[-1]) + 1 if len(piece) else 0
         self.size += len(words)
@@ -109,23 +118,21 @@ class Counter:
         """The phrases in ascending order of their words' numbers, with their counts."""
         ids = np.concatenate([np.zeros(0, np.int64), *self.held])
         piece = np.concatenate([np.zeros(0, np.int64), *self.pieces])
-        words, lang = list(self.numbers), self.lang.encode()
+        words = list(self.numbers)
+        hashed = hashes(self.lang, words) if self.n > 1 else None
         top, together = len(words), piece[1:] == piece[:-1]
         if self.n == 1:
             first, code = np.arange(len(ids)), ids
         elif self.n == 2:
-            often = self.parts.has(lang, [(w,) for w in words])[ids]
+            often = self.parts.has(hashed)[ids]
             first = np.flatnonzero(together & often[1:] & often[:-1])
             code = ids[first] * top + ids[first + 1]
         else:
-            at = np.flatnonzero(together)
-            _, one, number = np.unique(ids[at] * top + ids[at + 1], return_index=True, return_inverse=True)
-            left, right = ids[at[one]].tolist(), ids[at[one] + 1].tolist()
-            often = self.parts.has(lang, [(words[i], words[j]) for i, j in zip(left, right, strict=True)])
-            pair = np.full(len(ids), -1, np.int64)
-            pair[at] = np.where(often[number], number, -1)
-            first = np.flatnonzero((pair[:-1] >= 0) & (pair[1:] >= 0))
-            code = pair[first] * top + ids[first + 2]
+            mine = hashed[ids]
+            often = np.append(together & self.parts.has(mine[:-1], mine[1:]), False)
+            first = np.flatnonzero(often[:-1] & often[1:])
+            _, pair = np.unique(ids[first] * top + ids[first + 1], return_inverse=True)
+            code = pair * top + ids[first + 2]
         _, one, count = np.unique(code, return_index=True, return_counts=True)
         dictionary, step = pa.array(words, pa.binary()).cast(pa.string()), 1 << 16
         for a in range(0, len(count), step):
