@@ -16,6 +16,7 @@ MODULES = (
     "tables",
     "streams",
     "learning",
+    "resampling",
 )
 
 

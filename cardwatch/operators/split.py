@@ -46,7 +46,7 @@ def quantile_time_split(
     return df.where(early), df.where(~early)
 
 
-def _mixed(df: DataFrame, id_col: str, seed: int) -> Column:
+def mixed(df: DataFrame, id_col: str, seed: int) -> Column:
     """A multiplicative hash of the id, spelled out so that any engine can repeat it.
 
     A whole number is folded to 31 bits first, so the product never leaves 64 bits; any other id
@@ -67,7 +67,7 @@ def stratified_split(
     Rows are put in order of class and hash by one range partitioning, which also cuts large
     classes; the place inside a class is the place less that of its first row. Any number of classes.
     """
-    work = df.withColumn("_mix", _mixed(df, id_col, seed))
+    work = df.withColumn("_mix", mixed(df, id_col, seed))
     placed = with_row_index(work, [label, "_mix", id_col], "_at")
     classes = placed.groupBy(F.col(label).alias("_class")).agg(
         F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
