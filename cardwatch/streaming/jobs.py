@@ -15,7 +15,7 @@ from cardwatch.operators.velocity import MICROS
 from cardwatch.plans import scoring
 from cardwatch.session import scratch_path
 from cardwatch.sources import payload, schemas
-from cardwatch.streaming.state import STATE_COLUMNS, STATE_SCHEMA, card_state
+from cardwatch.streaming.state import DECIDED, FATE, KEY, LATE, LONE, STATE_COLUMNS, CardState
 
 # ---- sources ------------------------------------------------------------------------
 def kafka_options(settings: Settings, extra: dict[str, str] | None = None) -> dict[str, str]:
@@ -72,38 +72,37 @@ def error_records(dead: DataFrame) -> DataFrame:
         F.lit("UNKNOWN").alias("risk_level"), F.lit(0.5).alias("threshold"))
 
 
-def with_card_state(
+def card_fates(
     df: DataFrame, settings: Settings, card: str = "card1", time: str = "t_us",
-    row_id: str = "TransactionID", unit: int = MICROS,
+    row_id: str = "TransactionID", unit: int = MICROS, history: DataFrame | None = None,
 ) -> DataFrame:
-    """Velocity and profile columns from keyed state, with the columns of the batch plan.
+    """All rows with velocity and profile columns from keyed state and their fate: decided, duplicate or late.
 
-    Rows without a card have no state: they get zero counts and an empty profile and stay.
+    Lateness is decided in the state operator, against the watermark it has: late rows come out instead of being
+    dropped. Rows without a card have a key of their own: zero counts, an empty profile, but their ids are
+    known. ``history`` (of :func:`~cardwatch.streaming.state.card_history`) is the state to begin with. The session
+    needs the state store of :func:`job_session`.
     """
-    known = df.where(F.col(card).isNotNull())
-    work = known if "event_time" in df.columns else with_watermark(known, settings)
-    state_fields = StructType.fromDDL(STATE_COLUMNS).fields
-    schema = StructType(list(df.schema.fields) + [
-        StructField(f.name, f.dataType, True) for f in state_fields])
-    step = card_state(
-        df.columns, time, row_id, unit, settings.redis.ato_baseline_ttl * 1000)
-    seen = work.groupBy(card).applyInPandasWithState(
-        step, schema, STATE_SCHEMA, "append", "EventTimeTimeout")
-    unknown = df.where(F.col(card).isNull()).select("*", *[_nothing(f) for f in state_fields])
-    return seen.unionByName(unknown)
-
-
-def _nothing(field: StructField) -> Column:
-    """A state column as it is before anything was recorded."""
-    if field.dataType.typeName() == "array":
-        return F.array().cast(field.dataType).alias(field.name)
-    undefined = field.name in ("seen_amount_mean", "seen_amount_std")
-    return F.lit(None if undefined else 0).cast(field.dataType).alias(field.name)
-
-
-def score_stream(df: DataFrame, settings: Settings) -> DataFrame:
+    work = df if "event_time" in df.columns else with_watermark(df, settings)
+    key = F.coalesce(F.col(card).cast("string"), F.concat(F.lit(LONE), F.col(row_id).cast("string")), F.lit(LONE))
+    # a plain copy of the event time: Spark would drop late rows by the marked column before the operator sees them
+    work = work.withColumns({KEY: key, "_event_ms": F.unix_millis("event_time")}).drop("event_time")
+    fields = [f for f in df.schema.fields if f.name != "event_time"]
+    fields += [StructField(f.name, f.dataType, True) for f in StructType.fromDDL(f"{STATE_COLUMNS}, {FATE} string")]
+    schema = StructType([StructField(f.name, f.dataType, True) for f in fields])
+    step = CardState(work.columns, schema, time, row_id, unit, settings.redis.ato_baseline_ttl * 1000)
+    return work.groupBy(KEY).transformWithStateInPandas(
+        step, schema, "append", "EventTime", None if history is None else history.groupBy(KEY))
+
+
+def with_card_state(df: DataFrame, settings: Settings, **options) -> DataFrame:
+    """The rows of :func:`card_fates` that are decided, with the columns of the batch plan."""
+    return card_fates(df, settings, **options).where(F.col(FATE) == DECIDED).drop(FATE)
+
+
+def score_stream(df: DataFrame, settings: Settings, history: DataFrame | None = None) -> DataFrame:
     """The batch decision plan over state columns."""
-    seen = with_card_state(df, settings)
+    seen = with_card_state(df, settings, history=history)
     assessed = takeover_risk(scoring.add_velocity_risk(seen, settings), settings)
     return scoring.decide_rows(assessed, settings)
 
@@ -112,28 +111,36 @@ def score_stream(df: DataFrame, settings: Settings) -> DataFrame:
 WHOLE = ("card1", "card2", "card3", "card5", "addr1", "addr2")
 
 
+#: An answer to a message that can't be decided.
+_REFUSED = {"fraud_probability": F.lit(0.5), "decision": F.lit("ERROR"), "risk_level": F.lit("UNKNOWN"),
+            "threshold": F.lit(0.5)}
+
+
 def decision_job(
     messages: DataFrame, settings: Settings, score: Callable[[DataFrame], DataFrame],
+    history: DataFrame | None = None,
 ) -> DataFrame:
     """Message bytes (``value``) -> topic rows (key, value, topic), every message answered once.
 
-    Parse, set malformed messages apart, normalize, reject those without a positive amount, drop
-    repeated ids, add the model's ``fraud_probability`` by ``score``, look up and record the card's
-    state, decide. Malformed and rejected messages become records of the error topic. Rows behind the
-    watermark are dropped by the state operators, which count them (:func:`late_rows`).
+    Parse, set malformed messages apart, normalize, reject those without a positive amount, add the model's
+    ``fraud_probability`` by ``score``, look up and record the card's state, which sets repeated ids and rows behind
+    the watermark apart, decide. Malformed, rejected and late messages become records of the error topic.
     """
     parsed = payload.parse_payload_json(messages, schemas.transaction_schema())
     good, dead = isolate_errors(parsed)
     normal = payload.normalize_payload(good)
     accepted, rejected = payload.validate_payload(
         normal.withColumns({c: F.col(c).cast("bigint") for c in WHOLE}))
-    once = dedup(with_watermark(accepted, settings))
-    seen = with_card_state(score(once), settings, time="TransactionDT", unit=1)
+    seen = card_fates(score(with_watermark(accepted, settings)), settings, time="TransactionDT", unit=1,
+                      history=history).where(F.col(FATE).isin(DECIDED, LATE))
     assessed = takeover_risk(scoring.add_velocity_risk(seen, settings), settings)
-    decided = scoring.decide_rows(assessed, settings).select(*scoring.DECISION_COLUMNS)
+    late, none = F.col(FATE) == LATE, F.lit(None)
+    # one pass over the state: a late row takes the same way and comes out as an error record
+    decided = scoring.decide_rows(assessed, settings).select(*[
+        F.when(late, _REFUSED.get(c, none)).otherwise(F.col(c)).alias(c) if c != "TransactionID" else c
+        for c in scoring.DECISION_COLUMNS])
     refused = rejected.select(F.col("TransactionID").alias("transaction_id"),
-                              F.lit(0.5).alias("fraud_probability"), F.lit("ERROR").alias("decision"),
-                              F.lit("UNKNOWN").alias("risk_level"), F.lit(0.5).alias("threshold"))
+                              *[v.alias(c) for c, v in _REFUSED.items()])
     errors = to_topic_rows(error_records(dead).unionByName(refused), settings, "transaction_id")
     return to_topic_rows(decided, settings).unionByName(errors)
 
@@ -173,6 +180,9 @@ def job_session(spark: SparkSession, state_partitions: int) -> SparkSession:
     own = spark.newSession()
     own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
     own.conf.set("spark.sql.shuffle.partitions", state_partitions)
+    own.conf.set("spark.sql.streaming.stateStore.providerClass",
+                 "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     return own
 
 

@@ -1,17 +1,20 @@
-"""Keyed state of the scoring stream: the last week's payments and the profile.
+"""Keyed state of the scoring stream: what a card paid in the last week, its profile, and the ids seen.
 
-One state value per card: the (time, amount) events of the longest window, sorted,
-and the most recent profile values. It travels with the Arrow batch, so a card costs
-one read and one write per micro-batch, however many rows it has there.
+A card's payments lie in a map by hour. Beside it one value of bounded size holds each hour's count and sum (an
+hour is dropped when the longest window has passed it, so 169 at most) and the last values of the profile. A
+micro-batch reads and writes that value, the hours it adds to, and those that a window begins or ends in; how much
+else the card paid in its week does not matter. Whole hours in between come from the counts and sums.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql.streaming.state import GroupState
+from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 from cardwatch.operators.profile import REMEMBER
 from cardwatch.operators.velocity import HOUR, USER_WINDOWS
@@ -25,11 +28,14 @@ PROFILE = {
     "card6": ("seen_card_types", REMEMBER["card_types"]),
 }
 
-STATE_SCHEMA = (
-    "times array<bigint>, amounts array<double>, addr1 array<bigint>, addr2 array<bigint>, "
-    "DeviceInfo array<string>, P_emaildomain array<string>, card6 array<string>, "
-    "recent array<double>"
+#: Of one card, bounded: hours with their counts and sums, profile values, the newest event in milliseconds.
+CARD_SCHEMA = (
+    "hours array<bigint>, counts array<bigint>, sums array<double>, addr1 array<bigint>, "
+    "addr2 array<bigint>, DeviceInfo array<string>, P_emaildomain array<string>, card6 array<string>, "
+    "recent array<double>, newest bigint"
 )
+#: Of one hour: payments by time, and the ids that came in it.
+HOUR_SCHEMA = "times array<bigint>, amounts array<double>, ids array<string>"
 
 STATE_COLUMNS = (
     "txn_count_1h bigint, txn_count_6h bigint, txn_count_24h bigint, txn_count_7d bigint, "
@@ -39,6 +45,11 @@ STATE_COLUMNS = (
     "seen_amount_std double"
 )
 
+#: What becomes of a row that reaches the state.
+DECIDED, DUPLICATE, LATE = "decided", "duplicate", "late"
+#: Column names of the key and the fate; keys of rows without a card begin with LONE.
+KEY, FATE, LONE = "_card", "_fate", "id:"
+
 
 def _plain(values: pd.Series, whole: bool) -> list:
     """Python values with None for missing ones."""
@@ -46,68 +57,266 @@ def _plain(values: pd.Series, whole: bool) -> list:
     return [None if v is None or v != v else kind(v) for v in values]
 
 
-def card_state(
-    columns: list[str], time: str, row_id: str, unit: int, ttl_ms: int
-) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
-    """State function: every row sees what was recorded before it, then is recorded.
+class _Hours:
+    """The hours of a card that a micro-batch touches, each read once and written once."""
+
+    def __init__(self, state, known: set[int]):
+        self.state, self.known, self.read, self.changed = state, known, {}, set()
+
+    def get(self, hour: int) -> list:
+        """[times, amounts, running sums, ids]"""
+        if hour not in self.read:
+            stored = self.state.getValue((hour,)) if hour in self.known else None
+            times, amounts, ids = stored if stored else ([], [], [])
+            values = np.asarray(amounts, float)
+            self.read[hour] = [np.asarray(times, np.int64), values, np.concatenate([[0.0], np.cumsum(values)]), list(ids)]
+        return self.read[hour]
+
+    def add(self, hour: int, times: np.ndarray, amounts: np.ndarray, ids: list[str]) -> None:
+        held = self.get(hour)
+        times, amounts = np.concatenate([held[0], times]), np.concatenate([held[1], amounts])
+        order = np.argsort(times, kind="stable")
+        values = amounts[order]
+        self.read[hour] = [times[order], values, np.concatenate([[0.0], np.cumsum(values)]), held[3] + ids]
+        self.changed.add(hour)
+        self.known.add(hour)
+
+    def before(self, hour: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Count and sum of the hour's payments before each time."""
+        times, _, sums, _ = self.get(hour)
+        end = np.searchsorted(times, at, "left")
+        return end, sums[end]
+
+    def write(self) -> None:
+        for hour in self.changed & self.known:
+            times, amounts, _, ids = self.read[hour]
+            self.state.updateValue((hour,), (times.tolist(), amounts.tolist(), ids))
+
 
-    State is dropped once the watermark passed the card's last event time by ``ttl_ms``.
+class CardState(StatefulProcessor):
+    """Every row sees what was recorded before it, then is recorded; late and repeated rows are told apart.
+
+    A row is late if its event time is not after the watermark; a duplicate if its id came before, on the same
+    card and within the longest window. Neither is recorded. A key without a card (see LONE) has no history, only
+    ids. A card's state goes when the watermark has passed its newest event by ``ttl_ms``.
     """
-    widths = {w: h * HOUR * unit for w, h in USER_WINDOWS.items()}
-    keep = max(widths.values())
-
-    def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        batch = pd.concat(list(chunks), ignore_index=True)
-        batch = batch.sort_values([time, row_id], kind="stable").reset_index(drop=True)
-        stored = state.get if state.exists else ([], [], [], [], [], [], [], [])
-
-        now = batch[time].to_numpy(np.int64)
+
+    def __init__(self, received: list[str], columns: StructType, time: str, row_id: str, unit: int, ttl_ms: int):
+        self.received, self.columns = received, columns
+        self.time, self.row_id, self.unit, self.ttl_ms = time, row_id, unit, ttl_ms
+        self.hour = HOUR * unit
+        self.widths = {w: h * HOUR * unit for w, h in USER_WINDOWS.items()}
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.card = handle.getValueState("card", CARD_SCHEMA)
+        self.hours = handle.getMapState("hours", "hour bigint", HOUR_SCHEMA)
+        self.ids = handle.getMapState("ids", "id string", "hour bigint")
+
+    def close(self) -> None:
+        pass
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        """Take over :func:`card_history`: a row for the card, and one for each of its hours."""
+        for row in initialState.set_axis(HISTORY, axis=1).itertuples(index=False):
+            if row.hour is None or row.hour != row.hour:
+                self.card.update(tuple(_listed(getattr(row, c.split()[0])) for c in CARD_SCHEMA.split(", ")))
+                self.handle.registerTimer(max(int(row.newest) + self.ttl_ms, timerValues.getCurrentWatermarkInMs() + 1))
+            else:
+                hour, ids = int(row.hour), _listed(row.ids)
+                self.hours.updateValue((hour,), (_listed(row.times), _listed(row.amounts), ids))
+                for i in ids:
+                    self.ids.updateValue((i,), (hour,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        stored = self.card.get()
+        end = stored[9] + self.ttl_ms if stored else 0
+        if end > timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(end)
+        else:
+            self.card.clear()
+            self.hours.clear()
+            self.ids.clear()
+        yield from ()
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows), ignore_index=True)
+        batch.columns = self.received  # Spark hands computed columns over by number
+        batch = batch.sort_values([self.time, self.row_id], kind="stable").reset_index(drop=True)
+        watermark = timerValues.getCurrentWatermarkInMs()
+        event_ms = batch["_event_ms"].to_numpy(np.int64)
+        ids = [None if i is None or i != i else str(i) for i in batch[self.row_id].tolist()]
+        fate = np.array([DECIDED] * len(batch), dtype=object)
+        if watermark > 0:
+            fate[event_ms <= watermark] = LATE
+        fresh: set[str] = set()
+        for k in np.flatnonzero(fate == DECIDED).tolist():
+            if ids[k] is not None and (ids[k] in fresh or self.ids.containsKey((ids[k],))):
+                fate[k] = DUPLICATE
+            elif ids[k] is not None:
+                fresh.add(ids[k])
+        good = np.flatnonzero(fate == DECIDED)
+        known = not str(key[0]).startswith(LONE)
+        made = self._record(batch.iloc[good].reset_index(drop=True), [ids[k] for k in good], event_ms[good],
+                            watermark, known) if len(good) else {}
+        yield self._typed(batch, fate, good, made)
+
+    def _record(self, batch: pd.DataFrame, ids: list, event_ms: np.ndarray, watermark: int, known: bool) -> dict:
+        stored = self.card.get()
+        if not stored:
+            stored = ([], [], [], [], [], [], [], [], [], None)
+        now = batch[self.time].to_numpy(np.int64)
         amounts = batch["TransactionAmt"].to_numpy(float)
-        recorded = ~np.isnan(amounts)
-        times = np.concatenate([np.asarray(stored[0], np.int64), now[recorded]])
-        values = np.concatenate([np.asarray(stored[1], float), amounts[recorded]])
-        order = np.argsort(times, kind="stable")
-        times, values = times[order], values[order]
-        # a window [t - w, t) never reaches a later row, so the whole batch is one lookup
-        sums = np.concatenate([[0.0], np.cumsum(values)])
-        end = np.searchsorted(times, now, "left")
+        at_hour = now // self.hour
+        totals = dict(zip(stored[0], zip(stored[1], stored[2], strict=True), strict=True))
+        hours = _Hours(self.hours, set(totals))
+        for hour in np.unique(at_hour).tolist():
+            here = at_hour == hour
+            paid = here & ~np.isnan(amounts) & known
+            mine = [i for i, h in zip(ids, here.tolist(), strict=True) if h and i is not None]
+            for i in mine:
+                self.ids.updateValue((i,), (hour,))
+            hours.add(hour, now[paid], amounts[paid], mine)
+            times, _, sums, _ = hours.get(hour)
+            totals[hour] = (len(times), float(sums[-1]))
+        made = self._velocity(now, hours, totals) if known else {}
+        memory, profile = self._profile(batch, stored) if known else ([[]] * 6, {})
+        newest = max([int(event_ms.max()), *([stored[9]] if stored[9] is not None else [])])
+        # an hour goes when no window can reach it any more
+        floor = (max(int(now.max()), (max(totals) if totals else 0) * self.hour) - max(self.widths.values())) // self.hour
+        for hour in [h for h in totals if h < floor]:
+            for i in hours.get(hour)[3]:
+                self.ids.removeKey((i,))
+            self.hours.removeKey((hour,))
+            hours.known.discard(hour)
+            del totals[hour]
+        hours.write()
+        line = sorted(totals)
+        self.card.update((line, [totals[h][0] for h in line], [totals[h][1] for h in line], *memory, newest))
+        if stored[9] is None:
+            self.handle.registerTimer(max(newest + self.ttl_ms, watermark + 1))
+        return made | profile
+
+    def _velocity(self, now: np.ndarray, hours: _Hours, totals: dict) -> dict:
+        line = np.array(sorted(totals), np.int64)
+        counts = np.concatenate([[0], np.cumsum([totals[h][0] for h in line.tolist()])]).astype(np.int64)
+        sums = np.concatenate([[0.0], np.cumsum([totals[h][1] for h in line.tolist()])])
+
+        def before(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Payments before each time: whole hours, and part of the hour that the time cuts."""
+            hour = at // self.hour
+            place = np.searchsorted(line, hour, "left")
+            n, s = counts[place].copy(), sums[place].copy()
+            for h in np.unique(hour).tolist():
+                if h in totals:
+                    cut = np.flatnonzero(hour == h)
+                    part = hours.before(h, at[cut])
+                    n[cut] += part[0]
+                    s[cut] += part[1]
+            return n, s
+
+        end_n, end_s = before(now)
         made: dict[str, object] = {}
-        for w, width in widths.items():
-            begin = np.searchsorted(times, now - width, "left")
-            made[f"txn_count_{w}"] = end - begin
+        for w, width in self.widths.items():
+            n, s = before(now - width)
+            made[f"txn_count_{w}"] = end_n - n
             if w in ("1h", "24h"):
-                made[f"amt_sum_{w}"] = sums[end] - sums[begin]
+                made[f"amt_sum_{w}"] = np.where(end_n > n, end_s - s, 0.0)
         n = made["txn_count_24h"]
         made["amt_mean_24h"] = np.where(n > 0, made["amt_sum_24h"] / np.maximum(n, 1), 0.0)
+        return made
 
-        memory = []
+    def _profile(self, batch: pd.DataFrame, stored: tuple) -> tuple[list, dict]:
+        memory, made = [], {}
         for i, (c, (out, depth)) in enumerate(PROFILE.items()):
-            past = list(stored[2 + i])
+            past = list(stored[3 + i])
             line = past + _plain(batch[c], c.startswith("addr"))
-            made[out] = [
-                [v for v in line[max(0, at - depth):at] if v is not None]
-                for at in range(len(past), len(line))
-            ]
+            made[out] = [[v for v in line[max(0, at - depth):at] if v is not None]
+                         for at in range(len(past), len(line))]
             memory.append(line[-depth:])
         depth = REMEMBER["amounts"]
-        past = list(stored[7])
+        past = list(stored[8])
         line = past + _plain(batch["TransactionAmt"], False)
-        known = [np.array([v for v in line[max(0, at - depth):at] if v is not None], float)
-                 for at in range(len(past), len(line))]
-        made["seen_amount_n"] = [len(v) for v in known]
-        made["seen_amount_mean"] = [float(v.mean()) if len(v) else None for v in known]
-        made["seen_amount_std"] = [float(v.std()) if len(v) else None for v in known]
-
-        fresh = times >= times[-1] - keep if len(times) else times > 0
-        state.update((times[fresh].tolist(), values[fresh].tolist(), *memory, line[-depth:]))
-        newest = int(batch["event_time"].max().timestamp() * 1000)
-        state.setTimeoutTimestamp(max(newest + ttl_ms, state.getCurrentWatermarkMs() + 1))
-        # integers with gaps arrive as floats; hand them back as nullable integers
-        same = batch[columns].convert_dtypes(
-            convert_string=False, convert_boolean=False, convert_floating=False)
-        yield pd.concat([same, pd.DataFrame(made)], axis=1)
-
-    return step
+        seen = [np.array([v for v in line[max(0, at - depth):at] if v is not None], float)
+                for at in range(len(past), len(line))]
+        made["seen_amount_n"] = [len(v) for v in seen]
+        made["seen_amount_mean"] = [float(v.mean()) if len(v) else None for v in seen]
+        made["seen_amount_std"] = [float(v.std()) if len(v) else None for v in seen]
+        return [*memory, line[-depth:]], made
+
+    def _typed(self, batch: pd.DataFrame, fate: np.ndarray, good: np.ndarray, made: dict) -> pd.DataFrame:
+        """The rows with state columns and fate; every column has the type of its field."""
+        out = {}
+        for field in self.columns:
+            c, kind = field.name, field.dataType.typeName()
+            if c == FATE:
+                values = fate
+            elif c in made:
+                values = np.empty(len(batch), object)
+                values[good] = pd.Series(list(made[c]), dtype=object).to_numpy()
+            elif c in batch:
+                values = batch[c]
+            else:  # not recorded
+                undefined = c in ("seen_amount_mean", "seen_amount_std")
+                values = [[] if kind == "array" else None if undefined else 0] * len(batch)
+            values = pd.Series(values, index=batch.index, dtype=object if isinstance(values, list) else None)
+            if kind == "array":
+                values = values.map(lambda v: v if isinstance(v, list) else [])
+            elif kind in ("long", "integer", "short", "byte"):
+                values = pd.to_numeric(values).astype("Int64")
+            elif kind in ("double", "float"):
+                values = pd.to_numeric(values).astype("float64")
+            out[c] = values
+        return pd.DataFrame(out)
+
+
+#: Columns of :func:`card_history`.
+HISTORY = ["key", "hour", *(c.split()[0] for c in CARD_SCHEMA.split(", ")), "times", "amounts", "ids"]
+
+
+def _listed(value):
+    """A state value as plain Python: lists for arrays, None inside for missing entries."""
+    if isinstance(value, (np.ndarray, list)):
+        return [None if v is None or v != v else (v.item() if hasattr(v, "item") else v) for v in value]
+    return None if value is None or value != value else int(value)
+
+
+def card_history(
+    df: DataFrame, card: str = "card1", time: str = "t_us", row_id: str = "TransactionID", unit: int = 1_000_000,
+    event_time: str = "event_time",
+) -> DataFrame:
+    """The state that a stream would hold after the rows of ``df``: one row for each card, one for each of its hours.
+
+    A stream started with it goes on where the table ends. Rows without a card are left out. An hour's payments
+    are one group, as they are one value of the state.
+    """
+    hour = F.floor(F.col(time) / (HOUR * unit)).cast("long")
+    rows = df.where(F.col(card).isNotNull()).select(
+        F.col(card).cast("string").alias(KEY), hour.alias("hour"), F.col(time).alias("_t"),
+        F.col(row_id).alias("_id"), F.col("TransactionAmt").cast("double").alias("_amount"),
+        *[F.col(c).cast("bigint" if c.startswith("addr") else "string").alias(c) for c in PROFILE],
+        F.unix_millis(event_time).alias("_ms"))
+    last = rows.groupBy(KEY).agg(F.max("_t").alias("_last"), F.max("_ms").alias("newest"))
+    floor = F.floor((F.col("_last") - max(USER_WINDOWS.values()) * HOUR * unit) / (HOUR * unit))
+    paid = F.col("_amount").isNotNull()
+    line = F.sort_array(F.collect_list(F.when(paid, F.struct("_t", "_amount"))))
+    hours = rows.join(last, KEY).where(F.col("hour") >= floor).groupBy(KEY, "hour").agg(
+        line.alias("_line"), F.collect_list(F.col("_id").cast("string")).alias("ids")).select(
+        KEY, "hour", F.col("_line._t").alias("times"), F.col("_line._amount").alias("amounts"), "ids")
+    sums = hours.groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct(
+        "hour", F.size("times").cast("long").alias("n"),
+        F.aggregate("amounts", F.lit(0.0), lambda a, b: a + b).alias("s")))).alias("_sums"))
+    newest = Window.partitionBy(KEY).orderBy(F.desc("_t"), F.desc("_id"))
+    recent = rows.withColumn("_back", F.row_number().over(newest)).where(F.col("_back") <= REMEMBER["amounts"])
+    kept = recent.groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct(
+        (-F.col("_back")).alias("_at"), *PROFILE, F.col("_amount").alias("recent")))).alias("_rows"))
+
+    def tail(name: str, depth: int):
+        values = F.col("_rows").getField(name)
+        return F.slice(values, F.greatest(F.size(values) - depth + 1, F.lit(1)), depth).alias(name)
+
+    cards = kept.join(sums, KEY).join(last, KEY).select(
+        KEY, F.lit(None).cast("long").alias("hour"), F.col("_sums.hour").alias("hours"),
+        F.col("_sums.n").alias("counts"), F.col("_sums.s").alias("sums"),
+        *[tail(c, depth) for c, (_, depth) in PROFILE.items()], tail("recent", REMEMBER["amounts"]), "newest")
+    return cards.unionByName(hours, allowMissingColumns=True)
