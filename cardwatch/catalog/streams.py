@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from cardwatch.catalog.base import ORACLE, SCORED_CTE, TXN_CTE, query, with_scored, with_txn
@@ -9,7 +10,9 @@ from cardwatch.catalog.risk import CFG, DECISION_SQL, _join, _joined
 from cardwatch.functions import risk
 from cardwatch.sources import payload, schemas
 from cardwatch.sources.binding import EVENT_SCHEMA, TRANSACTION_RULES, scored, shape_events
-from cardwatch.streaming import jobs
+from cardwatch.session import scratch_path
+from cardwatch.streaming import jobs, sinks
+from cardwatch.streaming.state import FATE, card_history
 
 _ID = "TransactionID"
 
@@ -220,3 +223,59 @@ def stream_decisions_missing_card(spark, d):
     out = jobs.score_stream(rows.select(*_STATE_IN), CFG)
     done = jobs.run_available(out.select(_ID, "decision", "risk_level", "risk_factors"), "scored")
     return _joined(done, "risk_factors")
+
+
+@query("stream_fates", with_txn("""SELECT unnest(['decided', 'duplicate']) AS fate, unnest([n, n]) AS rows
+FROM (SELECT count(*) AS n FROM txn)"""))
+def stream_fates(spark, d):
+    """Every message arrives twice: the state operator decides the one and sets the other apart."""
+    stream = events_stream(spark, d).select(*_STATE_IN, F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
+    out = jobs.card_fates(stream.drop("copy"), CFG).select(F.col(FATE).alias("fate"))
+    return jobs.run_available(out, "fates").groupBy("fate").agg(F.count(F.lit(1)).alias("rows"))
+
+
+_LATER = "t_us > (SELECT (min(t_us) + max(t_us)) // 2 FROM txn)"
+
+
+@query("stateful_from_history", with_txn(f"""SELECT h.* FROM ({ORACLE["online_velocity_counts"]}) h
+JOIN (SELECT TransactionID FROM txn WHERE {_LATER}) l ON l.TransactionID = h.TransactionID"""))
+def stateful_from_history(spark, d):
+    """The first half as a table, the second as a stream that begins with its state."""
+    stream = events_stream(spark, d).select(*_STATE_IN)
+    rows = jobs.with_watermark(shape_events(
+        stream.sparkSession.read.schema(EVENT_SCHEMA).parquet(f"{d}/events.parquet")), CFG)
+    low, high = rows.agg(F.min("t_us"), F.max("t_us")).first()
+    cut = (low + high) // 2
+    out = jobs.with_card_state(stream.where(F.col("t_us") > cut), CFG,
+                               history=card_history(rows.where(F.col("t_us") <= cut)))
+    return jobs.run_available(out.select(
+        _ID, "txn_count_1h", "txn_count_6h", "txn_count_24h", "txn_count_7d", "amt_sum_1h",
+        "amt_sum_24h", "amt_mean_24h"), "velocity")
+
+
+@query("sinks_once", _route_sql("dist1 IS NOT NULL").replace(
+    "AS key", "AS key, CASE WHEN fraud_probability >= 0.0564e0 THEN 'fraud' ELSE 'legit' END AS sink"))
+def sinks_once(spark, d):
+    """Two sinks, stopped between their writes and started again: each holds each row once."""
+    p = F.col("fraud_probability")
+    made = risk.simple_decision(p, CFG.model.base_threshold)
+    df = events_stream(spark, d).where("dist1 is not null").select(
+        _ID, "TransactionAmt", *[c.alias(n) for n, c in made.items()])
+    rows, path = jobs.to_topic_rows(df, CFG), scratch_path(spark, "sinks")
+    topics = {"fraud": CFG.kafka.fraud_output_topic, "legit": CFG.kafka.legit_output_topic}
+    both = {name: sinks.topic_folder(f"{path}/{name}", topic) for name, topic in topics.items()}
+    log = sinks.BatchLog(f"{path}/log")
+
+    def stopped(batch_rows, batch):
+        both["legit"](batch_rows.limit(3), batch)  # half of a write
+        raise InterruptedError("stopped between two writes")
+
+    for now in ({**both, "legit": stopped}, both):
+        run = sinks.start(rows, now, log, f"{path}/checkpoint")
+        try:
+            run.awaitTermination()
+        except StreamingQueryException:
+            if now is both:
+                raise
+    return sinks.read_topic(spark, f"{path}/fraud", log, "fraud").select("key", F.lit("fraud").alias("sink")).unionByName(
+        sinks.read_topic(spark, f"{path}/legit", log, "legit").select("key", F.lit("legit").alias("sink")))

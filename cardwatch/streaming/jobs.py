@@ -112,8 +112,7 @@ WHOLE = ("card1", "card2", "card3", "card5", "addr1", "addr2")
 
 
 #: An answer to a message that can't be decided.
-_REFUSED = {"fraud_probability": F.lit(0.5), "decision": F.lit("ERROR"), "risk_level": F.lit("UNKNOWN"),
-            "threshold": F.lit(0.5)}
+_REFUSED = {"fraud_probability": 0.5, "decision": "ERROR", "risk_level": "UNKNOWN", "threshold": 0.5}
 
 
 def decision_job(
@@ -134,13 +133,13 @@ def decision_job(
     seen = card_fates(score(with_watermark(accepted, settings)), settings, time="TransactionDT", unit=1,
                       history=history).where(F.col(FATE).isin(DECIDED, LATE))
     assessed = takeover_risk(scoring.add_velocity_risk(seen, settings), settings)
-    late, none = F.col(FATE) == LATE, F.lit(None)
+    late = F.col(FATE) == LATE
     # one pass over the state: a late row takes the same way and comes out as an error record
     decided = scoring.decide_rows(assessed, settings).select(*[
-        F.when(late, _REFUSED.get(c, none)).otherwise(F.col(c)).alias(c) if c != "TransactionID" else c
+        F.when(late, F.lit(_REFUSED.get(c))).otherwise(F.col(c)).alias(c) if c != "TransactionID" else c
         for c in scoring.DECISION_COLUMNS])
     refused = rejected.select(F.col("TransactionID").alias("transaction_id"),
-                              *[v.alias(c) for c, v in _REFUSED.items()])
+                              *[F.lit(v).alias(c) for c, v in _REFUSED.items()])
     errors = to_topic_rows(error_records(dead).unionByName(refused), settings, "transaction_id")
     return to_topic_rows(decided, settings).unionByName(errors)
 

@@ -120,11 +120,12 @@ class CardState(StatefulProcessor):
         """Take over :func:`card_history`: a row for the card, and one for each of its hours."""
         for row in initialState.set_axis(HISTORY, axis=1).itertuples(index=False):
             if row.hour is None or row.hour != row.hour:
-                self.card.update(tuple(_listed(getattr(row, c.split()[0])) for c in CARD_SCHEMA.split(", ")))
+                self.card.update(tuple(
+                    _listed(getattr(row, n), "bigint" in kind) for n, kind in (c.split() for c in CARD_SCHEMA.split(", "))))
                 self.handle.registerTimer(max(int(row.newest) + self.ttl_ms, timerValues.getCurrentWatermarkInMs() + 1))
             else:
                 hour, ids = int(row.hour), _listed(row.ids)
-                self.hours.updateValue((hour,), (_listed(row.times), _listed(row.amounts), ids))
+                self.hours.updateValue((hour,), (_listed(row.times, True), _listed(row.amounts), ids))
                 for i in ids:
                     self.ids.updateValue((i,), (hour,))
 
@@ -274,10 +275,14 @@ class CardState(StatefulProcessor):
 HISTORY = ["key", "hour", *(c.split()[0] for c in CARD_SCHEMA.split(", ")), "times", "amounts", "ids"]
 
 
-def _listed(value):
-    """A state value as plain Python: lists for arrays, None inside for missing entries."""
+def _listed(value, whole: bool = False):
+    """A state value as plain Python: lists for arrays, None inside for missing entries.
+
+    Whole numbers with gaps arrive as floats.
+    """
     if isinstance(value, (np.ndarray, list)):
-        return [None if v is None or v != v else (v.item() if hasattr(v, "item") else v) for v in value]
+        plain = [None if v is None or v != v else (v.item() if hasattr(v, "item") else v) for v in value]
+        return [None if v is None else int(v) for v in plain] if whole else plain
     return None if value is None or value != value else int(value)
 
 

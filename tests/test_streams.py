@@ -23,7 +23,8 @@ def test_stream_over_ordered_files_equals_batch(spark, sf_dir):
     for low, high in ((0, 400), (400, 700), (700, 10**9)):
         events.where(F.col("event_id").between(low, high - 1)).coalesce(1).write.mode(
             "append").parquet(path)
-    stream = scored(shape_events(jobs.file_stream(spark, path, EVENT_SCHEMA, files_per_trigger=1)))
+    own = jobs.job_session(spark, 4)
+    stream = scored(shape_events(jobs.file_stream(own, path, EVENT_SCHEMA, files_per_trigger=1)))
     done = jobs.run_available(jobs.score_stream(stream.select(*STATE_IN), CFG).select(
         "TransactionID", "decision", "risk_level", "risk_factors", "txn_count_7d"), "scored")
     batch = scoring.decide_rows(
@@ -126,7 +127,7 @@ def test_job_answers_every_message_like_the_batch_plan(spark, sf_dir):
     path = scratch_path(spark, "messages")
     messages = _wire(spark, sf_dir)
     messages.unionByName(messages).write.parquet(path)
-    stream = jobs.file_stream(spark, path, "value binary")
+    stream = jobs.file_stream(jobs.job_session(spark, 4), path, "value binary")
     done = jobs.run_available(jobs.decision_job(stream, CFG, _scorecard), "job")
     k = CFG.kafka
     answers = done.select("key", "topic", F.get_json_object("value", "$.decision").alias("decision"))
