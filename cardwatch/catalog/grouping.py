@@ -114,8 +114,8 @@ def behaviour_uid_stats(spark, d):
     + " FROM keyed WINDOW w AS (PARTITION BY magic_uid)")
 def behaviour_uid_nunique(spark, d):
     df = _keyed(spark, d)
-    stats = groups.behaviour_distinct(df.columns)
-    return groups.attach_stats(df, "magic_uid", stats).select(_ID, *stats)
+    counted = groups.behaviour_distinct(df.columns)
+    return groups.attach_distinct(df, "magic_uid", counted).select(_ID, *counted)
 
 
 @query("behaviour_uid_freq", f"""WITH {_KEYED_CTE}

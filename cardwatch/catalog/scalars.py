@@ -184,12 +184,19 @@ def device_corp(spark, d):
     return transactions(spark, d).select("TransactionID", fx.device_corp().alias("DeviceCorp"))
 
 
+_MIXED = ("(SELECT TransactionID, CASE WHEN TransactionID % 3 = 0 AND raw <> 'unknown' THEN lower(raw) ELSE raw END"
+          " AS raw FROM dev)")
+
+
 @query("rare_category_other", f"""WITH {_DEVICES_CTE}, corp AS (
-  SELECT TransactionID, {_MAKER} AS corp FROM dev)
+  SELECT TransactionID, {_MAKER.replace("upper(raw)", "raw")} AS corp FROM {_MIXED})
 SELECT TransactionID, CASE WHEN count(*) OVER (PARTITION BY corp) < 1050 THEN 'OTHER'
-  ELSE corp END AS DeviceCorp FROM corp""")
+  ELSE upper(corp) END AS DeviceCorp FROM corp""")
 def rare_category_other(spark, d):
-    corp = transactions(spark, d).select("TransactionID", fx.device_corp().alias("DeviceCorp"))
+    """A third of the texts come in lower case: unlike spellings are counted apart."""
+    text = F.when(F.col("TransactionID") % 3 == 0, F.lower("DeviceInfo")).otherwise(F.col("DeviceInfo"))
+    txn = transactions(spark, d).withColumn("DeviceInfo", text)
+    corp = txn.select("TransactionID", fx.device_corp(upper=False).alias("DeviceCorp"))
     return groups.rare_to_other(corp, "DeviceCorp", min_rows=1050).select(
         "TransactionID", "DeviceCorp")
 

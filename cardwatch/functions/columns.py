@@ -178,15 +178,19 @@ def email_flags(p: str = "P_emaildomain", r: str = "R_emaildomain") -> dict[str,
 
 
 # ---- device and screen ------------------------------------------------------
-def device_corp(c: str = "DeviceInfo") -> Column:
-    """Maker group; later rules override earlier ones, so test them last to first."""
+def device_corp(c: str = "DeviceInfo", upper: bool = True) -> Column:
+    """Maker group; later rules override earlier ones, so test them last to first.
+
+    Rare makers are counted as written: pass ``upper=False`` to
+    :func:`~cardwatch.operators.groups.rare_to_other`, which puts the rest in upper case.
+    """
     raw = F.coalesce(F.col(c), F.lit("unknown"))
     low = F.lower(raw)
     rules = [(low.rlike(pattern), maker) for pattern, maker in fixed.DEVICE_MAKERS]
     rules.append((raw.isin(fixed.SAMSUNG_CODES), "SAMSUNG"))
     rules += [(raw.startswith(prefix), maker) for prefix, maker in fixed.DEVICE_PREFIXES]
     chosen = F.coalesce(*[F.when(hit, F.lit(maker)) for hit, maker in reversed(rules)], raw)
-    return F.upper(chosen)
+    return F.upper(chosen) if upper else chosen
 
 
 def device_flags(c: str = "DeviceInfo") -> dict[str, Column]:

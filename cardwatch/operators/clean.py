@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, FloatType, IntegralType, NumericType
 
 from cardwatch.functions import columns as fx, fixed
+from cardwatch.operators.comoments import correlation_pairs
 from cardwatch.operators.ordering import exact_quantiles
 
 
@@ -129,29 +130,6 @@ def downcast_numeric(df: DataFrame) -> DataFrame:
     return df.withColumns(casts) if casts else df
 
 
-def correlation_pairs(df: DataFrame, columns: list[str], chunk: int = 300) -> DataFrame:
-    """abs Pearson of every column pair, each over rows where both are set.
-
-    The pairs are columns of one aggregate row (``chunk`` per pass), so only a
-    few doubles per task are shuffled.
-    """
-    names = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
-    parts = []
-    for at in range(0, len(names), chunk):
-        part = names[at: at + chunk]
-        row = df.agg(*[F.corr(a, b).alias(f"p{i}") for i, (a, b) in enumerate(part)])
-        pairs = F.array(*[
-            F.struct(F.lit(a).alias("left_column"), F.lit(b).alias("right_column"),
-                     F.abs(F.col(f"p{i}")).alias("abs_corr"))
-            for i, (a, b) in enumerate(part)
-        ])
-        parts.append(row.select(F.inline(pairs)))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionAll(part)
-    return out
-
-
 def correlated_columns(df: DataFrame, columns: list[str], threshold: float = 0.95) -> list[str]:
     """Later column of every pair above the threshold, in column order."""
     hits = {

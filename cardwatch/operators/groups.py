@@ -102,13 +102,38 @@ BEHAVIOUR_DISTINCT = {
 }
 
 
-def behaviour_distinct(columns: list[str]) -> dict[str, Column]:
+def behaviour_distinct(columns: list[str]) -> dict[str, str]:
+    """Feature -> column whose values are counted once per behaviour uid."""
     have = set(columns)
-    return {
-        f"magic_uid_{name}_nunique": F.count_distinct(c)
-        for name, c in BEHAVIOUR_DISTINCT.items()
-        if c in have
-    }
+    return {f"magic_uid_{name}_nunique": c for name, c in BEHAVIOUR_DISTINCT.items() if c in have}
+
+
+def distinct_counts(df: DataFrame, key: str, counted: dict[str, str]) -> DataFrame:
+    """Per ``key``, how many different values each of some columns has: new name -> column. NULL keys are left out.
+
+    One long table of (key, column, value), of which every task keeps each triple once before it is dealt out by all
+    three: a key that holds much of the table is spread over the tasks by its values. Counts of a key are then
+    summed from at most one row per task. NULL is no value.
+    """
+    names = list(counted)
+
+    def text(c: str) -> Column:
+        real = df.schema[c].dataType.typeName() in ("double", "float")
+        return (F.col(c) + F.lit(0.0) if real else F.col(c)).cast("string")  # -0.0 is 0.0
+
+    values = [F.struct(F.lit(i).alias("_which"), text(counted[n]).alias("_value")) for i, n in enumerate(names)]
+    present = F.struct(F.lit(-1).alias("_which"), F.lit("").alias("_value"))  # a key without any value has a row too
+    long = df.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.inline(F.array(present, *values)))
+    once = long.where(F.col("_value").isNotNull()).groupBy("_key", "_which", "_value").agg(F.lit(1).alias("_one"))
+    counts = once.groupBy("_key").agg(*[
+        F.count(F.when(F.col("_which") == i, 1)).alias(n) for i, n in enumerate(names)])
+    return counts.withColumnRenamed("_key", key)
+
+
+def attach_distinct(df: DataFrame, key: str, counted: dict[str, str]) -> DataFrame:
+    """Left join of :func:`distinct_counts`: 0 where a key has no value, NULL for NULL keys."""
+    out = join_stats(df, distinct_counts(df, key, counted), key)
+    return out.withColumns({n: F.when(F.col(key).isNotNull(), F.coalesce(n, F.lit(0))) for n in counted})
 
 
 def key_share(df: DataFrame, key: str, out: str) -> DataFrame:
@@ -214,13 +239,10 @@ def opaque_row_stats(columns: list[str]) -> dict[str, Column]:
 def network_counts(df: DataFrame) -> DataFrame:
     """Distinct partners of a card, address and e-mail domain, and the flags they raise."""
     zero = F.lit(0)
-    out = attach_stats(df, "card1", {
-        "card1_addr1_count": F.count_distinct("addr1"),
-        "card1_device_count": F.count_distinct("DeviceInfo"),
-        "card1_product_count": F.count_distinct("ProductCD"),
-    })
-    out = attach_stats(out, "addr1", {"addr1_card1_count": F.count_distinct("card1")})
-    out = attach_stats(out, "P_emaildomain", {"email_card1_count": F.count_distinct("card1")})
+    out = attach_distinct(df, "card1", {
+        "card1_addr1_count": "addr1", "card1_device_count": "DeviceInfo", "card1_product_count": "ProductCD"})
+    out = attach_distinct(out, "addr1", {"addr1_card1_count": "card1"})
+    out = attach_distinct(out, "P_emaildomain", {"email_card1_count": "card1"})
     counts = ["card1_addr1_count", "card1_device_count", "card1_product_count",
               "addr1_card1_count", "email_card1_count"]
     out = out.withColumns({c: F.coalesce(c, zero) for c in counts})

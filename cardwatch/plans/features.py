@@ -48,8 +48,8 @@ def _counts(columns: list[str]) -> dict[str, list[str]]:
             if len(p) > 1 and "card4" not in p and set(p) <= set(columns)}
 
 
-def _statistics(df: DataFrame) -> dict[str, tuple[str, dict[str, Column]]]:
-    """table name -> (key, aggregates)."""
+def _statistics(df: DataFrame) -> dict[str, tuple[str, dict[str, Column | str]]]:
+    """table name -> (key, aggregates); of a table of distinct counts, the counted columns."""
     have = set(df.columns)
     card = {"card1_FE": F.count(F.lit(1))}
     for c in ("TransactionAmt", "D11", "D15"):
@@ -59,8 +59,8 @@ def _statistics(df: DataFrame) -> dict[str, tuple[str, dict[str, Column]]]:
     uid, _ = groups.behaviour_stats(df.columns)
     tables = {
         "by_card1": ("card1", card),
-        "by_uid": ("magic_uid", {**uid, **groups.behaviour_distinct(df.columns),
-                                 "magic_uid_rows": F.count(F.lit(1))}),
+        "by_uid": ("magic_uid", {**uid, "magic_uid_rows": F.count(F.lit(1))}),
+        "by_uid_distinct": ("magic_uid", groups.behaviour_distinct(df.columns)),
     }
     if {"addr1", "D15"} <= have:
         tables["by_addr1"] = ("addr1", {
@@ -101,9 +101,12 @@ class FeatureEstimator(Estimator):
             _fit_columns(prepare(self.statistics)), "prepared")
         tables = {}
         for name, (key, aggs) in _statistics(source).items():
-            tables[name] = materialize(
-                source.where(F.col(key).isNotNull()).groupBy(key).agg(
-                    *[c.alias(n) for n, c in aggs.items()]), name)
+            if name == "by_uid_distinct":
+                made = groups.distinct_counts(source, key, aggs)
+            else:
+                made = source.where(F.col(key).isNotNull()).groupBy(key).agg(
+                    *[c.alias(n) for n, c in aggs.items()])
+            tables[name] = materialize(made, name)
         shares = [c for c in fixed.SHARE_COLUMNS if c not in ("card4", "card1_addr1")]
         # text columns with a share go once it is taken, so they have no target mean
         gone = {c for c in shares if dict(train.dtypes).get(c) == "string"} | {"card4"}
