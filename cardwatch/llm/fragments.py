@@ -2,8 +2,8 @@
 
 A tokenizer that cuts a text at certain places gives each fragment ids of its own, and fragments
 repeat. ``FragmentIds`` hashes all fragments of a buffer at once and reads their ids from a table
-of fixed size; only fragments that aren't there go through the tokenizers library. The result is
-that of encoding every fragment (two fragments are taken as the same by 64 bits of hash and length).
+of fixed size; only fragments that aren't there go through the tokenizers library, each once by its bytes. The
+table holds fragments of at most KEPT bytes, found by 64 bits of hash; longer ones are never taken by hash.
 """
 
 from __future__ import annotations
@@ -116,15 +116,17 @@ class FragmentIds:
         at, n = self.at[slot].astype(np.int64), self.count[slot].astype(np.int64)
         miss = np.flatnonzero(self.key[slot] != h)
         if len(miss):
-            new, where, inverse = np.unique(h[miss], return_index=True, return_inverse=True)
-            pick = miss[where]
-            whole = raw.tobytes()
-            texts = [whole[a:b] for a, b in zip(start[pick].tolist(), end[pick].tolist(), strict=True)]
-            new_at, new_n = self._add(self.encode(texts))
+            # What isn't in the table is told apart by its bytes: hashes of long texts can be made to collide.
+            whole, texts = raw.tobytes(), {}
+            inverse = np.fromiter((texts.setdefault(whole[a:b], len(texts)) for a, b in zip(
+                start[miss].tolist(), end[miss].tolist(), strict=True)), np.int64, len(miss))
+            pick = np.empty(len(texts), np.int64)
+            pick[inverse[::-1]] = miss[::-1]
+            new_at, new_n = self._add(self.encode(list(texts)))
             at[miss], n[miss] = new_at[inverse], new_n[inverse]
             short = end[pick] - start[pick] <= KEPT
             s = slot[pick][short]
-            self.key[s], self.at[s], self.count[s] = new[short], new_at[short], new_n[short]
+            self.key[s], self.at[s], self.count[s] = h[pick][short], new_at[short], new_n[short]
             # Of fragments that share a slot the last one written stays, in all three arrays.
         ends = np.cumsum(n)
         take = np.arange(ends[-1]) + np.repeat(at - ends + n, n)

@@ -227,4 +227,6 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def repeated_report(docs: DataFrame) -> DataFrame:
-    return remove_repeated(docs).drop("kept")
+    """The columns of :func:`remove_repeated`, which says what nulls, repeats and empty tables give; what is left comes
+    as a text (null where all of it stays), half characters at cuts as U+FFFD."""
+    return remove_repeated(docs).withColumn("kept", F.make_valid_utf8(F.col("kept").cast("string")))

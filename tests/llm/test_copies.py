@@ -56,7 +56,8 @@ def _removed(rows, size=400):
                 gone[p:p + size] = True
         runs = int((np.diff(gone.astype(int), prepend=0) == 1).sum())
         kept = bytes(b for b, g in zip(r, gone) if not g)
-        out.append((i, len(r), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest()))
+        left = kept.decode("utf-8", "replace") if gone.any() else None
+        out.append((i, len(r), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest(), left))
     return ordered(out)
 
 

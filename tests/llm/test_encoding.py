@@ -131,3 +131,21 @@ def test_neighbours_rank_by_shared_rare_terms():
     found = index.neighbours(0, unused)
     assert found[0] == 4 and 3 not in found
     assert set(found) == {1, 2, 4}
+
+
+def _thue_morse(one, other, turns):
+    for _ in range(turns):
+        one, other = one + other, other + one
+    return one, other
+
+
+@pytest.mark.parametrize("letters", [("a", "b"), ("er", "in"), ("I", "a")])
+def test_long_words_with_equal_hashes_have_their_own_ids(letters):
+    """For sums over powers of an odd number these words collide, whatever the letters."""
+    texts = [t for turns in (9, 10) for t in _thue_morse(*letters, turns)]
+    for codec, path in ((wavelet.WordCodec, WORD), (bpe.ForcedBoundaryCodec, BYTE)):
+        own, library = codec(path), Tokenizer.from_file(path)
+        for _ in range(2):  # the second time from the table, if they were there
+            flat, ends = own.encode(pa.array(texts))
+            got = [flat[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
