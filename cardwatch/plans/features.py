@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from cardwatch.functions import columns as fx, fixed
 from cardwatch.operators import clean, encode, groups
 from cardwatch.session import materialize
-from cardwatch.sources.tables import load_fitted_stats, save_fitted_stats
+from cardwatch.sources.tables import (
+    load_fitted_stats, load_published, publish_fitted_stats, save_fitted_stats,
+)
 
 LABEL = "isFraud"
 ID = "TransactionID"
@@ -179,11 +181,21 @@ class FeatureModel(Model):
     def save(self, path: str) -> None:
         save_fitted_stats(self.tables, self.metadata, path)
 
+    def publish(self, root: str) -> str:
+        """A new version below ``root``, current once it is whole."""
+        return publish_fitted_stats(self.tables, self.metadata, root)
+
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> FeatureModel:
         tables, metadata = load_fitted_stats(spark, path)
         return cls(tables, metadata)
 
+    @classmethod
+    def current(cls, spark: SparkSession, root: str, version: str | None = None) -> FeatureModel:
+        """The current, or a named, published version."""
+        tables, metadata = load_published(spark, root, version)
+        return cls(tables, metadata)
+
 
 BASE_FEATURES = ["TransactionAmt", "TransactionAmt_decimal", "DT_M"]
 

@@ -198,27 +198,32 @@ def train_flow(
     df: DataFrame, ratio: float = 0.8, iterations: int = 500, depth: int = 7,
     transductive: bool = False,
 ) -> dict[str, object]:
-    """Clean, split by time, fit features, train, calibrate, pick the threshold, report.
+    """Clean, split by time in three, fit features, train, calibrate, pick the threshold, report.
 
-    The cleaned rows and the assembled frames are written once; every later step reads
+    The model learns from the first ``ratio`` of the rows; the earlier half of the rest calibrates it and picks
+    the threshold, the later half is only reported on (``scored``). The cleaned rows and the assembled frames are written once; every later step reads
     those files.
     """
     rows = materialize(clean_rows(df), "cleaned")
-    train_raw, valid_raw = split.chronological_split(rows, ratio)
+    train_raw, rest = split.chronological_split(rows, ratio)
+    valid_raw, test_raw = split.chronological_split(rest, 0.5)
     fitted = FeatureEstimator(statistics=rows if transductive else None).fit(train_raw)
-    train_wide, valid_wide = fitted.transform_train(train_raw), fitted.transform(valid_raw)
+    train_wide, valid_wide, test_wide = (
+        fitted.transform_train(train_raw), fitted.transform(valid_raw), fitted.transform(test_raw))
     features = select_model_features(train_wide.columns)
     keep = [ID, "TransactionDT", LABEL]
     train = materialize(assemble(train_wide, features, keep), "train")
     valid = materialize(assemble(valid_wide, features, keep), "valid")
+    test = materialize(assemble(test_wide, features, keep), "test")
     model = train_classifier(train, iterations, depth)
     calibration = calibrate(model, valid)
-    scored = materialize(score(model, valid, calibration).drop("features"), "scored")
-    best = metrics.f1_optimal_threshold(scored, LABEL, "fraud_probability").first()
+    tuned = materialize(score(model, valid, calibration).drop("features"), "tuned")
+    best = metrics.f1_optimal_threshold(tuned, LABEL, "fraud_probability").first()
+    scored = materialize(score(model, test, calibration).drop("features"), "scored")
     report = metrics.classification_metrics(
         scored, LABEL, F.col("fraud_probability") >= best["threshold"])
     return {
         "model": model, "calibration": calibration, "feature_model": fitted,
         "features": features, "threshold": best["threshold"], "scored": scored, "report": report,
-        "train": train, "valid": valid,
+        "train": train, "valid": valid, "test": test,
     }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
@@ -36,10 +37,8 @@ def scan_transactions(
 
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Asks the file system the path belongs to, also on object stores."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    return bool(target.getFileSystem(conf).exists(target))
+    files, target = _file_system(spark, path)
+    return bool(files.exists(target))
 
 
 def scan_identity_optional(
@@ -85,6 +84,51 @@ def load_fitted_stats(
     return tables, metadata
 
 
+def publish_fitted_stats(
+    tables: dict[str, DataFrame], metadata: dict[str, object], root: str
+) -> str:
+    """Write a new version below ``root`` and make it the current one; returns its name.
+
+    A version is written whole in a folder of its own. Only then a pointer to it appears, an empty file whose
+    number is above all others: readers see the old version or the new one, never a part. A publish that fails
+    leaves the old version current.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    version = uuid.uuid4().hex
+    save_fitted_stats(tables, {**metadata, "tables": list(tables)}, f"{root}/versions/{version}")
+    number = 1 + max((n for n, _ in _pointers(spark, root)), default=0)
+    files, at = _file_system(spark, f"{root}/current/{number:012d}-{version}")
+    files.mkdirs(at.getParent())
+    files.create(at, False).close()
+    return version
+
+
+def published_versions(spark: SparkSession, root: str) -> list[str]:
+    """All published versions, the current one last."""
+    return [version for _, version in _pointers(spark, root)]
+
+
+def load_published(
+    spark: SparkSession, root: str, version: str | None = None, config_threshold: float | None = None,
+) -> tuple[dict[str, DataFrame], dict[str, object]]:
+    """The maps and metadata of a published version, the current one if none is named."""
+    known = published_versions(spark, root)
+    if not known or (version is not None and version not in known):
+        raise FileNotFoundError(f"{version or 'nothing'} is not published in {root}")
+    return load_fitted_stats(spark, f"{root}/versions/{version or known[-1]}", config_threshold=config_threshold)
+
+
+def _pointers(spark: SparkSession, root: str) -> list[tuple[int, str]]:
+    files, at = _file_system(spark, f"{root}/current")
+    names = [f.getPath().getName() for f in files.listStatus(at)] if files.exists(at) else []
+    return sorted((int(n.split("-")[0]), n.split("-")[1]) for n in names if n[0].isdigit())
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def export_importance(importance: DataFrame, path: str) -> None:
     importance.orderBy(F.desc("importance")).write.mode("overwrite").option(
         "header", True).csv(path)
