@@ -151,19 +151,21 @@ class CardState(StatefulProcessor):
         if watermark > 0:
             fate[event_ms <= watermark] = LATE
         fresh: set[str] = set()
+        stored = self.card.get()  # a card without a value has no ids either
         for k in np.flatnonzero(fate == DECIDED).tolist():
-            if ids[k] is not None and (ids[k] in fresh or self.ids.containsKey((ids[k],))):
+            if ids[k] is not None and (
+                    ids[k] in fresh or (stored and self.ids.containsKey((ids[k],)))):
                 fate[k] = DUPLICATE
             elif ids[k] is not None:
                 fresh.add(ids[k])
         good = np.flatnonzero(fate == DECIDED)
         known = not str(key[0]).startswith(LONE)
         made = self._record(batch.iloc[good].reset_index(drop=True), [ids[k] for k in good], event_ms[good],
-                            watermark, known) if len(good) else {}
+                            watermark, known, stored) if len(good) else {}
         yield self._typed(batch, fate, good, made)
 
-    def _record(self, batch: pd.DataFrame, ids: list, event_ms: np.ndarray, watermark: int, known: bool) -> dict:
-        stored = self.card.get()
+    def _record(self, batch: pd.DataFrame, ids: list, event_ms: np.ndarray, watermark: int, known: bool,
+                stored: tuple | None) -> dict:
         if not stored:
             stored = ([], [], [], [], [], [], [], [], [], None)
         now = batch[self.time].to_numpy(np.int64)
