@@ -44,6 +44,19 @@ def release(df: DataFrame) -> None:
     df.sparkSession.sparkContext._jvm.System.gc()
 
 
+def spread_join(df: DataFrame, grouped: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner equi join of rows with an aggregate by ``keys``, such that a key of many rows can be split.
+
+    Adaptive execution splits a skewed partition only where both sides are plain shuffles; an aggregate
+    keeps the shuffle of its ``groupBy``. The second, redundant key gives it a shuffle of its own.
+    """
+    named = {k: f"_of_{k}" for k in keys}
+    same = F.xxhash64(*keys) == F.xxhash64(*named.values())
+    for k, of in named.items():
+        same &= F.col(k) == F.col(of)
+    return df.join(grouped.withColumnsRenamed(named), same).drop(*named.values())
+
+
 #: Rows that go to a Python worker at a time. Texts can be long, so Spark's default of 10,000 rows
 #: would take far more memory than an executor leaves to its workers.
 BATCH_ROWS = 512

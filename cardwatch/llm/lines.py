@@ -3,8 +3,10 @@
 All documents, in ascending id order, are one long sequence of lines. The rank of a line is the place
 of its first equal; doubling pairs the rank of a place with the rank of the place 1, 2, 4, ... lines on
 and ranks the pairs again by their first place, dropping places whose pair is unique, until runs are
-``least`` lines long. A run whose rank is an earlier place that doesn't overlap it is a later copy, and
-its lines go; neighbouring copies join into maximal runs. The first copy of a run stays whole.
+``least`` lines long. A run whose rank is an earlier place that doesn't overlap it is a later copy. It
+goes if it has ``least`` lines, one with a word at least, or at any step before that ``words`` words;
+so a passage on one long line counts as well as one over many short lines. Copies that touch join into
+maximal runs. The first copy of a run stays whole.
 """
 
 from __future__ import annotations
@@ -13,10 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cardwatch.llm.common import numbered, quoted, text_of, written
+from cardwatch.llm.common import numbered, quoted, spread_join, text_of, written
 
-#: Lines of the shortest run that counts as repeated.
-LEAST = 3
+#: Lines of the shortest run that counts as repeated, and words that let a shorter one count.
+LEAST, WORDS = 3, 50
+#: A word of the contracts.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def _ordered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -39,54 +43,71 @@ def _ordered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
 
 
 def _ranked(pairs: DataFrame) -> DataFrame:
-    """Places (at, left, x, y) whose pair (x, y) occurs twice or more, with rank, its first place."""
+    """Places (at, left, w, x, y) whose pair (x, y) occurs twice or more, with rank, its first place."""
     first = pairs.groupBy("x", "y").agg(F.min("at").alias("rank"), F.count("*").alias("c")).where("c > 1")
-    return written(pairs.join(first.drop("c"), ["x", "y"]).select("at", "left", "rank"), "line-ranks")
+    return written(spread_join(pairs, first.drop("c"), ["x", "y"]).select("at", "left", "w", "rank"), "line-ranks")
 
 
 def _paired(ranks: DataFrame, step: int) -> DataFrame:
-    """Pairs of the ranks of a place and of the place ``step`` lines on in the same row."""
-    on = ranks.select((F.col("at") - step).alias("at"), F.col("rank").alias("y"))
-    return ranks.where(F.col("left") > step).withColumnRenamed("rank", "x").join(on, "at").select("at", "left", "x", "y")
+    """Pairs of the ranks of a place and of the place ``step`` lines on in the same row.
+
+    ``w`` adds up; at the last step, where the two may overlap, it only tells whether there is a word.
+    """
+    on = ranks.select((F.col("at") - step).alias("at"), F.col("rank").alias("y"), F.col("w").alias("v"))
+    here = ranks.where(F.col("left") > step).withColumnRenamed("rank", "x")
+    return here.join(on, "at").select("at", "left", (F.col("w") + F.col("v")).alias("w"), "x", "y")
+
+
+def _later(ranks: DataFrame, size: int, words: int) -> DataFrame:
+    """(at, size) of the runs of ``size`` lines and ``words`` words that have an earlier copy beside them."""
+    return ranks.where((F.col("rank") + size <= F.col("at")) & (F.col("w") >= words)).select(
+        "at", F.lit(size).cast("long").alias("size"))
 
 
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  least: int = LEAST) -> tuple[DataFrame, DataFrame]:
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST,
+                  words: int = WORDS) -> tuple[DataFrame, DataFrame]:
     """Rows (uid, id, text) and their later copies (uid, first, size): maximal runs of lines that go."""
     rows, based = _ordered(docs, id_col, text_col)
     based = written(based, "line-bases")
-    # A row shorter than a run can't hold one, and neither can its lines pair up.
+    # A row of fewer lines than a run and fewer letters than so many words can't hold either.
     parts = F.split("text", "\n")
-    lines = rows.where(F.size(parts) >= least).select("uid", F.posexplode(parts).alias("i", "line")).select(
-        "uid", "i", F.xxhash64("line").alias("x"), F.xxhash64(F.lit(1), "line").alias("y"))
+    able = rows.where((F.size(parts) >= least) | (F.length("text") >= 2 * words - 1))
+    lines = able.select("uid", F.posexplode(parts).alias("i", "line")).select(
+        "uid", "i", F.regexp_count("line", F.lit(WORD)).cast("long").alias("w"),
+        F.xxhash64("line").alias("x"), F.xxhash64(F.lit(1), "line").alias("y"))
     places = written(lines.join(based, "uid").select(
-        "uid", "i", (F.col("base") + F.col("i")).alias("at"), (F.col("n") - F.col("i")).alias("left"), "x", "y"),
+        "uid", "i", (F.col("base") + F.col("i")).alias("at"), (F.col("n") - F.col("i")).alias("left"), "w", "x", "y"),
         "line-places")
-    ranks, size = _ranked(places.select("at", "left", "x", "y")), 1
-    while size < least:
+    ranks, size, copies = _ranked(places.drop("uid", "i")), 1, None
+    while True:
+        found = _later(ranks, size, words if size < least else 1)
+        copies = found if copies is None else copies.unionByName(found)
+        if size >= least:
+            break
         step = min(size, least - size)
         ranks, size = _ranked(_paired(ranks, step)), size + step
-    copies = ranks.where(F.col("rank") + least <= F.col("at")).select("at")
-    return rows, _joined(places.select("uid", "i", "at").join(copies, "at"), least)
+    return rows, _joined(places.select("uid", "i", "at").join(copies, "at"))
 
 
-def _joined(found: DataFrame, least: int) -> DataFrame:
-    """(uid, first, size) of maximal runs from the starts (uid, i) of runs of ``least`` lines."""
-    line = Window.partitionBy("uid").orderBy("i")
-    fresh = F.coalesce((F.col("i") - F.lag("i").over(line) > least).cast("int"), F.lit(0))
+def _joined(found: DataFrame) -> DataFrame:
+    """(uid, first, size) of maximal runs from runs (uid, i, size) of lines that touch or overlap."""
+    line = Window.partitionBy("uid").orderBy("i", "size")
+    end = F.max(F.col("i") + F.col("size")).over(line.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.coalesce((F.col("i") > end).cast("int"), F.lit(0))
     run = found.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(line))
-    return run.groupBy("uid", "run").agg(F.min("i").cast("long").alias("first"), F.max("i").alias("last")).select(
-        "uid", "first", (F.col("last") - F.col("first") + least).alias("size"))
+    return run.groupBy("uid", "run").agg(
+        F.min("i").cast("long").alias("first"), F.max(F.col("i") + F.col("size")).alias("stop")).select(
+        "uid", "first", (F.col("stop") - F.col("first")).alias("size"))
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                        least: int = LEAST) -> DataFrame:
+                        least: int = LEAST, words: int = WORDS) -> DataFrame:
     """(doc_id, n_lines, n_removed, n_runs, kept) of every row; ``kept`` is the text without later copies.
 
-    Lines end at a newline and blank ones count; null is one empty line, as is the empty text; of repeated
+    Lines end at a newline; blank ones count, but a run of blank ones alone stays; null is one empty line, as is the empty text; of repeated
     rows all but the first lose their runs; an empty table gives an empty result.
     """
-    rows, runs = repeated_runs(docs, id_col, text_col, least)
+    rows, runs = repeated_runs(docs, id_col, text_col, least, words)
     runs = runs.groupBy("uid").agg(F.sum("size").alias("n_removed"), F.count("*").alias("n_runs"),
                                    F.sort_array(F.collect_list(F.struct("first", "size"))).alias("runs"))
     lines = F.split("text", "\n")
@@ -102,5 +123,6 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def line_report(docs: DataFrame) -> DataFrame:
+    """The lines of every row, with the digest of what stays; see :func:`drop_repeated_lines`."""
     return drop_repeated_lines(docs).select(
         "doc_id", "n_lines", "n_removed", "n_runs", F.sha2("kept", 256).alias("kept_sha256"))

@@ -78,13 +78,17 @@ _add("op6_weighted_minhash", lambda spark, d: near_dedup.near_dedup(documents(sp
 
 _add("op8_prefix_doubling", lambda spark, d: substrings.repeated_report(documents(spark, d)))
 
-_add("op3_line_runs", lambda spark, d: lines.line_report(documents(spark, d)), """
+_add("op3_line_runs", lambda spark, d: lines.line_report(documents(spark, d)), r"""
 WITH l AS (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) - 1 AS i, len(parts) AS n
   FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)),
-w AS (SELECT *, row_number() OVER (ORDER BY doc_id, i) AS place, lead(line, 1) OVER o AS l1, lead(line, 2) OVER o AS l2
-  FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
-k AS (SELECT *, i + 3 <= n AND min(place) OVER (PARTITION BY line, l1, l2, i + 3 <= n) + 3 <= place AS later FROM w),
-g AS (SELECT *, later OR coalesce(lag(later, 1) OVER o, FALSE) OR coalesce(lag(later, 2) OVER o, FALSE) AS gone
+w AS (SELECT *, row_number() OVER (ORDER BY doc_id, i) AS place, lead(line, 1) OVER o AS l1, lead(line, 2) OVER o AS l2,
+  len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+v AS (SELECT *, lead(w, 1) OVER o AS w1, lead(w, 2) OVER o AS w2 FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+k AS (SELECT *, w >= 50 AND min(place) OVER (PARTITION BY line) + 1 <= place AS c1,
+  i + 2 <= n AND w + w1 >= 50 AND min(place) OVER (PARTITION BY line, l1, i + 2 <= n) + 2 <= place AS c2,
+  i + 3 <= n AND w + w1 + w2 > 0 AND min(place) OVER (PARTITION BY line, l1, l2, i + 3 <= n) + 3 <= place AS c3
+  FROM v),
+g AS (SELECT *, c1 OR c2 OR c3 OR coalesce(lag(c2 OR c3, 1) OVER o, FALSE) OR coalesce(lag(c3, 2) OVER o, FALSE) AS gone
   FROM k WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
 h AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), FALSE) AS fresh FROM g)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, count(*) FILTER (fresh) AS n_runs,

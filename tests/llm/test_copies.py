@@ -84,16 +84,18 @@ def test_repeated_strings_of_the_corpus(corpus):
     assert ordered(substrings.repeated_report(docs).collect()) == _removed(rows)
 
 
-def _line_runs(rows, least=3):
+def _line_runs(rows, least=3, words=50):
     first, base, out = {}, 0, []
     for i, t in rows:
         parts, gone = (t or "").split("\n"), set()
-        for k in range(len(parts) - least + 1):
-            run = tuple(parts[k:k + least])
-            if run not in first:
-                first[run] = base + k
-            elif first[run] + least <= base + k:
-                gone.update(range(k, k + least))
+        count = [len(re.findall(r"[^\x20\x09-\x0D]+", p)) for p in parts]
+        for size in (1, 2, least):
+            for k in range(len(parts) - size + 1):
+                run = tuple(parts[k:k + size])
+                if run not in first:
+                    first[run] = base + k
+                elif first[run] + size <= base + k and sum(count[k:k + size]) >= (words if size < least else 1):
+                    gone.update(range(k, k + size))
         base += len(parts)
         kept = "\n".join(x for k, x in enumerate(parts) if k not in gone)
         out.append((i, len(parts), len(gone), sum(k - 1 not in gone for k in gone),
@@ -114,6 +116,15 @@ def test_line_runs_of_repeated_rows_and_long_texts(spark):
     assert ordered(lines.line_report(table(spark, rows)).collect()) == _line_runs(rows)
 
 
+def test_repeated_passages_on_one_or_two_lines_go(spark):
+    whole, half = " ".join(f"w{i}" for i in range(50)), " ".join(f"w{i}" for i in range(25))
+    rows = [(1, whole), (2, whole), (3, f"own\n{whole}\nlast"), (4, whole[:-4]), (5, whole[:-4]), (6, f"{half}\n{half}"),
+            (7, f"{half}\n{half}\nmore"), (8, f"{half}\n\n{half}"), (9, f"{whole}\n{whole}"), (10, "\n" * 6 + "x\n\n")]
+    got = lines.line_report(table(spark, rows)).collect()
+    assert ordered(got) == _line_runs(rows)
+    assert {r.doc_id: r.n_removed for r in got if r.n_removed} == {2: 1, 3: 1, 7: 2, 9: 2}
+
+
 def _shingles(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     return Counter(tuple(words[k:k + 5]) for k in range(max(1, len(words) - 4))) if words else Counter()
