@@ -4,12 +4,16 @@ Documents are tokenized once and dealt out by a minhash of their tokens, so that
 ranges that split at any document. A task cuts its range into shards of bounded size and builds a
 BM25 inverted index of each; document frequencies and the mean length come from the whole corpus. A
 seed document opens a window; the unused documents of the shard that score highest against the seed's
-heaviest terms fill it, the last one cut at the window's end; what is left of it is the next seed.
+heaviest terms fill it, then those against its other terms, the last one cut at the window's end; what is
+left of it is the next seed. Only a window whose seed shares no term with an unused document goes on with the
+next document in line.
 Only the end of a task's range leaves a window short; it is cut into lengths that are powers of two.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -29,8 +33,8 @@ from cardwatch.llm.common import in_batches, quoted, text_of, written
 from cardwatch.llm.fragments import chunks
 
 WINDOW = 2048
-#: Bounds of a shard, terms of a seed that are searched, neighbours taken from one search.
-SHARD_TOKENS, SHARD_DOCS, QUERY_TERMS, NEIGHBOURS = 2_000_000, 8192, 24, 16
+#: Bounds of a shard, terms of a seed that are searched before the others, tokens of a task's range.
+SHARD_TOKENS, SHARD_DOCS, QUERY_TERMS, RANGE_TOKENS = 2_000_000, 8192, 24, 64_000_000
 #: The usual constants of BM25.
 K1, B = 1.2, 0.75
 
@@ -91,38 +95,48 @@ def document_frequency(tokens: DataFrame, size: int) -> np.ndarray:
 
 
 class Index:
-    """BM25 inverted index of a shard's documents."""
+    """BM25 inverted index of the documents of a shard that ``numbers`` names."""
 
-    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
-        n = len(docs)
-        size = np.array([len(d) for d in docs])
+    def __init__(self, docs: list[np.ndarray], numbers: np.ndarray, idf: np.ndarray, mean: float):
+        self.numbers, self.idf, self.mean, n = numbers, idf, mean, len(numbers)
+        held = [docs[k] for k in numbers.tolist()]
+        size = np.array([len(d) for d in held])
         who = np.repeat(np.arange(n, dtype=np.uint64), size)
-        key = np.sort(np.concatenate(docs).astype(np.uint64) * np.uint64(n) + who)
+        key = np.sort(np.concatenate(held).astype(np.uint64) * np.uint64(n) + who)
         new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         tf = np.diff(np.append(new, len(key)))
         key = key[new]
         term, self.doc = (key // np.uint64(n)).astype(np.int64), (key % np.uint64(n)).astype(np.int64)
-        self.weight = (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[self.doc] / mean))).astype(np.float32)
+        self.weight = self.weights(term, tf, size[self.doc])
         self.first = np.searchsorted(term, np.arange(len(idf) + 1))
-        self.term = term
-        by_doc = np.argsort(self.doc, kind="stable")
-        self.of, self.begin = by_doc, np.searchsorted(self.doc[by_doc], np.arange(n + 1))
-        self.n = n
-
-    def neighbours(self, seed: int, unused: np.ndarray) -> list[int]:
-        """Unused documents that share the seed's heaviest terms, the best first, ties by place."""
-        own = self.of[self.begin[seed]:self.begin[seed + 1]]
-        if len(own) > QUERY_TERMS:
-            own = own[np.argpartition(-self.weight[own], QUERY_TERMS)[:QUERY_TERMS]]
-        terms = self.term[own]
-        runs = list(zip(self.first[terms].tolist(), self.first[terms + 1].tolist(), strict=True))
-        doc = np.concatenate([self.doc[a:b] for a, b in runs])
-        weight = np.concatenate([self.weight[a:b] for a, b in runs])
-        score = np.bincount(doc, weight, self.n) * unused
-        found = np.flatnonzero(score > 0)
-        if len(found) > NEIGHBOURS:
-            found = found[np.argpartition(-score[found], NEIGHBOURS)[:NEIGHBOURS]]
-        return found[np.lexsort((found, -score[found]))].tolist()
+
+    def weights(self, term: np.ndarray, tf: np.ndarray, size) -> np.ndarray:
+        return (self.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / self.mean))).astype(np.float32)
+
+    def neighbours(self, seed: np.ndarray, unused: np.ndarray) -> Iterator[int]:
+        """All unused documents that share a term with ``seed``, for a caller that uses each before the next.
+
+        Those that share its heaviest terms (ties to the lower id) come by their score against these, then the
+        rest by their score against its other terms; equal scores by number.
+        """
+        term, tf = np.unique(seed, return_counts=True)
+        by_weight = np.argsort(-self.weights(term, tf, len(seed)), kind="stable")
+        for part in (by_weight[:QUERY_TERMS], by_weight[QUERY_TERMS:]):
+            runs = [slice(a, b) for a, b in zip(self.first[term[part]], self.first[term[part] + 1], strict=True)]
+            if not runs:
+                return
+            score = np.bincount(np.concatenate([self.doc[r] for r in runs]),
+                                np.concatenate([self.weight[r] for r in runs]), len(self.numbers))
+            score = score * unused[self.numbers]
+            left, take = np.flatnonzero(score), 16
+            while len(left):
+                if len(left) > take:  # all at or above the score of the place ``take``
+                    bound = -np.partition(-score[left], take)[take]
+                    best, left = left[score[left] >= bound], left[score[left] < bound]
+                else:
+                    best, left = left, left[:0]
+                yield from self.numbers[best[np.lexsort((best, -score[best]))]].tolist()
+                take *= 4
 
 
 class Windows:
@@ -164,9 +178,12 @@ class Windows:
 
 
 def fill_windows(docs: list[np.ndarray], first: int, windows: Windows, idf: np.ndarray, mean: float) -> None:
-    """Place all documents of a shard; ``first`` is the number of its first document."""
-    index = Index(docs, idf, mean)
+    """Place all documents of a shard; ``first`` is the number of its first document.
+
+    The index is built again whenever over half of its documents are used.
+    """
     unused = np.ones(len(docs))
+    index, live = Index(docs, np.arange(len(docs)), idf, mean), len(docs)
     following, seed = 0, None
     while True:
         if seed is None:
@@ -174,14 +191,16 @@ def fill_windows(docs: list[np.ndarray], first: int, windows: Windows, idf: np.n
                 following += 1
             if following == len(docs):
                 return
-            seed, unused[following] = following, 0
+            seed, unused[following], live = following, 0, live - 1
             windows.place(first + seed, len(docs[seed]))
-        if not windows.fill:
+        if not windows.fill or not live:
             seed = None
             continue
+        if 2 * live < len(index.numbers):
+            index = Index(docs, np.flatnonzero(unused), idf, mean)
         opened, after = windows.sequence, None
-        for doc in index.neighbours(seed, unused):
-            unused[doc] = 0
+        for doc in index.neighbours(docs[seed], unused):
+            unused[doc], live = 0, live - 1
             windows.place(first + doc, len(docs[doc]))
             if windows.sequence != opened:  # the window is full; what is left of doc opened the next
                 after = doc
@@ -247,7 +266,10 @@ def pack(docs: DataFrame, path: str, end_id: int, window: int = WINDOW, id_col:
             yield from close()
         yield from out(windows.finish())
 
-    near = tokens.repartitionByRange("near", "uid").sortWithinPartitions("near", "uid")
+    # As many ranges as the session's shuffles have, or more if a range would outgrow its task.
+    ranges = -(-(total.tokens or 0) // RANGE_TOKENS)
+    many = [ranges] if ranges > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) else []
+    near = tokens.repartitionByRange(*many, "near", "uid").sortWithinPartitions("near", "uid")
     return in_batches(near.select("doc_id", "ids"), run, schema)
 
 

@@ -102,11 +102,13 @@ def _check_pieces(pieces, rows, window=2048):
         assert [p.offset for p in parts] == np.cumsum([0, *[p.length for p in parts[:-1]]]).tolist()
         total = sum(p.length for p in parts)
         assert total == window or (total < window and total & (total - 1) == 0)
-    unique = {i for i, _ in rows if [j for j, _ in rows].count(i) == 1}
-    for i in unique:
+    texts = defaultdict(list)
+    for i, t in rows:
+        texts[i].append(t or "")
+    for i in [i for i, of in texts.items() if len(of) == 1]:
         parts = sorted(by_doc[i], key=lambda p: p.start)
         ids = np.concatenate([np.frombuffer(p.ids, "<u4") for p in parts]).tolist()
-        assert ids in want and len(ids) == parts[0].doc_tokens
+        assert ids == [*lib.encode(texts[i][0], add_special_tokens=False).ids, 1] and len(ids) == parts[0].doc_tokens
         assert [p.start for p in parts] == np.cumsum([0, *[p.length for p in parts[:-1]]]).tolist()
     assert sum(p.length for p in pieces) == sum(map(len, want))
 
@@ -121,16 +123,63 @@ def test_packing_of_edge_rows(edge, empty):
     assert packing.pack(empty, BYTE, 1).count() == 0
 
 
+def _idf(docs, size):
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=size)
+    return np.log1p((len(docs) - df + .5) / (df + .5)).astype(np.float32)
+
+
 def test_neighbours_rank_by_shared_rare_terms():
     docs = [np.array(d) for d in ([1, 2, 3, 9], [1, 2, 5, 9], [1, 6, 7, 8], [4, 4, 4], [2, 3, 9, 9])]
-    idf = np.log1p((5 - np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=10) + .5) /
-                   (np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=10) + .5))
-    index = packing.Index(docs, idf, 4.0)
-    unused = np.ones(5)
-    unused[0] = 0
-    found = index.neighbours(0, unused)
-    assert found[0] == 4 and 3 not in found
-    assert set(found) == {1, 2, 4}
+    index = packing.Index(docs, np.arange(5), _idf(docs, 10), 4.0)
+    found = list(index.neighbours(docs[0], np.array([0.0, 1, 1, 1, 1])))
+    assert found[0] == 4 and sorted(found) == [1, 2, 4]
+
+
+def _filled(docs, idf, mean, window):
+    """The order in which documents are placed, by scoring every document anew against the seed."""
+    def weights(d):
+        term, tf = np.unique(d, return_counts=True)
+        w = idf[term] * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(d) / mean))
+        return dict(zip(term.tolist(), w.astype(np.float32).tolist(), strict=True))
+
+    weight, free, order, fill, seed = [weights(d) for d in docs], list(range(len(docs))), [], 0, None
+
+    def place(k):
+        nonlocal fill
+        free.remove(k)
+        order.append(k)
+        full, fill = divmod(fill + len(docs[k]), window)
+        return full > 0
+
+    while free:
+        if seed is None:
+            seed = free[0]
+            place(seed)
+        if not fill:
+            seed = None
+            continue
+        terms, after = sorted(weight[seed], key=lambda t: (-weight[seed][t], t)), None
+        for part in (terms[:packing.QUERY_TERMS], terms[packing.QUERY_TERMS:]):
+            score = {k: sum(weight[k].get(t, 0.0) for t in part) for k in free}
+            for k in sorted((k for k in score if score[k] > 0), key=lambda k: (-score[k], k)):
+                if place(k):
+                    after = k
+                    break
+            if after is not None:
+                break
+        seed = after
+    return order
+
+
+@pytest.mark.parametrize("window", [64, 512, 2048])
+def test_windows_are_filled_as_by_scoring_every_document(corpus, window):
+    lib = Tokenizer.from_file(BYTE)
+    docs = [np.array([*lib.encode(t or "", add_special_tokens=False).ids[:300], 1]) for _, t in corpus[1][:150]]
+    docs += [np.array([k, 1]) for k in range(2, 40)] + [np.full(64, 50), np.array([50])]
+    idf, mean = _idf(docs, 50_400), float(np.mean([len(d) for d in docs]))
+    windows = packing.Windows(window)
+    packing.fill_windows(docs, 0, windows, idf, mean)
+    assert list(dict.fromkeys(p[0] for p in windows.pieces)) == _filled(docs, idf, mean, window)
 
 
 def _thue_morse(one, other, turns):
