@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
+from cardwatch.catalog import monitoring  # noqa: F401  its SQL is used here
 from cardwatch.catalog.base import ORACLE, SCORED_CTE, TXN_CTE, query, with_scored, with_txn
 from cardwatch.catalog.risk import CFG, DECISION_SQL, _join, _joined
 from cardwatch.functions import risk
+from cardwatch.operators import monitor, split
 from cardwatch.sources import payload, schemas
 from cardwatch.sources.binding import EVENT_SCHEMA, TRANSACTION_RULES, scored, shape_events
 from cardwatch.session import scratch_path
 from cardwatch.streaming import jobs, sinks
+from cardwatch.streaming.recent import RecentRows
 from cardwatch.streaming.state import FATE, card_history
 
 _ID = "TransactionID"
@@ -279,3 +282,30 @@ def sinks_once(spark, d):
                 raise
     return sinks.read_topic(spark, f"{path}/fraud", log, "fraud").select("key", F.lit("fraud").alias("sink")).unionByName(
         sinks.read_topic(spark, f"{path}/legit", log, "legit").select("key", F.lit("legit").alias("sink")))
+
+
+def _recent(spark, d, n):
+    """What the stream's buffer of recent predictions holds when all of the table has passed."""
+    made = risk.simple_decision(F.col("fraud_probability"), CFG.model.base_threshold)
+    rows = events_stream(spark, d).select(
+        _ID, "t_us", "TransactionAmt", "fraud_probability",
+        F.when(made["decision"] == "FRAUD", "FRAUD").otherwise("LEGIT").alias("type"))
+    buffer = RecentRows(scratch_path(spark, "recent"), n, monitor.ARRIVAL, by="type")
+    jobs.run_each(rows, buffer, "recent-run")
+    return buffer.read(spark, rows.schema)
+
+
+@query("stream_recent_n", ORACLE["recent_n"])
+def stream_recent_n(spark, d):
+    return split.recent_n(_recent(spark, d, 1000), 1000, monitor.ARRIVAL).select(_ID, "t_us", "type")
+
+
+@query("stream_rolling_fraud_rate", ORACLE["rolling_fraud_rate"])
+def stream_rolling_fraud_rate(spark, d):
+    return monitor.rolling_fraud_rate(_recent(spark, d, 100))
+
+
+@query("stream_recent_window_stats", ORACLE["recent_window_stats"])
+def stream_recent_window_stats(spark, d):
+    return monitor.recent_window_stats(_recent(spark, d, 60)).withColumns({
+        c: F.round(c, 6) for c in ("avg_fraud_probability", "avg_amount")})

@@ -32,6 +32,12 @@ def remove(spark: SparkSession, path: str) -> None:
     files.delete(at, True)
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; none if it isn't there."""
+    files, at = _place(spark, path)
+    return [f.getPath().getName() for f in files.listStatus(at)] if files.exists(at) else []
+
+
 def mark(spark: SparkSession, path: str) -> None:
     """Leave an empty record; a name appears whole or not at all."""
     files, at = _place(spark, path)
