@@ -51,7 +51,11 @@ def joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class RangeHash:
-    """64-bit hashes of ranges of a buffer: equal bytes give equal hashes, wherever they stand."""
+    """64-bit hashes of ranges of a buffer: equal bytes give equal hashes, wherever they stand.
+
+    The sums are modulo 2^64, for which long different texts with equal hashes can be written down (``PrimeHash``
+    has none such); this is for short ranges, and for places where a clash only costs work or a feature.
+    """
 
     def __init__(self, size: int = BLOCK):
         self.grow(size)
@@ -71,6 +75,60 @@ class RangeHash:
         return h ^ (h >> np.uint64(32))
 
 
+_PRIME, _BITS = (1 << 31) - 1, np.uint64(31)
+_BASES = (0x2545F491, 0x5851F42D)
+
+
+def _prime_powers(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers of ``base`` modulo the prime, at most twice as long a run at a time."""
+    out, have = np.ones(max(n, 1), np.uint64), 1
+    while have < n:
+        more = min(have, n - have)
+        out[have:have + more] = out[:more] * np.uint64(pow(base, have, _PRIME)) % np.uint64(_PRIME)
+        have += more
+    return out
+
+
+def _residue(x: np.ndarray) -> np.ndarray:
+    """``x`` modulo the prime 2^31 - 1, by adding up its digits of 31 bits."""
+    for _ in range(3):
+        x = (x & np.uint64(_PRIME)) + (x >> _BITS)
+    return np.where(x == _PRIME, np.uint64(0), x)
+
+
+class PrimeHash:
+    """Hashes of ranges like ``RangeHash``, from two sums over powers of two bases modulo a prime of 31 bits.
+
+    Two different ranges of L bytes agree for at most L of the 2^31 choices of either base, so with a chance of
+    at most (L / 2^31)^2; the bases are fixed, as tasks have to agree, and know nothing of the texts.
+    """
+
+    #: Bytes whose products with powers can be added up in 64 bits.
+    SAFE = 1 << 24
+
+    def __init__(self, size: int = BLOCK):
+        self.grow(size)
+
+    def grow(self, size: int) -> None:
+        self.power = [_prime_powers(b, size) for b in _BASES]
+        self.inverse = [_prime_powers(pow(b, -1, _PRIME), size).astype(np.uint32) for b in _BASES]
+
+    def __call__(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        if len(raw) > len(self.power[0]):
+            self.grow(len(raw))
+        value = raw.astype(np.uint64) + np.uint64(1)
+        first = np.minimum(start, len(self.inverse[0]) - 1)
+        h = np.zeros(len(start), np.uint64)
+        for power, inverse in zip(self.power, self.inverse, strict=True):
+            terms = value * power[:len(raw)]
+            total = np.zeros(len(raw) + 1, np.uint64)
+            np.cumsum(terms if len(raw) <= self.SAFE else _residue(terms), out=total[1:])
+            part = _residue(_residue(total[end] - total[start]) * inverse[first].astype(np.uint64))
+            h = h << _BITS | part
+        h = (h ^ (h >> np.uint64(29))) * _MIX + (end - start).astype(np.uint64) * _STEP
+        return h ^ (h >> np.uint64(32))
+
+
 class FragmentIds:
     def __init__(self, encode: Callable[[list[bytes]], list[list[int]]]):
         self.encode = encode

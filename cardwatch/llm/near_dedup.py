@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from cardwatch.llm.common import SPACE, in_batches, quoted, text_of, written
-from cardwatch.llm.fragments import RangeHash, chunks, joined
+from cardwatch.llm.fragments import PrimeHash, chunks, joined
 from cardwatch.llm.graph import components
 from cardwatch.llm.words import in_text, per_text, windows, word_ranges
 
@@ -43,7 +43,7 @@ class Shingles:
     """Shingles of many texts: places by text, distinct hashes, weights."""
 
     def __init__(self, idf: np.ndarray):
-        self.idf, self.hash = idf.astype(np.float32), RangeHash()
+        self.idf, self.hash = idf.astype(np.float32), PrimeHash()
 
     def __call__(self, raw, ends):
         """(hash, weight, first): distinct shingles, sorted by hash within each text.
@@ -126,7 +126,7 @@ def word_weights(docs: DataFrame) -> np.ndarray:
     schema = StructType([StructField("word", IntegerType()), StructField("df", LongType())])
 
     def run(batches):
-        df, last, hashes = np.zeros(WORDS, np.int64), np.zeros(WORDS, np.int64), RangeHash()
+        df, last, hashes = np.zeros(WORDS, np.int64), np.zeros(WORDS, np.int64), PrimeHash()
         total = 0
         for part in chunks(batches, "text"):
             raw, ends = joined(part["text"])

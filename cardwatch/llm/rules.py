@@ -16,9 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from cardwatch.llm.common import in_batches, quoted, text_of, written
-from cardwatch.llm.fragments import RangeHash, chunks, joined
-from cardwatch.llm.words import again, in_text, line_ranges, per_text, windows, word_ranges
+from cardwatch.llm.common import in_batches, quoted, spread_join, text_of, written
+from cardwatch.llm.fragments import PrimeHash, chunks, joined
+from cardwatch.llm.words import again, in_text, line_ranges, per_text, told_apart, windows, word_ranges
 
 #: Words of a repeated window; base limits: least words, largest share (per cent) of repeated words.
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
@@ -43,8 +43,9 @@ _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
 
 
-def counts(raw: np.ndarray, ends: np.ndarray, hashes: RangeHash) -> dict[str, np.ndarray]:
-    """The counts of each text of a buffer."""
+def counts(raw: np.ndarray, ends: np.ndarray, hashes: PrimeHash) -> dict[str, np.ndarray]:
+    """The counts of each text of a buffer. Lines and words are equal by their bytes; windows of words by 64 bits
+    that mix the keys of their words."""
     n = len(ends) - 1
     start, stop = word_ranges(raw, ends)
     first = np.searchsorted(start, ends)
@@ -60,8 +61,9 @@ def counts(raw: np.ndarray, ends: np.ndarray, hashes: RangeHash) -> dict[str, np
     worded = np.searchsorted(start, line_b) > np.searchsorted(start, line_a)
     line_a, line_b = line_a[worded], line_b[worded]
     line_text = np.searchsorted(ends, line_a, "right") - 1
-    later, _ = again(in_text(hashes(raw, line_a, line_b), line_text))
-    run = windows(hashes(raw, start, stop), WINDOW)
+    later, _ = again(in_text(told_apart(raw, line_a, line_b, hashes(raw, line_a, line_b)), line_text))
+    word = told_apart(raw, start, stop, hashes(raw, start, stop))
+    run = windows(word, WINDOW)
     place = np.flatnonzero(text[:len(run)] == text[WINDOW - 1:]) if len(run) else np.zeros(0, np.int64)
     _, twice = again(in_text(run[place], text[place]))
     cover = np.zeros(len(start) + 1, np.int64)
@@ -82,7 +84,7 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     schema = StructType([*slim.drop(text_col).schema, *[StructField(c, LongType()) for c in COUNTS]])
 
     def run(batches):
-        hashes = RangeHash(1 << 21)
+        hashes = PrimeHash(1 << 21)
         for part in chunks(batches, text_col):
             raw, ends = joined(part[text_col])
             found = counts(raw, ends, hashes)
@@ -137,7 +139,8 @@ def _distances(rows: DataFrame, estimate: DataFrame) -> DataFrame:
     total = squares[0]
     for s in squares[1:]:
         total = total + s
-    return rows.join(estimate, "cell").withColumn("d2", total).drop("mean", "inverse")
+    # The corpus's cell has every row: the join is one that adaptive execution can split.
+    return spread_join(rows, estimate, ["cell"]).withColumn("d2", total).drop("mean", "inverse")
 
 
 def estimates(rows: DataFrame, keys: list[DataFrame]) -> DataFrame:
@@ -153,7 +156,7 @@ def estimates(rows: DataFrame, keys: list[DataFrame]) -> DataFrame:
     for step in range(STEPS):
         far = _distances(rows, now)
         limit = far.groupBy("cell").agg(F.count("*").alias("n"), F.percentile_approx("d2", [0.5, COVER], 1000).alias("q"))
-        near = far.join(limit, "cell").where(F.col("d2") <= F.col("q")[1])
+        near = spread_join(far, limit, ["cell"]).where(F.col("d2") <= F.col("q")[1])
         pairs = [F.covar_pop(a, b) for a in names for b in names]
         # The last step scales the covariance so that the median distance is that of a normal cell; the
         # scale of a few documents says as little as their covariance.

@@ -1,4 +1,4 @@
-"""Repeated byte strings by distributed prefix doubling over anchored positions.
+"""Repeated byte strings by ranks of anchored positions: one round of doubling, then single strings.
 
 Every byte covered by a string of ``LENGTH`` bytes that also starts elsewhere is removed. Sorting all
 positions would shuffle many times the input, so positions are thinned by a rule on the text itself:
@@ -13,8 +13,8 @@ surroundings, which reach past the threshold of LENGTH for every start: an ancho
 isn't unique is covered. Only where pairs differ within a core are single strings ranked and counted,
 with one member for each equal pair. Texts that are equal are one text with a multiplicity.
 
-Ranks are 64-bit hashes, so two different strings of a corpus can fall together with a chance of about
-pairs / 2^64; in the first round that only costs work.
+Ranks are hashes modulo two primes of 31 bits, so two different strings of a corpus fall together with a chance of
+about 1 in 2^62, at most (LENGTH / 2^31)^2, for each pair; in the first round that only costs work.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from cardwatch.llm.common import in_batches, quoted, release, text_of, written
-from cardwatch.llm.fragments import RangeHash, chunks, joined
+from cardwatch.llm.fragments import PrimeHash, chunks, joined
 from cardwatch.llm.words import in_text
 
 #: SPAN can be up to (LENGTH + 3 - GRAM) // 3, so that every string has a certain anchor.
@@ -62,7 +62,7 @@ def anchors(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return place, np.searchsorted(ends, place, "right") - 1
 
 
-def described(raw: np.ndarray, ends: np.ndarray, hashes: RangeHash) -> dict[str, np.ndarray]:
+def described(raw: np.ndarray, ends: np.ndarray, hashes: PrimeHash) -> dict[str, np.ndarray]:
     """Of each anchor with strings: its text, the first start and the number of starts (packed, 8 bits
     for the number), and the hashes of its core and its surroundings."""
     place, text = anchors(raw, ends)
@@ -87,7 +87,7 @@ def _described(docs: DataFrame, full: bool) -> DataFrame:
     schema = StructType([StructField(c, LongType()) for c in names])
 
     def run(batches):
-        hashes = RangeHash(1 << 21)
+        hashes = PrimeHash(1 << 21)
         for part in chunks(batches, "text"):
             raw, ends = joined(part["text"])
             d = described(raw, ends, hashes)
@@ -134,7 +134,7 @@ def _strings(texts: DataFrame) -> DataFrame:
     schema = StructType([StructField("w", LongType()), StructField("at", LongType())])
 
     def run(batches):
-        hashes = RangeHash(1 << 18)
+        hashes = PrimeHash(1 << 18)
         for batch in batches:
             for k in range(batch.num_rows):
                 raw = np.frombuffer(batch["text"][k].as_buffer(), np.uint8)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from cardwatch.llm.fragments import RangeHash
+from cardwatch.llm.fragments import PrimeHash
 
 BLANK = np.zeros(256, bool)
 BLANK[[*range(9, 14), 32]] = True
@@ -63,9 +63,39 @@ def again(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return later, np.unique(np.concatenate([later, order[:-1][same]]))
 
 
+def _alike(raw: np.ndarray, start: np.ndarray, stop: np.ndarray, a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the ranges ``a`` have the bytes of the ranges ``b``, pair by pair; a bounded number of bytes at a time."""
+    size = stop[a] - start[a]
+    if not np.array_equal(size, stop[b] - start[b]):
+        return False
+    ends, first = np.cumsum(size), 0
+    while first < len(a):
+        base = ends[first] - size[first]
+        last = max(first + 1, int(np.searchsorted(ends, base + (1 << 20), "right")))
+        n = size[first:last]
+        step = np.arange(n.sum()) - np.repeat(ends[first:last] - n - base, n)
+        if not np.array_equal(raw[np.repeat(start[a[first:last]], n) + step], raw[np.repeat(start[b[first:last]], n) + step]):
+            return False
+        first = last
+    return True
+
+
+def told_apart(raw: np.ndarray, start: np.ndarray, stop: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Keys of the ranges that are equal only for equal bytes: their hashes, or, should any two clash, numbers."""
+    order = np.argsort(hashes, kind="stable")
+    same = np.flatnonzero(hashes[order][1:] == hashes[order][:-1])
+    if _alike(raw, start, stop, order[same], order[same + 1]):
+        return hashes
+    whole, seen = raw.tobytes(), {}
+    return np.fromiter((seen.setdefault(whole[a:b], len(seen)) for a, b in zip(
+        start.tolist(), stop.tolist(), strict=True)), np.uint64, len(start))
+
+
 def in_text(hashes: np.ndarray, text: np.ndarray) -> np.ndarray:
     """Keys that are equal only for equal hashes of one text."""
     return hashes + text.astype(np.uint64) * _MIX[-2]
 
 
-__all__ = ["BLANK", "RangeHash", "again", "in_text", "inside", "line_ranges", "per_text", "windows", "word_ranges"]
+__all__ = [
+    "BLANK", "PrimeHash", "again", "in_text", "inside", "line_ranges", "per_text", "told_apart", "windows",
+    "word_ranges"]

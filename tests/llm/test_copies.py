@@ -234,3 +234,15 @@ def test_components_of_a_chain_and_a_star(spark):
     names = {r.node: r.component for r in got.collect()}
     assert {names[k] for k in range(41)} == {0} and {names[k] for k in range(100, 140)} == {100}
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_texts_whose_sums_modulo_a_power_of_two_collide_are_no_copies(spark):
+    """Thue-Morse words of any two letters have equal sums over powers modulo 2^64."""
+    rows = []
+    for k, (one, other) in enumerate([("a", "b"), ("q", "x"), ("I", "a")]):
+        for _ in range(10):
+            one, other = one + other, other + one
+        rows += [(4 * k, f"v1 {one} v2 v3 v4"), (4 * k + 1, f"v1 {other} v2 v3 v4"), (4 * k + 2, one), (4 * k + 3, other)]
+    docs = table(spark, rows)
+    assert len({r.class_id for r in near_dedup.near_dedup(docs).collect()}) == len(rows)
+    assert ordered(substrings.repeated_report(docs).collect()) == _removed(rows)

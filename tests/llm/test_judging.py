@@ -166,3 +166,38 @@ def test_pipeline_stages_chain(spark, sf_dir):
     assert len(texts) == len({" ".join(t.split()) for t in texts}) and not any(_spans(t)[4] for t in texts)
     pieces = corpus_pipeline.run(spark, sf_dir).collect()
     assert {p.doc_id for p in pieces} == {r.doc_id for r in now.collect()}
+
+
+def _thue_morse(one, other, turns):
+    for _ in range(turns):
+        one, other = one + other, other + one
+    return one, other
+
+
+def test_lines_and_words_that_sums_modulo_a_power_of_two_confuse(spark):
+    """Not one of these lines or words is equal to another, nor are their hashes."""
+    hashes = rules.PrimeHash()
+    for letters in (("a", "b"), ("er", "in"), ("I", "a")):
+        for turns in (9, 10, 11):
+            one, other = _thue_morse(*letters, turns)
+            raw = np.frombuffer((one + other).encode(), np.uint8)
+            cut = np.array([0, len(one), len(raw)])
+            assert len(set(hashes(raw, cut[:-1], cut[1:]).tolist())) == 2
+            text = "\n".join([one, other, *[f"{w} w1 w2 w3 w4 w5 w6 w7" for w in (one, other)]])
+            [found] = rules.statistics(table(spark, [(1, text)]).select("text")).collect()
+            assert (found.n_dup_lines, found.n_repeat_words) == (0, 0)
+
+
+def test_equality_is_by_bytes_whatever_the_hashes():
+    """With one hash for all ranges the counts stay; a buffer beyond one sum's reach hashes alike."""
+    texts = [t or "" for _, t in EDGE if len(t or "") < 3000] + ["a b\na b\nc\n" * 9]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    ends = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    right = rules.counts(raw, ends, rules.PrimeHash())
+    same = rules.counts(raw, ends, lambda raw, a, b: np.zeros(len(a), np.uint64))
+    assert all(np.array_equal(right[c], same[c]) for c in right)
+    assert right["n_dup_lines"][-1] == 25
+    small = rules.PrimeHash(8)
+    whole = small(raw, ends[:-1], ends[1:])
+    small.SAFE = 16
+    assert np.array_equal(whole, small(raw, ends[:-1], ends[1:]))
