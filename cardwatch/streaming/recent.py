@@ -44,6 +44,11 @@ class RecentRows:
         found = [int(f.removeprefix(_PREFIX)) for f in folders(spark, self.path) if f.startswith(_PREFIX)]
         return sorted(k for k in found if exists(spark, f"{self._at(k)}/_SUCCESS"))
 
+    def before(self, spark: SparkSession, schema: StructType, batch: int) -> DataFrame | None:
+        """The version that micro-batch ``batch`` starts from; none if there is no earlier one."""
+        whole = [k for k in self.versions(spark) if k < batch]
+        return spark.read.schema(schema).parquet(self._at(whole[-1])) if whole else None
+
     def __call__(self, rows: DataFrame, batch: int) -> None:
         spark = rows.sparkSession
         before = [k for k in self.versions(spark) if k < batch]
