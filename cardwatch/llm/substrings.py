@@ -13,7 +13,7 @@ surroundings, which reach past the threshold of LENGTH for every start: an ancho
 isn't unique is covered. Only where pairs differ within a core are single strings ranked and counted,
 with one member for each equal pair. Texts that are equal are one text with a multiplicity.
 
-Ranks are hashes modulo two primes of 31 bits, so two different strings of a corpus fall together with a chance of
+Ranks are two hashes modulo a prime of 31 bits, so two different strings of a corpus fall together with a chance of
 about 1 in 2^62, at most (LENGTH / 2^31)^2, for each pair; in the first round that only costs work.
 """
 
