@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
-from cardwatch.catalog import monitoring  # noqa: F401  its SQL is used here
+from cardwatch.catalog import evaluation, monitoring  # noqa: F401  their SQL is used here
 from cardwatch.catalog.base import ORACLE, SCORED_CTE, TXN_CTE, query, with_scored, with_txn
 from cardwatch.catalog.risk import CFG, DECISION_SQL, _join, _joined
 from cardwatch.functions import risk
@@ -14,6 +14,7 @@ from cardwatch.sources import payload, schemas
 from cardwatch.sources.binding import EVENT_SCHEMA, TRANSACTION_RULES, scored, shape_events
 from cardwatch.session import scratch_path
 from cardwatch.streaming import jobs, sinks
+from cardwatch.streaming.folds import ThresholdReplay
 from cardwatch.streaming.recent import RecentRows
 from cardwatch.streaming.state import FATE, card_history
 
@@ -309,3 +310,21 @@ def stream_rolling_fraud_rate(spark, d):
 def stream_recent_window_stats(spark, d):
     return monitor.recent_window_stats(_recent(spark, d, 60)).withColumns({
         c: F.round(c, 6) for c in ("avg_fraud_probability", "avg_amount")})
+
+
+def _in_turn(spark, rows, sink):
+    """Give the stream to ``sink`` in two steps, cut in time within each micro-batch; then what it holds."""
+    def handle(part, batch):
+        for k, piece in enumerate(split.chronological_split(part)):
+            sink(piece, 2 * batch + k)
+
+    jobs.run_each(rows, handle, "folds-run")
+    return sink.read(spark, rows.schema)
+
+
+@query("stream_adaptive_threshold", ORACLE["adaptive_threshold_global"])
+def stream_adaptive_threshold(spark, d):
+    """The replay of all rows as one sequence, stopped within a window and gone on with."""
+    rows = events_stream(spark, d).withColumns({"v": F.expr(evaluation._VR), "model": F.lit("all")})
+    sink = ThresholdReplay(scratch_path(spark, "replay"), "model", ["t_us", _ID], "isFraud", "fraud_probability", "v")
+    return evaluation._rounded_replay(_in_turn(spark, rows, sink))
