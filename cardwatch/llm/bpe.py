@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from cardwatch.llm.common import bundled, in_batches, quoted, text_of, unbundled
+from cardwatch.llm.common import bundled, in_batches, quoted, text_of, unbundled, written
 from cardwatch.llm.fragments import FragmentIds, chunks, joined
 
 
@@ -160,8 +160,11 @@ def decode(tokens: DataFrame, path: str, ids_col: str = "ids", text_col: str = "
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """Digests of the ids and of the decoded text of every document."""
-    tokens = encode(docs.select("doc_id", "text"), path)
+    """Digests of the ids and of the decoded text of every document.
+
+    The ids are written in between: a task has one Python worker, and none waits for another's rows.
+    """
+    tokens = written(encode(docs.select("doc_id", "text"), path), "bpe-ids")
     out = decode(tokens, path)
     joined = F.array_join(quoted("ids").cast("array<string>"), ",")
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),

@@ -42,6 +42,11 @@ def test_round_trip_of_edge_rows(edge, empty):
     assert bpe.round_trip(empty, BYTE).count() == 0
 
 
+def test_round_trip_has_one_python_worker_in_a_task(edge):
+    out = bpe.round_trip(edge, BYTE)
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
 def test_other_columns_pass_through(edge):
     out = bpe.encode(edge, BYTE)
     assert set(out.columns) == set(edge.columns) - {"text"}
