@@ -24,13 +24,17 @@ _ID = "TransactionID"
 STATE_PARTITIONS = 8
 
 
-def events_stream(spark, d):
+def events_stream(spark, d, spread=False):
     """The events table as a stream of transactions with a probability.
 
-    The pattern matches the one table, whether it is a file or a folder of files.
+    The pattern matches the one table, whether it is a file or a folder of files. With ``spread`` the rows of a file
+    that can't be split are dealt to all cores as they are read, before they are shaped and made into messages.
     """
     session = jobs.job_session(spark, STATE_PARTITIONS)
-    return scored(shape_events(jobs.file_stream(session, f"{d}/event[s].parquet", EVENT_SCHEMA)))
+    events = jobs.file_stream(session, f"{d}/event[s].parquet", EVENT_SCHEMA)
+    if spread:  # by all columns: a task that is run again deals its rows the same way
+        events = events.repartition(2 * max(STATE_PARTITIONS, spark.sparkContext.defaultParallelism), *events.columns)
+    return scored(shape_events(events))
 
 
 _STATE_IN = [_ID, "TransactionDT", "t_us", "card1", "TransactionAmt", "ProductCD", "addr1", "addr2",
@@ -110,7 +114,7 @@ def stream_dedup(spark, d):
 
 
 def _messages(spark, d):
-    df = events_stream(spark, d)
+    df = events_stream(spark, d, spread=True)
     names = {f.name for f in schemas.transaction_schema()}
     text = F.to_json(F.struct(*[F.col(c) for c in df.columns if c in names]))
     return df.select(F.when(F.col("C13") == 42, F.substring(text, 1, 20)).otherwise(text)

@@ -11,12 +11,15 @@ CORRUPT = "_corrupt_record"
 
 
 def parse_payload_json(df: DataFrame, schema: StructType, value: str = "value") -> DataFrame:
-    """Bytes or text -> columns. Malformed rows keep their text in ``_corrupt_record``."""
+    """Bytes or text -> columns. Malformed rows keep their text in ``_corrupt_record``.
+
+    A generator makes the columns: filters on them can't be pushed below it, where every one of them would parse anew.
+    """
     full = StructType(list(schema.fields) + [StructField(CORRUPT, StringType(), True)])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT,
                "allowNonNumericNumbers": "true"}
     parsed = F.from_json(F.col(value).cast("string"), full, options)
-    return df.select(parsed.alias("data")).select("data.*")
+    return df.select(F.inline(F.array(parsed)))
 
 
 def serialize_prediction_json(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -49,11 +52,15 @@ def normalize_payload(df: DataFrame, id_col: str = "TransactionID") -> DataFrame
     return out.withColumns(columns)
 
 
+def acceptable(amount: str = "TransactionAmt") -> Column:
+    """True if an amount is present and positive."""
+    return F.coalesce(F.col(amount) > 0, F.lit(False)) & ~F.isnan(F.coalesce(
+        F.col(amount).cast("double"), F.lit(0.0)))
+
+
 def validate_payload(df: DataFrame, amount: str = "TransactionAmt") -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected): an amount must be present and positive."""
-    good = F.coalesce(F.col(amount) > 0, F.lit(False)) & ~F.isnan(F.coalesce(
-        F.col(amount).cast("double"), F.lit(0.0)))
-    return df.where(good), df.where(~good)
+    return df.where(acceptable(amount)), df.where(~acceptable(amount))
 
 
 def route_topic(settings, decision: str = "decision") -> Column:

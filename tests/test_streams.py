@@ -167,3 +167,19 @@ def test_kafka_options_without_a_broker():
     options = jobs.kafka_options(CFG, {"startingOffsets": "earliest"})
     assert options["subscribe"] == CFG.kafka.input_topic and options["startingOffsets"] == "earliest"
     assert options["maxOffsetsPerTrigger"] == str(CFG.kafka.max_offsets_per_trigger)
+
+
+def test_a_message_is_parsed_once_by_each_reader(spark):
+    """Filters on parsed fields stay above the parser, and fields of a message without any text are empty."""
+    df = spark.createDataFrame([(b'{"TransactionID": "1", "TransactionAmt": 2.5}',), (b'{"Trans',), (None,)], "value binary")
+    good, dead = jobs.isolate_errors(payload.parse_payload_json(df, schemas.transaction_schema()))
+    explain = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple")
+    for part, rows in ((good.where("TransactionAmt > 0"), 1), (dead, 2)):
+        assert part._jdf.queryExecution().explainString(explain).count("from_json") == 1
+        assert part.count() == rows
+
+
+def test_rows_of_one_file_are_shaped_by_all_cores(spark, sf_dir):
+    from cardwatch.catalog import streams
+
+    assert "RepartitionByExpression" in streams._messages(spark, sf_dir)._jdf.queryExecution().logical().toString()
