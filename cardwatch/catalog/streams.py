@@ -49,7 +49,7 @@ def stream_source(spark, d):
 
 @query("stateful_velocity", ORACLE["online_velocity_counts"])
 def stateful_velocity(spark, d):
-    out = jobs.with_card_state(events_stream(spark, d).select(*_STATE_IN), CFG)
+    out = jobs.with_card_state(events_stream(spark, d, spread=True).select(*_STATE_IN), CFG)
     return jobs.run_available(out.select(
         _ID, "txn_count_1h", "txn_count_6h", "txn_count_24h", "txn_count_7d", "amt_sum_1h",
         "amt_sum_24h", "amt_mean_24h"), "velocity")
@@ -60,7 +60,7 @@ _SEEN = ("seen_addr1", "seen_addr2", "seen_devices", "seen_emails", "seen_card_t
 
 @query("stateful_profile", ORACLE["profile_history"])
 def stateful_profile(spark, d):
-    out = jobs.with_card_state(events_stream(spark, d).select(*_STATE_IN), CFG)
+    out = jobs.with_card_state(events_stream(spark, d, spread=True).select(*_STATE_IN), CFG)
     done = jobs.run_available(out.select(
         _ID, *_SEEN, "seen_amount_n", "seen_amount_mean", "seen_amount_std"), "profile")
     return _joined(done, *_SEEN).withColumn("seen_amount_std", F.round("seen_amount_std", 4))
@@ -69,7 +69,7 @@ def stateful_profile(spark, d):
 @query("stream_decisions", f"""{DECISION_SQL} SELECT TransactionID, decision, risk_level,
   {_join('risk_factors')} FROM fin""")
 def stream_decisions(spark, d):
-    out = jobs.score_stream(events_stream(spark, d).select(*_STATE_IN), CFG)
+    out = jobs.score_stream(events_stream(spark, d, spread=True).select(*_STATE_IN), CFG)
     done = jobs.run_available(out.select(_ID, "decision", "risk_level", "risk_factors"), "scored")
     return _joined(done, "risk_factors")
 
@@ -227,7 +227,7 @@ _GAPS_SQL = DECISION_SQL.replace(
 def stream_decisions_missing_card(spark, d):
     """A quarter of the messages have no card: no history, but a decision."""
     card = F.when(F.col(_ID) % 4 != 1, F.col("card1"))
-    rows = scored(events_stream(spark, d).drop("fraud_probability").withColumn("card1", card))
+    rows = scored(events_stream(spark, d, spread=True).drop("fraud_probability").withColumn("card1", card))
     out = jobs.score_stream(rows.select(*_STATE_IN), CFG)
     done = jobs.run_available(out.select(_ID, "decision", "risk_level", "risk_factors"), "scored")
     return _joined(done, "risk_factors")
@@ -237,7 +237,7 @@ def stream_decisions_missing_card(spark, d):
 FROM (SELECT count(*) AS n FROM txn)"""))
 def stream_fates(spark, d):
     """Every message arrives twice: the state operator decides the one and sets the other apart."""
-    stream = events_stream(spark, d).select(*_STATE_IN, F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
+    stream = events_stream(spark, d, spread=True).select(*_STATE_IN, F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
     out = jobs.card_fates(stream.drop("copy"), CFG).select(F.col(FATE).alias("fate"))
     return jobs.run_available(out, "fates").groupBy("fate").agg(F.count(F.lit(1)).alias("rows"))
 
@@ -249,7 +249,7 @@ _LATER = "t_us > (SELECT (min(t_us) + max(t_us)) // 2 FROM txn)"
 JOIN (SELECT TransactionID FROM txn WHERE {_LATER}) l ON l.TransactionID = h.TransactionID"""))
 def stateful_from_history(spark, d):
     """The first half as a table, the second as a stream that begins with its state."""
-    stream = events_stream(spark, d).select(*_STATE_IN)
+    stream = events_stream(spark, d, spread=True).select(*_STATE_IN)
     rows = jobs.with_watermark(shape_events(
         stream.sparkSession.read.schema(EVENT_SCHEMA).parquet(f"{d}/events.parquet")), CFG)
     low, high = rows.agg(F.min("t_us"), F.max("t_us")).first()

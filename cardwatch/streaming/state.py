@@ -4,11 +4,18 @@ A card's payments lie in a map by hour. Beside it one value of bounded size hold
 hour is dropped when the longest window has passed it, so 169 at most) and the last values of the profile. A
 micro-batch reads and writes that value, the hours it adds to, and those that a window begins or ends in; how much
 else the card paid in its week does not matter. Whole hours in between come from the counts and sums.
+
+A stream's cards are dealt to a fixed number of groups by a hash (:class:`CardsState`), and so are the ids of rows without
+a card: what a micro-batch costs for each key of the operator is paid for a group, not for a card. The entries in the
+state are still each card's own. Requests to the state go out together (see :func:`_in_turn`), and an hour that is
+past its window when it comes is not written.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -45,60 +52,99 @@ STATE_COLUMNS = (
     "seen_amount_std double"
 )
 
-#: What becomes of a row that reaches the state.
-DECIDED, DUPLICATE, LATE = "decided", "duplicate", "late"
-#: Column names of the key and the fate; keys of rows without a card begin with LONE.
-KEY, FATE, LONE = "_card", "_fate", "id:"
+#: What becomes of a row that reaches the state; refused ones were marked before (see REFUSE).
+DECIDED, DUPLICATE, LATE, REFUSED = "decided", "duplicate", "late", "refused"
+#: Column names of the card, the group, the fate and the mark of rows to refuse; groups of rows without a card begin with LONE.
+KEY, GROUP, FATE, REFUSE, LONE = "_card", "_group", "_fate", "_refuse", "id:"
+#: Groups that cards, and rows without a card, are dealt to; fixed for the life of a checkpoint.
+GROUPS = 1024
+#: Milliseconds of the hours by which ids without a card are kept, and of the days by which cards fall due.
+HOUR_MS, DAY_MS = HOUR * 1000, 24 * HOUR * 1000
+#: Rows of a group that are worked on at once, but for a card that has more.
+ROWS_AT_ONCE = 8192
+
+#: Requests that are sent before their answers are read.
+_TOGETHER = 128
 
 
-def _plain(values: pd.Series, whole: bool) -> list:
+def _plain(values: np.ndarray, whole: bool) -> list:
     """Python values with None for missing ones."""
     kind = int if whole else (lambda v: v)
-    return [None if v is None or v != v else kind(v) for v in values]
+    return [None if v is None or v != v else kind(v) for v in values.tolist()]
+
+
+def _in_turn(state, one: Callable, name: str, keys: list, values: Iterable | None = None) -> list:
+    """What a map state answers to many requests of one kind.
+
+    The state lies behind a socket, and its client waits for each answer before the next request; here the requests
+    go out together. Requests or answers are small, so neither side waits for the other to read. ``one`` is the
+    client's own call, for a state without such a connection.
+    """
+    values = [None] * len(keys) if values is None else list(values)
+    api = getattr(getattr(state, "_mapStateClient", None), "_stateful_processor_api_client", None)
+    if len(keys) < 2 or not all(hasattr(api, f) for f in ("_send_proto_message", "_receive_proto_message", "sockfile", "pickleSer")):
+        return [one(k) if v is None else one(k, v) for k, v in zip(keys, values, strict=True)]
+    import pyspark.sql.streaming.proto.StateMessage_pb2 as wire
+
+    kind, field = {"get": (wire.GetValue, "getValue"), "has": (wire.ContainsKey, "containsKey"),
+                   "put": (wire.UpdateValue, "updateValue"), "drop": (wire.RemoveKey, "removeKey")}[name]
+    dumps, out = api.pickleSer.dumps, []
+    for a in range(0, len(keys), _TOGETHER):
+        some = keys[a:a + _TOGETHER]
+        for k, v in zip(some, values[a:a + _TOGETHER], strict=True):
+            call = kind(userKey=dumps(k)) if v is None else kind(userKey=dumps(k), value=dumps(v))
+            message = wire.StateRequest(stateVariableRequest=wire.StateVariableRequest(
+                mapStateCall=wire.MapStateCall(stateName=state._stateName, **{field: call}))).SerializeToString()
+            api.sockfile.write(b"\0\0\0\0" + len(message).to_bytes(4, "big") + message)
+        api.sockfile.flush()
+        answers = [api._receive_proto_message() for _ in some]
+        for status, error, value in answers:
+            if status != 0 and not (status == 2 and name == "has"):
+                raise RuntimeError(f"card state, {name}: {error}")
+            out.append(status == 0 if name == "has" else api._deserialize_from_bytes(value) if value else None)
+    return out
+
+
+def _get(state, keys: list) -> list:
+    return _in_turn(state, state.getValue, "get", keys)
+
 
+def _has(state, keys: list) -> list[bool]:
+    return _in_turn(state, state.containsKey, "has", keys)
 
-class _Hours:
-    """The hours of a card that a micro-batch touches, each read once and written once."""
 
-    def __init__(self, state, known: set[int]):
-        self.state, self.known, self.read, self.changed = state, known, {}, set()
+def _put(state, keys: list, values: Iterable) -> None:
+    _in_turn(state, state.updateValue, "put", keys, values)
 
-    def get(self, hour: int) -> list:
-        """[times, amounts, running sums, ids]"""
-        if hour not in self.read:
-            stored = self.state.getValue((hour,)) if hour in self.known else None
-            times, amounts, ids = stored if stored else ([], [], [])
-            values = np.asarray(amounts, float)
-            self.read[hour] = [np.asarray(times, np.int64), values, np.concatenate([[0.0], np.cumsum(values)]), list(ids)]
-        return self.read[hour]
 
-    def add(self, hour: int, times: np.ndarray, amounts: np.ndarray, ids: list[str]) -> None:
-        held = self.get(hour)
-        times, amounts = np.concatenate([held[0], times]), np.concatenate([held[1], amounts])
-        order = np.argsort(times, kind="stable")
-        values = amounts[order]
-        self.read[hour] = [times[order], values, np.concatenate([[0.0], np.cumsum(values)]), held[3] + ids]
-        self.changed.add(hour)
-        self.known.add(hour)
+def _drop(state, keys: list) -> None:
+    _in_turn(state, state.removeKey, "drop", keys)
 
-    def before(self, hour: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Count and sum of the hour's payments before each time."""
-        times, _, sums, _ = self.get(hour)
-        end = np.searchsorted(times, at, "left")
-        return end, sums[end]
 
-    def write(self) -> None:
-        for hour in self.changed & self.known:
-            times, amounts, _, ids = self.read[hour]
-            self.state.updateValue((hour,), (times.tolist(), amounts.tolist(), ids))
+def _runs(values: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(value, begin, end) of equal neighbours."""
+    at = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
+    return zip(values[at[:-1]].tolist(), at[:-1], at[1:])
+
+
+class _Done(NamedTuple):
+    """Of one card: columns made, hours to drop with their ids, (id, hour) and (hour, value) to write, the card's value."""
+
+    made: dict
+    past: list
+    ids: list
+    hours: list
+    value: tuple
 
 
 class CardState(StatefulProcessor):
     """Every row sees what was recorded before it, then is recorded; late and repeated rows are told apart.
 
     A row is late if its event time is not after the watermark; a duplicate if its id came before, on the same
-    card and within the longest window. Neither is recorded. A key without a card (see LONE) has no history, only
-    ids. A card's state goes when the watermark has passed its newest event by ``ttl_ms``.
+    card and within the longest window. Neither is recorded, nor are rows marked in REFUSE. A key without cards (see
+    LONE) has no history, only the ids of many rows, by hours of their event time. A card's state goes when the
+    watermark has passed its newest event by ``ttl_ms``, an id without a card when it has passed its hour by that.
+    Here a key is a card.
     """
 
     def __init__(self, received: list[str], columns: StructType, time: str, row_id: str, unit: int, ttl_ms: int):
@@ -118,105 +164,245 @@ class CardState(StatefulProcessor):
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         """Take over :func:`card_history`: a row for the card, and one for each of its hours."""
-        for row in initialState.set_axis(HISTORY, axis=1).itertuples(index=False):
+        hours, cards = [], {}
+        for row in initialState.set_axis([*HISTORY, *range(initialState.shape[1] - len(HISTORY))], axis=1).itertuples(index=False):
             if row.hour is None or row.hour != row.hour:
-                self.card.update(tuple(
-                    _listed(getattr(row, n), "bigint" in kind) for n, kind in (c.split() for c in CARD_SCHEMA.split(", "))))
-                self.handle.registerTimer(max(int(row.newest) + self.ttl_ms, timerValues.getCurrentWatermarkInMs() + 1))
+                cards[row.key] = tuple(
+                    _listed(getattr(row, n), "bigint" in kind) for n, kind in (c.split() for c in CARD_SCHEMA.split(", ")))
             else:
-                hour, ids = int(row.hour), _listed(row.ids)
-                self.hours.updateValue((hour,), (_listed(row.times, True), _listed(row.amounts), ids))
-                for i in ids:
-                    self.ids.updateValue((i,), (hour,))
+                hours.append((row.key, int(row.hour), (_listed(row.times, True), _listed(row.amounts), _listed(row.ids))))
+        _put(self.hours, [self._key(card, h) for card, h, _ in hours], [v for _, _, v in hours])
+        ids = [(self._key(card, i), (h,)) for card, h, v in hours for i in v[2]]
+        _put(self.ids, [i for i, _ in ids], [h for _, h in ids])
+        self._save(cards)
+        self._watch({card: int(value[9]) for card, value in cards.items()}, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        watermark = timerValues.getCurrentWatermarkInMs()
+        if str(key[0]).startswith(LONE):
+            self._forget(watermark)
+        else:
+            self._expire(key, watermark, expiredTimerInfo)
+        yield from ()
+
+    def _expire(self, key, watermark: int, info) -> None:
         stored = self.card.get()
         end = stored[9] + self.ttl_ms if stored else 0
-        if end > timerValues.getCurrentWatermarkInMs():
+        if end > watermark:
             self.handle.registerTimer(end)
         else:
             self.card.clear()
             self.hours.clear()
             self.ids.clear()
-        yield from ()
+
+    # how the entries of a card are named and kept
+    def _key(self, card: str, part) -> tuple:
+        return (part,)
+
+    def _stored(self, cards: list[str]) -> list:
+        return [self.card.get() for _ in cards]
+
+    def _save(self, values: dict[str, tuple]) -> None:
+        for value in values.values():
+            self.card.update(value)
+
+    def _clear(self, card: str) -> None:
+        self.card.clear()
+
+    def _over(self, stored: tuple, watermark: int) -> bool:
+        """Whether the watermark has passed a card that its timer has not removed yet."""
+        return False
+
+    def _watch(self, new: dict[str, int], watermark: int) -> None:
+        """See to it that new cards go; ``new`` has their newest events."""
+        for newest in new.values():
+            self.handle.registerTimer(max(newest + self.ttl_ms, watermark + 1))
+
+    def _cards(self, key, batch: dict) -> Iterator[list[tuple[str, int, int]]]:
+        """(card, begin, end) of the rows of each card, in parts to be worked on at once."""
+        yield [(str(key[0]), 0, len(batch["_event_ms"]))]
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True)
-        batch.columns = self.received  # Spark hands computed columns over by number
-        batch = batch.sort_values([self.time, self.row_id], kind="stable").reset_index(drop=True)
+        frames = list(rows)
+        frame = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
+        lone = str(key[0]).startswith(LONE)
+        # Spark hands computed columns over by number
+        batch = dict(zip(self.received, (_values(column) for _, column in frame.items()), strict=True))
+        batch = self._sorted(batch, lone)
         watermark = timerValues.getCurrentWatermarkInMs()
-        event_ms = batch["_event_ms"].to_numpy(np.int64)
+        for cards in [[("", 0, len(frame))]] if lone else self._cards(key, batch):
+            begin, end = cards[0][1], cards[-1][2]
+            part = batch if end - begin == len(frame) else {c: v[begin:end] for c, v in batch.items()}
+            yield self._handle([(card, a - begin, b - begin) for card, a, b in cards], part, lone, watermark)
+
+    def _sorted(self, batch: dict, lone: bool) -> dict:
+        """By card, time, then id; missing ones last."""
+        by = [batch[c] for c in ([KEY] if KEY in batch and not lone else []) + [self.time, self.row_id]]
+        lines = [v.tolist() for v in by]
+        if by[-2].dtype.kind == "i" and not any(v is None or v != v for v in lines[-1]):
+            line = list(zip(*lines, strict=True))
+            order = np.array(sorted(range(len(line)), key=line.__getitem__))
+        else:
+            order = pd.DataFrame(dict(enumerate(by))).sort_values(list(range(len(by))), kind="stable").index.to_numpy()
+        return {c: v[order] for c, v in batch.items()}
+
+    def _handle(self, cards: list, batch: dict, lone: bool, watermark: int) -> pd.DataFrame:
+        event_ms = _whole(batch["_event_ms"])
         ids = [None if i is None or i != i else str(i) for i in batch[self.row_id].tolist()]
-        fate = np.array([DECIDED] * len(batch), dtype=object)
+        fate = np.array([DECIDED] * len(ids), dtype=object)
         if watermark > 0:
             fate[event_ms <= watermark] = LATE
-        fresh: set[str] = set()
-        stored = self.card.get()  # a card without a value has no ids either
-        for k in np.flatnonzero(fate == DECIDED).tolist():
-            if ids[k] is not None and (
-                    ids[k] in fresh or (stored and self.ids.containsKey((ids[k],)))):
+        if REFUSE in batch:
+            fate[batch[REFUSE].astype(bool)] = REFUSED
+        names = [card for card, _, _ in cards]
+        stored = dict(zip(names, self._stored(names), strict=True))
+        # a card without a value has no ids either; (card, id) of open rows, by place
+        line, asked = {}, {}
+        for card, a, b in cards:
+            known = stored[card] and not (not lone and self._over(stored[card], watermark))
+            for k in (np.flatnonzero(fate[a:b] == DECIDED) + a).tolist():
+                if ids[k] is not None:
+                    line[k] = (card, ids[k])
+                    if known:
+                        asked[line[k]] = None
+        seen = {i for i, there in zip(asked, _has(self.ids, [self._key(*i) for i in asked]), strict=True) if there}
+        for k, i in line.items():
+            if i in seen:
                 fate[k] = DUPLICATE
-            elif ids[k] is not None:
-                fresh.add(ids[k])
-        good = np.flatnonzero(fate == DECIDED)
-        known = not str(key[0]).startswith(LONE)
-        made = self._record(batch.iloc[good].reset_index(drop=True), [ids[k] for k in good], event_ms[good],
-                            watermark, known, stored) if len(good) else {}
-        yield self._typed(batch, fate, good, made)
-
-    def _record(self, batch: pd.DataFrame, ids: list, event_ms: np.ndarray, watermark: int, known: bool,
-                stored: tuple | None) -> dict:
+            seen.add(i)
+        good, made = np.flatnonzero(fate == DECIDED), {}
+        if len(good) and lone:
+            self._remember([ids[k] for k in good.tolist()], event_ms[good], watermark, stored[""])
+        elif len(good):
+            made = self._record_all(cards, batch, ids, event_ms, good, watermark, stored)
+        return self._typed(batch, fate, good, made)
+
+    def _record_all(self, cards: list, batch: dict, ids: list, event_ms: np.ndarray, good: np.ndarray,
+                    watermark: int, stored: dict) -> dict:
+        """Each card's rows by :meth:`_record`, with the state of all read and written together."""
+        columns = {c: batch[c] for c in (self.time, "TransactionAmt", *PROFILE)}
+        steps = {}
+        for card, a, b in cards:
+            at = good[np.searchsorted(good, a):np.searchsorted(good, b)]
+            if len(at):
+                steps[card] = self._record({c: v[at] for c, v in columns.items()}, [ids[k] for k in at.tolist()],
+                                           event_ms[at], watermark, stored[card])
+        asked = [(card, hour) for card, step in steps.items() for hour in next(step)]
+        found: dict[str, dict] = {card: {} for card in steps}
+        for (card, hour), value in zip(asked, _get(self.hours, [self._key(*k) for k in asked]), strict=True):
+            found[card][hour] = value
+        done = {card: step.send(found[card]) for card, step in steps.items()}
+        _drop(self.ids, [self._key(card, i) for card, d in done.items() for _, own in d.past for i in own])
+        _drop(self.hours, [self._key(card, h) for card, d in done.items() for h, _ in d.past])
+        new = [(self._key(card, i), (h,)) for card, d in done.items() for i, h in d.ids]
+        _put(self.ids, [i for i, _ in new], [h for _, h in new])
+        changed = [(self._key(card, h), v) for card, d in done.items() for h, v in d.hours]
+        _put(self.hours, [h for h, _ in changed], [v for _, v in changed])
+        self._save({card: d.value for card, d in done.items()})
+        self._watch({card: d.value[9] for card, d in done.items() if not stored[card]}, watermark)
+        parts = [d.made for d in done.values()]
+        return {c: list(chain.from_iterable(p[c] for p in parts)) if isinstance(v, list) else np.concatenate([p[c] for p in parts])
+                for c, v in parts[0].items()}
+
+    def _end(self, hour: int) -> int:
+        """When the watermark has passed all ids without a card of an hour of event time."""
+        return (hour + 1) * HOUR_MS - 1 + self.ttl_ms
+
+    def _remember(self, ids: list, event_ms: np.ndarray, watermark: int, stored: tuple | None) -> None:
+        """Keep ids that have no card."""
+        by_hour: dict[int, list] = {}
+        for i, hour in zip(ids, (event_ms // HOUR_MS).tolist(), strict=True):
+            if i is not None:
+                by_hour.setdefault(hour, []).append(i)
+        if not by_hour:
+            return
+        known = dict(zip(stored[0], stored[1], strict=True)) if stored else {}
+        again = [h for h in by_hour if h in known]
+        before = dict(zip(again, (list(v[2]) for v in _get(self.hours, [self._key("", h) for h in again])), strict=True))
+        line = list(by_hour)
+        _put(self.hours, [self._key("", h) for h in line], [([], [], before.get(h, []) + by_hour[h]) for h in line])
+        _put(self.ids, [self._key("", i) for h in line for i in by_hour[h]], [(h,) for h in line for _ in by_hour[h]])
+        for h in line:
+            known[h] = known.get(h, 0) + len(by_hour[h])
+        newest = max(int(event_ms.max()), *([stored[9]] if stored else []), watermark)
+        hours = sorted(known)
+        self._save({"": (hours, [known[h] for h in hours], [], [], [], [], [], [], [], newest)})
+        if not stored or hours[0] < stored[0][0]:
+            self.handle.registerTimer(max(self._end(hours[0]), watermark + 1))
+
+    def _forget(self, watermark: int) -> None:
+        """Drop the hours of ids without a card that the watermark has passed by ``ttl_ms``."""
+        (stored,) = self._stored([""])
         if not stored:
+            return
+        past = [h for h in stored[0] if self._end(h) <= watermark]
+        for value in _get(self.hours, [self._key("", h) for h in past]):
+            _drop(self.ids, [self._key("", i) for i in value[2]])
+        _drop(self.hours, [self._key("", h) for h in past])
+        left = [(h, n) for h, n in zip(stored[0], stored[1], strict=True) if self._end(h) > watermark]
+        if left:
+            self._save({"": ([h for h, _ in left], [n for _, n in left], *stored[2:])})
+            self.handle.registerTimer(self._end(left[0][0]))
+        else:
+            self._clear("")
+
+    def _record(self, batch: dict, ids: list, event_ms: np.ndarray, watermark: int, stored: tuple | None):
+        """Yields the hours of the card to read; takes them and yields what was made and what to write (:class:`_Done`)."""
+        over = stored is not None and self._over(stored, watermark)
+        gone = list(stored[0]) if over else []
+        if not stored or over:
             stored = ([], [], [], [], [], [], [], [], [], None)
-        now = batch[self.time].to_numpy(np.int64)
-        amounts = batch["TransactionAmt"].to_numpy(float)
-        at_hour = now // self.hour
+        now, amounts = _whole(batch[self.time]), batch["TransactionAmt"].astype(float)
+        paid = ~np.isnan(amounts)
+        runs = list(_runs(now // self.hour))
         totals = dict(zip(stored[0], zip(stored[1], stored[2], strict=True), strict=True))
-        hours = _Hours(self.hours, set(totals))
-        for hour in np.unique(at_hour).tolist():
-            here = at_hour == hour
-            paid = here & ~np.isnan(amounts) & known
-            mine = [i for i, h in zip(ids, here.tolist(), strict=True) if h and i is not None]
-            for i in mine:
-                self.ids.updateValue((i,), (hour,))
-            hours.add(hour, now[paid], amounts[paid], mine)
-            times, _, sums, _ = hours.get(hour)
-            totals[hour] = (len(times), float(sums[-1]))
-        made = self._velocity(now, hours, totals) if known else {}
-        memory, profile = self._profile(batch, stored) if known else ([[]] * 6, {})
-        newest = max([int(event_ms.max()), *([stored[9]] if stored[9] is not None else [])])
         # an hour goes when no window can reach it any more
-        floor = (max(int(now.max()), (max(totals) if totals else 0) * self.hour) - max(self.widths.values())) // self.hour
-        for hour in [h for h in totals if h < floor]:
-            for i in hours.get(hour)[3]:
-                self.ids.removeKey((i,))
-            self.hours.removeKey((hour,))
-            hours.known.discard(hour)
-            del totals[hour]
-        hours.write()
-        line = sorted(totals)
-        self.card.update((line, [totals[h][0] for h in line], [totals[h][1] for h in line], *memory, newest))
-        if stored[9] is None:
-            self.handle.registerTimer(max(newest + self.ttl_ms, watermark + 1))
-        return made | profile
-
-    def _velocity(self, now: np.ndarray, hours: _Hours, totals: dict) -> dict:
-        line = np.array(sorted(totals), np.int64)
-        counts = np.concatenate([[0], np.cumsum([totals[h][0] for h in line.tolist()])]).astype(np.int64)
-        sums = np.concatenate([[0.0], np.cumsum([totals[h][1] for h in line.tolist()])])
+        newest = max([*totals, *(h for h, _, _ in runs)])
+        floor = (max(int(now.max()), newest * self.hour) - max(self.widths.values())) // self.hour
+        # of the hours known, those that get rows, that a window begins in, or that go
+        cut = {h for h, _, _ in runs}.union(*(((now - w) // self.hour).tolist() for w in self.widths.values())) if totals else set()
+        asked = [h for h in totals if h in cut or h < floor]
+        found = yield [*asked, *gone]
+        held = {h: (np.asarray(v[0], np.int64), np.asarray(v[1], float), list(v[2])) for h, v in found.items() if v and not over}
+        past = [(h, list(found[h][2]) if found[h] else []) for h in [*(h for h in asked if h < floor), *gone]]
+        new_ids, changed = [], []
+        for hour, a, b in runs:
+            here = paid[a:b]
+            times, values = now[a:b][here], amounts[a:b][here]
+            own = [i for i in ids[a:b] if i is not None]
+            before = held.get(hour)
+            if before:
+                times, values = np.concatenate([before[0], times]), np.concatenate([before[1], values])
+                order = np.argsort(times, kind="stable")
+                times, values = times[order], values[order]
+            held[hour] = (times, values, before[2] + own if before else own)
+            totals[hour] = (len(times), float(np.cumsum(values)[-1]) if len(values) else 0.0)
+            if hour >= floor:
+                changed.append((hour, (times.tolist(), values.tolist(), held[hour][2])))
+                new_ids += [(i, hour) for i in own]
+        made = self._velocity(now, held, totals)
+        memory, profile = self._profile(batch, stored)
+        line = sorted(h for h in totals if h >= floor)
+        last = max([int(event_ms.max()), *([stored[9]] if stored[9] is not None else [])])
+        value = (line, [totals[h][0] for h in line], [totals[h][1] for h in line], *memory, last)
+        yield _Done(made | profile, past, new_ids, changed, value)
+
+    def _velocity(self, now: np.ndarray, held: dict, totals: dict) -> dict:
+        hours = sorted(totals)
+        line = np.array(hours, np.int64)
+        counts = np.concatenate([[0], np.cumsum([totals[h][0] for h in hours])]).astype(np.int64)
+        sums = np.concatenate([[0.0], np.cumsum([totals[h][1] for h in hours])])
+        # the payments of the hours that were read, in time order
+        read = [held[h] for h in hours if h in held]
+        times = np.concatenate([v[0] for v in read])
+        part = np.concatenate([[0.0], np.cumsum(np.concatenate([v[1] for v in read]))])
 
         def before(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             """Payments before each time: whole hours, and part of the hour that the time cuts."""
             hour = at // self.hour
             place = np.searchsorted(line, hour, "left")
-            n, s = counts[place].copy(), sums[place].copy()
-            for h in np.unique(hour).tolist():
-                if h in totals:
-                    cut = np.flatnonzero(hour == h)
-                    part = hours.before(h, at[cut])
-                    n[cut] += part[0]
-                    s[cut] += part[1]
-            return n, s
+            begin, end = np.searchsorted(times, hour * self.hour, "left"), np.searchsorted(times, at, "left")
+            return counts[place] + (end - begin), sums[place] + (part[end] - part[begin])
 
         end_n, end_s = before(now)
         made: dict[str, object] = {}
@@ -229,50 +415,162 @@ class CardState(StatefulProcessor):
         made["amt_mean_24h"] = np.where(n > 0, made["amt_sum_24h"] / np.maximum(n, 1), 0.0)
         return made
 
-    def _profile(self, batch: pd.DataFrame, stored: tuple) -> tuple[list, dict]:
+    def _profile(self, batch: dict, stored: tuple) -> tuple[list, dict]:
         memory, made = [], {}
         for i, (c, (out, depth)) in enumerate(PROFILE.items()):
             past = list(stored[3 + i])
             line = past + _plain(batch[c], c.startswith("addr"))
-            made[out] = [[v for v in line[max(0, at - depth):at] if v is not None]
-                         for at in range(len(past), len(line))]
+            seen = [line[max(0, at - depth):at] for at in range(len(past), len(line))]
+            made[out] = [[v for v in values if v is not None] for values in seen] if None in line else seen
             memory.append(line[-depth:])
         depth = REMEMBER["amounts"]
         past = list(stored[8])
         line = past + _plain(batch["TransactionAmt"], False)
-        seen = [np.array([v for v in line[max(0, at - depth):at] if v is not None], float)
-                for at in range(len(past), len(line))]
-        made["seen_amount_n"] = [len(v) for v in seen]
-        made["seen_amount_mean"] = [float(v.mean()) if len(v) else None for v in seen]
-        made["seen_amount_std"] = [float(v.std()) if len(v) else None for v in seen]
+        parts = [_trailing(line[max(0, a - depth):a + _ROWS], min(a, depth), depth)
+                 for a in range(len(past), len(line), _ROWS)]
+        for name, values in zip(("seen_amount_n", "seen_amount_mean", "seen_amount_std"), zip(*parts, strict=True), strict=True):
+            made[name] = np.concatenate(values)
         return [*memory, line[-depth:]], made
 
-    def _typed(self, batch: pd.DataFrame, fate: np.ndarray, good: np.ndarray, made: dict) -> pd.DataFrame:
+    def _typed(self, batch: dict, fate: np.ndarray, good: np.ndarray, made: dict) -> pd.DataFrame:
         """The rows with state columns and fate; every column has the type of its field."""
-        out = {}
+        out, n = {}, len(fate)
         for field in self.columns:
             c, kind = field.name, field.dataType.typeName()
             if c == FATE:
-                values = fate
-            elif c in made:
-                values = np.empty(len(batch), object)
-                values[good] = pd.Series(list(made[c]), dtype=object).to_numpy()
+                out[c] = fate
             elif c in batch:
-                values = batch[c]
-            else:  # not recorded
+                out[c] = _cast(batch[c], kind)
+            elif c in made and len(good) == n:
+                out[c] = _objects(made[c]) if kind == "array" else made[c]
+            elif kind == "array":
+                lists = [[] for _ in range(n)]
+                for k, v in zip(good.tolist(), made.get(c, ()), strict=False):
+                    lists[k] = v
+                out[c] = _objects(lists)
+            else:  # of rows that were not recorded
                 undefined = c in ("seen_amount_mean", "seen_amount_std")
-                values = [[] if kind == "array" else None if undefined else 0] * len(batch)
-            values = pd.Series(values, index=batch.index, dtype=object if isinstance(values, list) else None)
-            if kind == "array":
-                values = values.map(lambda v: v if isinstance(v, list) else [])
-            elif kind in ("long", "integer", "short", "byte"):
-                values = pd.to_numeric(values).astype("Int64")
-            elif kind in ("double", "float"):
-                values = pd.to_numeric(values).astype("float64")
-            out[c] = values
+                out[c] = np.full(n, np.nan if undefined else 0, np.int64 if kind == "long" else float)
+                if c in made:
+                    out[c][good] = made[c]
         return pd.DataFrame(out)
 
 
+class CardsState(CardState):
+    """:class:`CardState` for groups of cards; rows come with the card in KEY.
+
+    Cards fall due by days: a card's state may stay for a day after its time, but is not used any more.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.cards = handle.getMapState("cards", "card string", CARD_SCHEMA)
+        self.hours = handle.getMapState("hours", "card string, hour bigint", HOUR_SCHEMA)
+        self.ids = handle.getMapState("ids", "card string, id string", "hour bigint")
+        self.due = handle.getMapState("due", "day bigint", "cards array<string>")
+
+    def _key(self, card: str, part) -> tuple:
+        return (card, part)
+
+    def _stored(self, cards: list[str]) -> list:
+        return _get(self.cards, [(card,) for card in cards])
+
+    def _save(self, values: dict[str, tuple]) -> None:
+        _put(self.cards, [(card,) for card in values], values.values())
+
+    def _clear(self, card: str) -> None:
+        self.cards.removeKey((card,))
+
+    def _over(self, stored: tuple, watermark: int) -> bool:
+        return stored[9] + self.ttl_ms <= watermark
+
+    def _watch(self, new: dict[str, int], watermark: int) -> None:
+        days: dict[int, list] = {}
+        for card, newest in new.items():
+            days.setdefault(max(newest + self.ttl_ms, watermark) // DAY_MS + 1, []).append(card)
+        before = _get(self.due, [(day,) for day in days])
+        _put(self.due, [(day,) for day in days],
+             [([*(old[0] if old else []), *cards],) for old, cards in zip(before, days.values(), strict=True)])
+        for day, old in zip(days, before, strict=True):
+            if not old:
+                self.handle.registerTimer(day * DAY_MS)
+
+    def _expire(self, key, watermark: int, info) -> None:
+        day = info.getExpiryTimeInMs() // DAY_MS
+        due = self.due.getValue((day,))
+        if not due:
+            return
+        self.due.removeKey((day,))
+        cards = list(due[0])
+        stored = {card: value for card, value in zip(cards, self._stored(cards), strict=True) if value}
+        past = {card: value for card, value in stored.items() if self._over(value, watermark)}
+        hours = [self._key(card, h) for card, value in past.items() for h in value[0]]
+        _drop(self.ids, [self._key(card, i) for (card, _), v in zip(hours, _get(self.hours, hours), strict=True) if v for i in v[2]])
+        _drop(self.hours, hours)
+        _drop(self.cards, [(card,) for card in past])
+        self._watch({card: value[9] for card, value in stored.items() if card not in past}, watermark)
+
+    def _cards(self, key, batch: dict) -> Iterator[list[tuple[str, int, int]]]:
+        part: list[tuple[str, int, int]] = []
+        for card, a, b in _runs(batch[KEY]):
+            part.append((card, a, b))
+            if b - part[0][1] >= ROWS_AT_ONCE:
+                yield part
+                part = []
+        if part:
+            yield part
+
+
+#: Rows whose amounts are looked back from at once, which bounds the table of what they see.
+_ROWS = 4096
+
+
+def _trailing(line: list, first: int, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Count, mean and deviation of up to ``depth`` values before each from place ``first`` on; None is no value."""
+    padded = np.concatenate([np.full(depth, np.nan), np.array(line, float)])
+    seen = np.lib.stride_tricks.sliding_window_view(padded, depth)[first:len(line)]
+    there = ~np.isnan(seen)
+    n = there.sum(axis=1)
+    some = np.maximum(n, 1)
+    mean = np.where(there, seen, 0.0).sum(axis=1) / some
+    gap = np.where(there, seen - mean[:, None], 0.0)
+    deviation = np.sqrt((gap * gap).sum(axis=1) / some)
+    return n.astype(np.int64), np.where(n > 0, mean, np.nan), np.where(n > 0, deviation, np.nan)
+
+
+def _values(column: pd.Series):
+    """The values of a column: plain arrays for numbers and objects."""
+    return column.to_numpy() if column.dtype.kind in "ifbO" else column.array
+
+
+def _whole(values: np.ndarray) -> np.ndarray:
+    """Whole numbers; a missing one is the smallest there is."""
+    if values.dtype == np.int64:
+        return values
+    numbers = pd.to_numeric(pd.Series(values)).to_numpy(float)
+    return np.where(np.isnan(numbers), np.iinfo(np.int64).min, numbers).astype(np.int64)
+
+
+def _objects(values: list) -> np.ndarray:
+    out = np.empty(len(values), object)
+    for k, v in enumerate(values):
+        out[k] = v
+    return out
+
+
+def _cast(values, kind: str):
+    if kind in ("long", "integer", "short", "byte"):
+        if values.dtype.kind == "i":
+            return values
+        if values.dtype.kind != "f":
+            return pd.to_numeric(pd.Series(values)).astype("Int64")
+        missing = np.isnan(values)
+        return pd.arrays.IntegerArray(np.where(missing, 0, values).astype(np.int64), missing)
+    if kind in ("double", "float") and values.dtype.kind != "f":
+        return pd.to_numeric(pd.Series(values)).astype("float64")
+    return values
+
+
 #: Columns of :func:`card_history`.
 HISTORY = ["key", "hour", *(c.split()[0] for c in CARD_SCHEMA.split(", ")), "times", "amounts", "ids"]
 
