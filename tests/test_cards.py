@@ -252,3 +252,14 @@ def test_messages_set_apart_have_their_records(spark):
     assert [len(found[k]) for k in ("a", "b")] == [1, 1]  # what is far ahead but rejected moved no watermark
     assert not found.pop("a")[0][0] and not found.pop("b")[0][0]
     assert sorted(len(v) for v in found.values()) == [2, 4] and all(k.startswith("unknown_") for k in found)
+
+
+def test_a_row_without_a_time_counts_nothing_of_its_own(spark):
+    """It stands before all times; the other rows of its card are counted as without it."""
+    rows = _rows(np.random.default_rng(4), 30, 1, days=1).astype({"t": float, "_event_ms": float})
+    want = _run(_step(_Group()), "5", rows).set_index("TransactionID")
+    odd = rows.iloc[:2].assign(TransactionID=[100, 101], t=np.nan, _event_ms=np.nan, TransactionAmt=2.0)
+    got = _run(_step(_Group()), "5", pd.concat([rows, odd], ignore_index=True)).set_index("TransactionID")
+    counts = [f"txn_count_{w}" for w in ("1h", "6h", "24h", "7d")]
+    assert got.loc[want.index, counts].equals(want[counts])
+    assert got.loc[[100, 101], "txn_count_1h"].tolist() == [-(rows["TransactionAmt"].notna().sum() + 2)] * 2
